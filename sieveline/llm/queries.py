@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, media_ts, quality_classifier, quality_rules
+from . import html_text, language_id, media_ts, packing, quality_classifier, quality_rules, sentence_pieces
 from .frames import fold
 
 
@@ -15,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file, the same on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     forest = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -37,8 +48,17 @@ def op6_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ts.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_pieces.digest(docs, vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op5_language_id, op6_media_ts)}
+    return {f.__name__: f for f in (op1_html_text, op2_quality_rules, op3_quality_classifier, op5_language_id, op6_media_ts, op8_sentence_pieces, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
