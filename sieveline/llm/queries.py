@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language_id, media_ts, packing, quality_classifier, quality_rules, sentence_pieces
+from . import html_text, language_id, media_ts, packing, quality_classifier, quality_rules, sentence_pieces, simhash
 from .frames import fold
 
 
@@ -57,8 +57,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.component_ids(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_quality_rules, op3_quality_classifier, op5_language_id, op6_media_ts, op8_sentence_pieces, op9_packing)}
+    return {f.__name__: f for f in (op1_html_text, op2_quality_rules, op3_quality_classifier, op5_language_id, op6_media_ts, op8_sentence_pieces, op9_packing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
