@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language_id, media_ts, packing, quality_classifier, quality_rules, sentence_pieces, simhash
+from . import html_text, language_id, media_ts, packing, quality_classifier, quality_rules, sentence_pieces, simhash, substring_dedup, suffix_dedup
 from .frames import fold
 
 
@@ -38,6 +38,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.annotate(docs, network, ["doc_id"]).select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.shorten(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs)
@@ -48,6 +52,10 @@ def op6_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ts.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.shorten(table(spark, sf_dir, "documents"))
+
+
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentence_pieces.digest(docs, vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
@@ -62,7 +70,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_quality_rules, op3_quality_classifier, op5_language_id, op6_media_ts, op8_sentence_pieces, op9_packing, op10_simhash)}
+    return {f.__name__: f for f in (op1_html_text, op2_quality_rules, op3_quality_classifier, op4_substring_dedup, op5_language_id, op6_media_ts, op7_suffix_dedup, op8_sentence_pieces, op9_packing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
