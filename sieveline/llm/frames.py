@@ -31,6 +31,13 @@ def append(df: DataFrame, text_col: str, fields: T.StructType, make: Callable[[p
     return df.select(*used).mapInArrow(run, schema)
 
 
+def filtered(df: DataFrame, text_col: str, mark: Callable[[DataFrame, str], DataFrame], condition: str) -> DataFrame:
+    """The rows of ``df`` that meet a condition on the columns that ``mark`` appends; no name of ``df`` can clash with those."""
+    names = [f"_column{i}" for i in range(len(df.columns))]
+    marked = mark(df.toDF(*names), names[df.columns.index(text_col)])
+    return marked.where(condition).select(*names).toDF(*df.columns)
+
+
 def fold(id_col: str = "doc_id") -> F.Column:
     """crc32 of the id as text, modulo 5; 0 marks the rows held out."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5

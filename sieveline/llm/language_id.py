@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import append, sample_ids
+from .frames import append, filtered, sample_ids
 from .textops import flat, offsets_of, slices
 
 #: Buckets of hashed n-grams.
@@ -32,6 +32,8 @@ BUCKETS = 1 << 14
 MAX_SAMPLE = 4096
 SMOOTHING = 0.5
 UNDETERMINED = "und"
+#: A text whose best language is less likely is rejected by ``identified``.
+MIN_SCORE = 0.5
 FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
@@ -131,3 +133,8 @@ def annotate(docs: DataFrame, model: Model, keep: list[str] | None = None, text_
         return [pa.array(names, pa.string()), pa.array(np.where(has, p.max(1), 0.0))]
 
     return append(docs, text_col, FIELDS, make, keep)
+
+
+def identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language can be told."""
+    return filtered(docs, text_col, lambda df, column: annotate(df, model, text_col=column), f"lang_pred != '{UNDETERMINED}' and score >= {min_score}")

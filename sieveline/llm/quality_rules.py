@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import append, sample_ids
+from .frames import append, filtered, sample_ids
 from .textops import Prefix, Words, again, binary, codes, covered, flat, mixed, offsets_of, sums, word_hashes
 
 #: Base rules.
@@ -191,13 +191,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> For
     return fit_forest(x, rows["quality"].to_numpy(float), list(FEATURES.values()))
 
 
-def annotate(docs: DataFrame, forest: Forest, keep: list[str] | None = None, min_score: float = MIN_SCORE) -> DataFrame:
+def annotate(docs: DataFrame, forest: Forest, keep: list[str] | None = None, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` with the counts, ``base_failed``, ``kept`` and the forest's ``score``."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        counts, x = statistics(*flat(batch.column(batch.schema.get_field_index("text"))))
+        counts, x = statistics(*flat(batch.column(batch.schema.get_field_index(text_col))))
         failed = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
         score = forest.score(x)
         return [*(pa.array(counts[c], pa.int64()) for c in COUNTS), pa.array(failed), pa.array(~failed & (score >= min_score)), pa.array(score)]
 
-    return append(docs, "text", FIELDS, make, keep)
+    return append(docs, text_col, FIELDS, make, keep)
+
+
+def passed(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep."""
+    return filtered(docs, text_col, lambda df, column: annotate(df, forest, text_col=column), "kept")

@@ -21,6 +21,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textops import Prefix, flat, slices, sliding_min
 
@@ -89,16 +90,18 @@ def segment_table(docs: DataFrame, symbols_of: Symbols, window: int, k: int) ->
 
 
 def compressed(docs: DataFrame) -> DataFrame:
-    """(id, text) as (id, key, body), so that less text is shuffled."""
+    """(id, text, ...) as (id, key, body, ...), so that less text is shuffled."""
+    rest = docs.columns[2:]
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("body", T.BinaryType()), *(docs.schema[c] for c in rest)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False).compress
         for batch in slices(batches):
             data, offsets = flat(batch.column(1))
             whole, at = data.tobytes(), offsets.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_keys(data, offsets)), pa.array([squeeze(whole[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "key", "body"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_keys(data, offsets)), pa.array([squeeze(whole[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), *batch.columns[2:]], names=schema.names)
 
-    return docs.mapInArrow(run, "id long, key long, body binary")
+    return docs.mapInArrow(run, schema)
 
 
 def bodies(column: pa.Array) -> list[bytes]:

@@ -188,8 +188,9 @@ def component_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component: one with the smallest id (null ids last)."""
-    columns = docs.columns
-    marked = annotate(docs, text_col)
-    winners = groups(cut(marked.select(id_col, "simhash")), id_col, radius).where("simhash = best_simhash").select("simhash", F.col("component_id").alias("_winner"))
-    kept = marked.join(winners, (marked[id_col].eqNullSafe(winners["_winner"])) & (marked["simhash"] == winners["simhash"]), "left_semi")
-    return kept.dropDuplicates(["simhash", id_col]).select(*columns)
+    names = [f"_column{i}" for i in range(len(docs.columns))]
+    own_id, own_text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    marked = annotate(docs.toDF(*names), own_text)
+    winners = groups(cut(marked.select(own_id, "simhash")), own_id, radius).where("simhash = best_simhash").select(F.col("simhash").alias("_simhash"), F.col("component_id").alias("_winner"))
+    kept = marked.join(winners, F.col(own_id).eqNullSafe(F.col("_winner")) & (F.col("simhash") == F.col("_simhash")), "left_semi")
+    return kept.dropDuplicates(["simhash", own_id]).select(*names).toDF(*docs.columns)

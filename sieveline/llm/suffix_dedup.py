@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import repeats
 from .frames import cut
@@ -252,6 +253,21 @@ def _shorten(window: int, with_text: bool):
     return run
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = HOT) -> DataFrame:
+    """``docs`` with the kept text; what is left of a character that lost a byte is dropped."""
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).dropFields(text_col).alias("rest") if len(docs.columns) > 1 else F.struct(F.lit(1).alias("_")).alias("rest"))
+    joined = repeats.with_documents(own, repeated_spans(own.select("id", "text"), window, min(MINIMIZER, window), hot), "left").select("id", "body", "spans", "rest")
+    schema = T.StructType([T.StructField("text", T.StringType()), joined.schema["rest"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (kept,) = _shorten(window, True)(iter([batch]))
+            texts = [b.decode("utf-8", "ignore") for b in kept.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(3)], names=["text", "rest"])
+
+    return joined.mapInArrow(run, schema).select(*(F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns))
+
+
 def shorten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """Per document: bytes, removed bytes, removed runs and the hash of the kept bytes; ``with_text`` adds those bytes."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
