@@ -103,36 +103,34 @@ class Codec:
             if kind in (NORMAL, USER_DEFINED) and piece:
                 self.automaton.add_word(piece, (i, len(piece), score))
         self.automaton.make_automaton()
+        self.singles = {p for p, k in zip(v.pieces, v.kinds, strict=True) if len(p) == 1 and k in (NORMAL, USER_DEFINED)}
         self.by_words = not any(SPACE in p.lstrip(SPACE) for p, k in zip(v.pieces, v.kinds, strict=True) if k in (NORMAL, USER_DEFINED))
         self.raw = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(v.pieces, v.kinds, strict=True)]
         self.encoder = Encoder(lambda words: [self.segment(w.decode().replace(" ", SPACE)) for w in words])
 
     def segment(self, text: str) -> list[int]:
-        """Ids of the best segmentation.
-
-        An unknown costs more than any piece, so it is only tried where no piece ends.
-        """
+        """Ids of the best segmentation; an unknown is one character that is no piece by itself."""
         n = len(text)
         best, back = [None] * (n + 1), [(self.unknown, 1)] * (n + 1)
         best[0] = 0.0
-        done, lowest = 0, self.lowest
+        done, lowest, singles = 0, self.lowest, self.singles
 
-        def unknowns(upto: int) -> None:
-            """Ends up to here that no piece reaches are reached by an unknown character."""
+        def settle(upto: int) -> None:
+            """All pieces that end up to here are known: try an unknown where its character is no piece."""
             nonlocal done
             while done < upto:
                 done += 1
-                if best[done] is None:
-                    best[done] = best[done - 1] + lowest
+                if text[done - 1] not in singles and (best[done] is None or best[done - 1] + lowest > best[done]):
+                    best[done], back[done] = best[done - 1] + lowest, (self.unknown, 1)
 
         for last, (piece, size, score) in self.automaton.iter(text):
             end = last + 1
             if done < last:
-                unknowns(last)
+                settle(last)
             total = best[end - size] + score
             if best[end] is None or total > best[end]:
                 best[end], back[end] = total, (piece, size)
-        unknowns(n)
+        settle(n)
         out, at = [], n
         while at:
             piece, size = back[at]

@@ -106,7 +106,9 @@ def brute(codec, text):
     best = [(0.0, [])]
     for end in range(1, len(text) + 1):
         found = [(best[a][0] + table[text[a:end]][1], best[a][1] + [table[text[a:end]][0]]) for a in range(max(0, end - 16), end) if text[a:end] in table]
-        best.append(max(found, key=lambda x: x[0]) if found else (best[-1][0] + codec.lowest, best[-1][1] + [codec.bytes[b] for b in text[end - 1].encode()]))
+        if text[end - 1] not in table:
+            found.append((best[-1][0] + codec.lowest, best[-1][1] + [codec.bytes[b] for b in text[end - 1].encode()]))
+        best.append(max(found, key=lambda x: x[0]))
     return best[-1][1]
 
 
@@ -120,6 +122,12 @@ def test_pieces_are_best(text):
     assert own == (brute(codec, "▁" + text.replace(" ", "▁")) if text else []) and codec.decode(own) == text
 
 
+def test_unknown_inside_a_longer_piece():
+    kinds = [sentence_pieces.UNKNOWN] + [sentence_pieces.NORMAL] * 3
+    codec = sentence_pieces.Codec(sentence_pieces.Vocabulary(["<unk>", "AB", "BC", "D"], [0.0, -1.0, -50.0, -2.0], kinds, False))
+    assert codec.segment("ABC") == [1, 0] and codec.segment("BCD") == [2, 3] and codec.segment("xD") == [0, 3] and codec.segment("") == []
+
+
 def test_pieces_score_as_in_library(spark):
     """The library's n-best lattice finds no better segmentation of a word."""
     library, codec = unigram_mode(PIECES), sentence_pieces.codec(PIECES)
