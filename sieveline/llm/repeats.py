@@ -110,8 +110,11 @@ def bodies(column: pa.Array) -> list[bytes]:
 
 
 def with_documents(docs: DataFrame, per_document: DataFrame, how: str) -> DataFrame:
-    """Compressed documents joined with a table that has one row per (id, key)."""
-    body = compressed(docs)
+    """Compressed documents joined with a table that has one row per (id, key).
+
+    Every join has the filter that Spark would infer for some, so that their shuffles of the documents are one.
+    """
+    body = compressed(docs).where("key is not null")
     other = per_document.withColumnsRenamed({"id": "_id", "key": "_key"})
     return body.join(other, body["id"].eqNullSafe(other["_id"]) & (body["key"] == other["_key"]), how).drop("_id", "_key")
 

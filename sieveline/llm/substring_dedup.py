@@ -13,7 +13,7 @@ a document with a smaller id.  The graph is never spelled out whole:
   and an edge whose first source is an earlier document is repeated.
 * An edge is a whole window, so a span never joins pieces of different sources;
   source coordinates (id, text hash, place) lead from a path to the text in
-  which its edges are hashed again, with 128 bits, and to the words to remove.
+  which its edges are hashed again, and to the words to remove.
 
 Defined results: null and blank texts have no words and stay as they are; rows
 with a null id are neither source nor shortened; rows with equal ids do not
@@ -57,33 +57,33 @@ def _edges(window: int):
                 words = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
                 joined, at = words.join()
                 whole, begin, end = joined.tobytes(), at.tolist(), (at + words.lengths).tolist()
-                rows: list[tuple] = []
+                hashed = xxhash.xxh3_64_intdigest
                 for p in paths:
                     start, n = p["loc"] >> 22, p["loc"] >> 1 & 0x1FFFFF
-                    for i in range(n):
-                        digest = xxhash.xxh3_128_intdigest(whole[begin[start + i] : end[start + i + window - 1]])
-                        rows.append((digest >> 64, digest & 0xFFFFFFFFFFFFFFFF, p["m"], p["c"], i, p["first"]))
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in columns[:2]), *(pa.array(x, t) for x, t in zip(columns[2:], (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True))], names=["e1", "e2", "m", "c", "place", "first"])
+                    edge = np.fromiter((hashed(whole[begin[start + i] : end[start + i + window - 1]]) for i in range(n)), np.uint64, n)
+                    same = lambda x: pa.array(np.full(n, x, np.int64))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([same(p["m"]), pa.array(edge.view(np.int64)), same(p["c"]), pa.array(np.arange(n, dtype=np.int32)), same(p["first"]), pa.array(np.full(n, p["only_source"]))], names=["m", "edge", "c", "place", "first", "only_source"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = MINIMIZER) -> DataFrame:
     """(id, key, spans) of the documents (id, text) that have repeated windows."""
-    docs = docs.where("id is not null")
-    table = repeats.segment_table(docs, symbols, window, k)
+    table = repeats.segment_table(docs.where("id is not null"), symbols, window, k)
     met = table.groupBy("m").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("m")
     met = cut(table.join(met, "m"))
     paths = met.groupBy("m", "c").agg(F.min(F.struct("id", "key", "loc")).alias("source"))
     occurrences = met.join(paths.select("m", "c", F.col("source.id").alias("first")), ["m", "c"])
     later = occurrences.where("id > first").select("id", "key", "loc", F.lit(None).cast("array<int>").alias("places"))
 
-    branching = paths.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
-    apart = paths.join(branching, "m").groupBy("source.id", "source.key").agg(F.collect_list(F.struct("m", "c", F.col("source.loc").alias("loc"), F.col("source.id").alias("first"))).alias("paths"))
-    edges = cut(repeats.with_documents(docs, apart, "inner").select("body", "paths").mapInArrow(_edges(window), "e1 long, e2 long, m long, c long, place int, first long"))
-    sources = edges.groupBy("e1", "e2").agg(F.min("first").alias("source"), F.max("first").alias("last")).where("source < last").drop("last")
-    repeated = edges.join(sources, ["e1", "e2"]).where("source < first").groupBy("m", "c").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    branching = paths.groupBy("m").agg(F.count("*").alias("n"), F.min("source.id").alias("low")).where("n > 1").select("m", "low")
+    # the first document of all is only a source of edges, it has none from an earlier one
+    path = F.struct("m", "c", F.col("source.loc").alias("loc"), F.col("source.id").alias("first"), (F.col("source.id") == F.col("low")).alias("only_source"))
+    apart = paths.join(branching, "m").groupBy("source.id", "source.key").agg(F.collect_list(path).alias("paths"))
+    edges = repeats.with_documents(docs, apart, "inner").select("body", "paths").mapInArrow(_edges(window), "m long, edge long, c long, place int, first long, only_source boolean")
+    # equal edges have equal minimizers, so (m, edge) has 128 bits
+    sources = edges.groupBy("m", "edge").agg(F.min("first").alias("source"), F.max("first").alias("last")).where("source < last").drop("last")
+    repeated = edges.where("not only_source").drop("only_source").join(sources, ["m", "edge"]).where("source < first").groupBy("m", "c").agg(F.sort_array(F.collect_list("place")).alias("places"))
     firsts = occurrences.where("id = first").join(repeated, ["m", "c"]).select("id", "key", "loc", "places")
     return repeats.per_document(later.union(firsts))
 
