@@ -28,7 +28,8 @@ def _detected(files: DataFrame, detector: findings.Detector, options: TriageOpti
     """One row per distinct finding of a single detector."""
     if "members" not in files.columns:
         files = files.withColumn("members", F.array().cast("array<struct<name:string,stored_name:string>>"))
-    return files.select("path", F.explode(F.array_distinct(detector(file_columns(), options))).alias("i")).select("path", *(F.coalesce(F.col(f"i.{c}"), F.lit("")).alias(c) for c in ISSUE_FIELDS))
+    found = files.select("path", F.explode_outer(F.array_distinct(detector(file_columns(), options))).alias("i")).where("i is not null")
+    return found.select("path", *(F.coalesce(F.col(f"i.{c}"), F.lit("")).alias(c) for c in ISSUE_FIELDS))
 
 
 def fingerprint_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,7 +100,9 @@ def in_path_order(results: DataFrame) -> DataFrame:
 
 def explode_issues(results: DataFrame) -> DataFrame:
     """One row per finding: path, position, its fields and its weight."""
-    return results.select("path", F.posexplode("issues").alias("pos", "i")).select("path", "pos", "i.*", scoring.weight(F.col("i.code")).alias("weight"))
+    # an outer explode: for an inner one the optimizer would evaluate all findings once more, to filter empty arrays
+    rows = results.select("path", F.posexplode_outer("issues").alias("pos", "i")).where("pos is not null")
+    return rows.select("path", "pos", "i.*", scoring.weight(F.col("i.code")).alias("weight"))
 
 
 def report_results(spark: SparkSession, path: str) -> DataFrame:
