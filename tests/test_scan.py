@@ -57,46 +57,53 @@ FILES = [
 ]
 
 
-def test_files(spark):
-    got = results(spark, [f[:2] for f in FILES])
+DOUBLE = {"a.js.exe": 0, "a.v2.exe": 1, "a.exe": 0, "a.txt.js": 1, "a.gif.js": 0, ".pdf": 0, "x.": 0, "..exe": 0, "A.PDF.EXE": 1}
+MEMBERS = [
+    (["a.pdf.txt"], ["zip_double_extension"]), (["a.pdf.zip"], []), (["a.pdf"], []), (["x/a.jpg.exe"], ["exe_in_zip", "zip_double_extension", "zip_susp_executable", "zip_double_extension"]),
+    (["a.jar"], ["zip_susp_executable"]), (["a.pif"], ["exe_in_zip"]), ([".exe"], ["exe_in_zip"]), (["A.EXE", "a.exe"], ["exe_in_zip", "exe_in_zip", "zip_susp_executable"]),
+    (["n" * 180], []), (["n" * 181], ["zip_long_name"]), (["in.ZIP"], []), (["word/vbaProject.bin", "word/settings.xml"], ["zip_vba_project"]),
+]
+NUL_NAME = archive("abXcd.txt").replace(b"abXcd.txt", b"ab\0cd.txt")
+LINKS = {
+    "cut.txt": b"a" * 4095 + "é".encode() + b" http://a", "nul.txt": b"http://a\0", "limit.txt": b"http://a " + b"b" * (512_000 - 9), "over.txt": b"http://a " + b"b" * (512_000 - 8),
+    "ip.txt": b"http://1.2.3.4/x", "port.txt": b"http://1.2.3.4:80/", "big.txt": b"http://999.1.1.1", "sub.txt": b"http://www.xn--a.b", "upper.txt": b"HTTP://a",
+    "twice.txt": b"http://a http://a", "space.txt": "http://a\u00a0b http://c\u001cd".encode(), "broken.txt": b"x" * 4096 + b"\xff http://a\xff/b",
+}
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    """One scan for all cases with default options; each group has a folder."""
+    files = [(f"files/{f[0]}", f[1]) for f in FILES] + [(f"double/{n}", b"x") for n in DOUBLE] + [(f"members/{k}.zip", archive(*names)) for k, (names, _) in enumerate(MEMBERS)]
+    files += [(f"links/{n}", c) for n, c in LINKS.items()] + [("nul/a.zip", NUL_NAME), ("pdf/a.pdf", b"%PDF http://a")] + [(f"token/{at}.pdf", b" " * at + b"/EMBEDDEDFILE") for at in (4083, 4084, 4085, 4086)]
+    return results(spark, files)
+
+
+def test_files(found):
     for name, content, magic, expected, score, band in FILES:
-        r = got[name]
+        r = found[f"files/{name}"]
         assert (r["magic_type"], codes(r), r["score"], r["severity"], r["size"]) == (magic, expected, score, band, len(content)), name
         assert len(r["reasons"]) == len(expected) and r["error"] is None
 
 
-@pytest.mark.parametrize(("name", "found"), [("a.js.exe", 0), ("a.v2.exe", 1), ("a.exe", 0), ("a.txt.js", 1), ("a.gif.js", 0), (".pdf", 0), ("x.", 0), ("..exe", 0), ("A.PDF.EXE", 1)])
-def test_double_extension(spark, name, found):
-    assert codes(results(spark, [(f"d/{name}", b"x")])[f"d/{name}"]) == ["double_extension"] * found
+def test_double_extension(found):
+    for name, n in DOUBLE.items():
+        assert codes(found[f"double/{name}"]) == ["double_extension"] * n, name
 
 
-def member_codes(spark, *names, **options):
-    return codes(results(spark, [("a.zip", archive(*names))], **options)["a.zip"])
+def test_members(spark, found):
+    for k, (names, expected) in enumerate(MEMBERS):
+        assert codes(found[f"members/{k}.zip"]) == expected, names
+    assert codes(results(spark, [("a.zip", archive("in.ZIP"))], zip_rules="strict")["a.zip"]) == ["zip_nested_archive"]
 
 
-@pytest.mark.parametrize(("names", "options", "expected"), [
-    (["a.pdf.txt"], {}, ["zip_double_extension"]), (["a.pdf.zip"], {}, []), (["a.pdf"], {}, []),
-    (["x/a.jpg.exe"], {}, ["exe_in_zip", "zip_double_extension", "zip_susp_executable", "zip_double_extension"]),
-    (["a.jar"], {}, ["zip_susp_executable"]), (["a.pif"], {}, ["exe_in_zip"]), ([".exe"], {}, ["exe_in_zip"]), (["A.EXE", "a.exe"], {}, ["exe_in_zip", "exe_in_zip", "zip_susp_executable"]),
-    (["n" * 180], {}, []), (["n" * 181], {}, ["zip_long_name"]), (["in.ZIP"], {}, []), (["in.ZIP"], {"zip_rules": "strict"}, ["zip_nested_archive"]), (["a.exe"], {"zip_rules": "off"}, ["exe_in_zip"]),
-])
-def test_members(spark, names, options, expected):
-    assert member_codes(spark, *names, **options) == expected
+def test_nul_in_member_name(found):
+    assert list_members(NUL_NAME) == [("ab", "ab\0cd.txt")]
+    assert codes(found["nul/a.zip"]) == ["zip_nul_byte"]
 
 
-def test_nul_in_member_name(spark):
-    content = archive("abXcd.txt").replace(b"abXcd.txt", b"ab\0cd.txt")
-    assert list_members(content) == [("ab", "ab\0cd.txt")]
-    assert codes(results(spark, [("a.zip", content)])["a.zip"]) == ["zip_nul_byte"]
-
-
-def test_links(spark):
-    files = {
-        "cut.txt": b"a" * 4095 + "é".encode() + b" http://a", "nul.txt": b"http://a\0", "limit.txt": b"http://a " + b"b" * (512_000 - 9), "over.txt": b"http://a " + b"b" * (512_000 - 8),
-        "ip.txt": b"http://1.2.3.4/x", "port.txt": b"http://1.2.3.4:80/", "big.txt": b"http://999.1.1.1", "sub.txt": b"http://www.xn--a.b", "upper.txt": b"HTTP://a",
-        "twice.txt": b"http://a http://a", "space.txt": "http://a b http://c\u001cd".encode(), "broken.txt": b"x" * 4096 + b"\xff http://a\xff/b",
-    }
-    got = {k: [(i["code"], i["evidence"]) for i in r["issues"]] for k, r in results(spark, list(files.items())).items()}
+def test_links(found):
+    got = {k: [(i["code"], i["evidence"]) for i in found[f"links/{k}"]["issues"]] for k in LINKS}
     assert got["cut.txt"] == got["nul.txt"] == got["over.txt"] == got["upper.txt"] == []
     assert got["limit.txt"] == got["twice.txt"] == [("url", "http://a")]
     assert [got[k][0][0] for k in ("ip.txt", "port.txt", "big.txt", "sub.txt")] == ["url_suspicious", "url", "url_suspicious", "url"]
@@ -104,18 +111,17 @@ def test_links(spark):
     assert got["broken.txt"] == [("url", "http://a/b")]
 
 
-def test_pdf_modes(spark):
-    file = [("a.pdf", b"%PDF http://a")]
-    assert codes(results(spark, file)["a.pdf"]) == ["url"]
-    assert codes(results(spark, file, pdf_rules="strict")["a.pdf"]) == ["url", "pdf_external_links"]
-    everything = [("a.pdf", b"%PDF /JS"), ("b.png", PNG + b"IEND" + b"x" * 9)]
+def test_modes(spark, found):
+    assert codes(found["pdf/a.pdf"]) == ["url"]
+    assert codes(results(spark, [("a.pdf", b"%PDF http://a")], pdf_rules="strict")["a.pdf"]) == ["url", "pdf_external_links"]
+    everything = [("a.pdf", b"%PDF /JS"), ("b.png", PNG + b"IEND" + b"x" * 9), ("c.zip", archive("a.exe"))]
     got = results(spark, everything, pdf_rules="off", image_rules="off", zip_rules="off", office_rules="off")
-    assert codes(got["a.pdf"]) == ["pdf_token"] and codes(got["b.png"]) == ["image_trailing_data"]
+    assert [codes(got[p]) for p, _ in everything] == [["pdf_token"], ["image_trailing_data"], ["exe_in_zip"]]
 
 
-def test_token_over_any_boundary(spark):
+def test_token_over_any_boundary(found):
     for at in (4083, 4084, 4085, 4086):
-        assert "pdf_token" in codes(results(spark, [("a.pdf", b" " * at + b"/EMBEDDEDFILE")])["a.pdf"])
+        assert "pdf_token" in codes(found[f"token/{at}.pdf"])
 
 
 def test_size_gate_and_markers(spark):
