@@ -39,6 +39,8 @@ from .textops import Words, word_hashes
 WINDOW = 50
 #: Words of the k-gram that places an edge.
 MINIMIZER = 12
+#: Different paths of one minimizer that share a salt, so that their common edges do not meet in one task.
+PATHS_A_SALT = 1024
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray):
@@ -62,7 +64,7 @@ def _edges(window: int):
                     start, n = p["loc"] >> 22, p["loc"] >> 1 & 0x1FFFFF
                     edge = np.fromiter((hashed(whole[begin[start + i] : end[start + i + window - 1]]) for i in range(n)), np.uint64, n)
                     same = lambda x: pa.array(np.full(n, x, np.int64))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([same(p["m"]), pa.array(edge.view(np.int64)), same(p["c"]), pa.array(np.arange(n, dtype=np.int32)), same(p["first"]), pa.array(np.full(n, p["only_source"]))], names=["m", "edge", "c", "place", "first", "only_source"])
+                    yield pa.RecordBatch.from_arrays([same(p["m"]), pa.array(edge.view(np.int64)), same(p["c"]), pa.array(np.arange(n, dtype=np.int32)), same(p["first"]), pa.array(np.full(n, p["only_source"])), *(pa.array(np.full(n, x, np.int32)) for x in (p["salts"], p["c"] % p["salts"]))], names=["m", "edge", "c", "place", "first", "only_source", "salts", "salt"])
 
     return run
 
@@ -70,20 +72,22 @@ def _edges(window: int):
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = MINIMIZER) -> DataFrame:
     """(id, key, spans) of the documents (id, text) that have repeated windows."""
     table = repeats.segment_table(docs.where("id is not null"), symbols, window, k)
-    met = table.groupBy("m").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("m")
+    # small sides are cut before they are joined, so that the shuffles that meet can be split where a key is hot
+    met = cut(table.groupBy("m").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("m"))
     met = cut(table.join(met, "m"))
-    paths = met.groupBy("m", "c").agg(F.min(F.struct("id", "key", "loc")).alias("source"))
+    paths = cut(met.groupBy("m", "c").agg(F.min(F.struct("id", "key", "loc")).alias("source")))
     occurrences = met.join(paths.select("m", "c", F.col("source.id").alias("first")), ["m", "c"])
     later = occurrences.where("id > first").select("id", "key", "loc", F.lit(None).cast("array<int>").alias("places"))
 
-    branching = paths.groupBy("m").agg(F.count("*").alias("n"), F.min("source.id").alias("low")).where("n > 1").select("m", "low")
+    branching = paths.groupBy("m").agg(F.count("*").alias("n"), F.min("source.id").alias("low")).where("n > 1").select("m", "low", F.ceil(F.col("n") / PATHS_A_SALT).cast("int").alias("salts"))
     # the first document of all is only a source of edges, it has none from an earlier one
-    path = F.struct("m", "c", F.col("source.loc").alias("loc"), F.col("source.id").alias("first"), (F.col("source.id") == F.col("low")).alias("only_source"))
+    path = F.struct("m", "c", F.col("source.loc").alias("loc"), F.col("source.id").alias("first"), (F.col("source.id") == F.col("low")).alias("only_source"), "salts")
     apart = paths.join(branching, "m").groupBy("source.id", "source.key").agg(F.collect_list(path).alias("paths"))
-    edges = repeats.with_documents(docs, apart, "inner").select("body", "paths").mapInArrow(_edges(window), "m long, edge long, c long, place int, first long, only_source boolean")
+    edges = repeats.with_documents(docs, apart, "inner").select("body", "paths").mapInArrow(_edges(window), "m long, edge long, c long, place int, first long, only_source boolean, salts int, salt int")
     # equal edges have equal minimizers, so (m, edge) has 128 bits
-    sources = edges.groupBy("m", "edge").agg(F.min("first").alias("source"), F.max("first").alias("last")).where("source < last").drop("last")
-    repeated = edges.where("not only_source").drop("only_source").join(sources, ["m", "edge"]).where("source < first").groupBy("m", "c").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    sources = edges.groupBy("m", "edge").agg(F.min("first").alias("source"), F.max("first").alias("last"), F.max("salts").alias("salts")).where("source < last")
+    sources = sources.select("m", "edge", "source", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    repeated = edges.where("not only_source").select("m", "edge", "salt", "c", "place", "first").join(sources, ["m", "edge", "salt"]).where("source < first").groupBy("m", "c").agg(F.sort_array(F.collect_list("place")).alias("places"))
     firsts = occurrences.where("id = first").join(repeated, ["m", "c"]).select("id", "key", "loc", "places")
     return repeats.per_document(later.union(firsts))
 
