@@ -213,9 +213,10 @@ def _sorted(window: int):
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = MINIMIZER, hot: int = HOT) -> DataFrame:
     """(id, key, spans) of the documents (id, text) that have repeated windows."""
     table = repeats.segment_table(docs, symbols, window, k)
-    met = table.groupBy("m").agg(F.count("*").alias("n"), F.max(F.col("loc").bitwiseAND(1)).alias("twice")).where("n > 1 or twice = 1").select("m")
+    # small sides are cut before they are joined, so that the shuffles that meet can be split where a key is hot
+    met = cut(table.groupBy("m").agg(F.count("*").alias("n"), F.max(F.col("loc").bitwiseAND(1)).alias("twice")).where("n > 1 or twice = 1").select("m"))
     met = cut(table.join(met, "m"))
-    contents = met.groupBy("m", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "loc")).alias("source"))
+    contents = cut(met.groupBy("m", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "loc")).alias("source")))
     whole = met.join(contents.where("n > 1").select("m", "c"), ["m", "c"]).select("id", "key", "loc", F.lit(None).cast("array<int>").alias("places"))
 
     mixed = contents.groupBy("m").agg(F.count("*").alias("kinds"), F.sum((F.col("n") == 1).cast("int")).alias("singles"), F.max(F.col("source.loc").bitwiseAND(1)).alias("twice"))
