@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import slices
+from .textops import released, slices
 
 
 def append(df: DataFrame, text_col: str, fields: T.StructType, make: Callable[[pa.RecordBatch], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
@@ -28,7 +28,7 @@ def append(df: DataFrame, text_col: str, fields: T.StructType, make: Callable[[p
         for batch in slices(batches, text_col):
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *make(batch)], names=schema.names)
 
-    return df.select(*used).mapInArrow(run, schema)
+    return df.select(*used).mapInArrow(released(run), schema)
 
 
 def filtered(df: DataFrame, text_col: str, mark: Callable[[DataFrame, str], DataFrame], condition: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import append, filtered, sample_ids
-from .textops import flat, offsets_of, slices
+from .textops import flat, offsets_of, released, slices
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 14
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Model:
 
     ids = chosen.withColumnRenamed("lang", "sample_lang")
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("sample_lang").alias("lang"))
-    counts = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.mapInArrow(released(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     table = np.zeros((len(langs), BUCKETS))
     for j, name in enumerate(langs):

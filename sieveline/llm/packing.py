@@ -34,13 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import flat, slices
+from .textops import CHUNK_BYTES, flat, released, slices
 from .vocab import Encoder
 
 CAPACITY = 2048
 END_ID = 1
 #: Bytes of text that are tokenised at once; distinct pieces are encoded once in each.
 CHUNK = 1 << 22
+#: Pieces in one call of the tokenizer.
+ENCODED = 4096
 #: Sequences that one pool fills.
 POOL = 512
 #: Estimated cost of a piece: its length, and its length squared times this.
@@ -100,12 +102,24 @@ def tokenizer_encoder(path: str) -> Encoder:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    return Encoder(lambda pieces: [x.ids for x in batch([p.decode() for p in pieces], add_special_tokens=False)])
+
+    def encode(pieces: list[bytes]) -> list[list[int]]:
+        out = []
+        for at in range(0, len(pieces), ENCODED):  # an encoding has much beside its ids
+            out += [x.ids for x in batch([p.decode() for p in pieces[at : at + ENCODED]], add_special_tokens=False)]
+        return out
+
+    return Encoder(encode)
 
 
 def document_ids(encoder: Encoder, data: np.ndarray, offsets: np.ndarray, end_id: int = END_ID) -> list[np.ndarray]:
     """The ids of each text, ended by ``end_id``."""
-    starts = piece_starts(data, offsets)
+    parts, row = [], 0
+    while row < len(offsets) - 1:  # code points take four times the room, so they are looked at in smaller parts
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES // 2, "right")) - 1)
+        parts.append(offsets[row] + piece_starts(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]))
+        row = end
+    starts = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     ids, at = encoder.ids(data, starts) if len(starts) else (np.zeros(0, np.uint32), np.zeros(1, np.int64))
     bounds = at[np.searchsorted(starts, offsets)]
     ended = np.insert(ids, bounds[1:], end_id)
@@ -197,4 +211,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
         if placed := [*packer.end()]:
             yield batch_of(placed)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), SCHEMA + ", ids array<int>" * with_ids)

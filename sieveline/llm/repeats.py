@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import Prefix, flat, slices, sliding_min
+from .textops import Prefix, flat, released, slices, sliding_min
 
 #: Windows that one round of array operations handles; longer texts go block by block.
 BLOCK = 1 << 19
@@ -86,7 +86,7 @@ def segment_table(docs: DataFrame, symbols_of: Symbols, window: int, k: int) ->
                 c = np.fromiter((xxhash.xxh3_64_intdigest(content[a:b]) for a, b in zip(first(start).tolist(), after(start + n - 1 + window).tolist(), strict=True)), np.uint64, len(start))
                 yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(keys[row]), pa.array(pack(start - bounds[row], n, twice))], names=["m", "c", "id", "key", "loc"])
 
-    return docs.mapInArrow(run, SEGMENTS)
+    return docs.mapInArrow(released(run), SEGMENTS)
 
 
 def compressed(docs: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def compressed(docs: DataFrame) -> DataFrame:
             whole, at = data.tobytes(), offsets.tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_keys(data, offsets)), pa.array([squeeze(whole[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), *batch.columns[2:]], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def bodies(column: pa.Array) -> list[bytes]:

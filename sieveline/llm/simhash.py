@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .components import components, forest
 from .frames import append, cut
-from .textops import Words, flat
+from .textops import Words, flat, released
 
 SHINGLE = 3
 SEED = 42
@@ -139,7 +139,7 @@ def _links(radius: int):
             a, b = forest(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
 
-    return run
+    return released(run)
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .frames import cut
-from .textops import Words, word_hashes
+from .textops import Words, released, word_hashes
 
 WINDOW = 50
 #: Words of the k-gram that places an edge.
@@ -66,7 +66,7 @@ def _edges(window: int):
                     same = lambda x: pa.array(np.full(n, x, np.int64))  # noqa: B023, E731
                     yield pa.RecordBatch.from_arrays([same(p["m"]), pa.array(edge.view(np.int64)), same(p["c"]), pa.array(np.arange(n, dtype=np.int32)), same(p["first"]), pa.array(np.full(n, p["only_source"])), *(pa.array(np.full(n, x, np.int32)) for x in (p["salts"], p["c"] % p["salts"]))], names=["m", "edge", "c", "place", "first", "only_source", "salts", "salt"])
 
-    return run
+    return released(run)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = MINIMIZER) -> DataFrame:
@@ -113,7 +113,7 @@ def _shorten(window: int, with_text: bool):
             arrays = [pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays if with_text else arrays[:4], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text])
 
-    return run
+    return released(run)
 
 
 def shorten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:

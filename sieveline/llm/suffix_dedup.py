@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from . import repeats
 from .frames import cut
-from .textops import Prefix, offsets_of
+from .textops import Prefix, offsets_of, released
 
 WINDOW = 200
 #: Bytes of the k-gram that places a window.
@@ -42,7 +42,7 @@ HOT = 4096
 #: Bytes of content that are sorted at once.
 CHUNK = 1 << 19
 #: Bytes that order suffixes before merging, and rows that are verified at once.
-LEAD, VERIFY = 16, 1 << 16
+LEAD, VERIFY = 16, 1 << 13
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray):
@@ -180,7 +180,7 @@ def _pieces(window: int):
                 for at in range(0, len(rows), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + (1 << 16)], strict=True), kinds, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
 
-    return run
+    return released(run)
 
 
 def _sorted(window: int):
@@ -207,7 +207,7 @@ def _sorted(window: int):
         if held:
             yield solve(held)
 
-    return run
+    return released(run)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = MINIMIZER, hot: int = HOT) -> DataFrame:
@@ -251,7 +251,7 @@ def _shorten(window: int, with_text: bool):
             arrays = [pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays[: 5 + with_text], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
-    return run
+    return released(run)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = HOT) -> DataFrame:
