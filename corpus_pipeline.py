@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import language_id, packing, quality_rules, simhash, suffix_dedup
+from sieveline.llm import language_id, near_copies, packing, quality_rules, suffix_dedup
 from sieveline.llm.frames import ensure_checkpoint_dir
 from sieveline.llm.queries import vocabulary
 
@@ -34,8 +34,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near duplicates (a Jaccard similarity of five-word shingles of 0.8 or more) stays."""
+    return near_copies.one_of_each(docs)
 
 
 def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

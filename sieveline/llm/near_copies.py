@@ -1,0 +1,235 @@
+"""Near copies by exact Jaccard similarity of word shingles: a set-similarity join with prefix and positional filters.
+
+A text is its set of hashed, lower-cased shingles of ``SHINGLE`` words; texts
+are linked if their sets have a Jaccard similarity of ``NUMERATOR`` /
+``DENOMINATOR`` or more.  In any fixed order of shingles two such sets share one
+among the first n - ceil(n * similarity) + 1 of each, so only shingles of these
+prefixes are shuffled and no link is lost.  The order puts shingles that a
+sample finds common last; the sample decides nothing else.  Equal sets are one
+node.  Each node is first compared with the smallest node of every group that
+shares a shingle; then, in groups that do not lie in one component yet, nodes of
+different components are compared with each other.  Candidates, where sizes and
+places do not rule the similarity out, are confirmed by their whole sets.
+
+Defined results: a null, empty or blank text has the empty set, which equals
+itself only; fewer words than a shingle are one shingle; of repeated rows one
+stays, of a component one with the smallest id (null ids last); an empty table
+gives an empty result.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .components import components
+from .frames import append, cut
+from .textops import Prefix, Words, flat, mixed, offsets_of, released, slices
+
+SHINGLE = 5
+NUMERATOR, DENOMINATOR = 4, 5
+#: Rows sampled for the order of shingles, and common shingles that are sent to the executors, at most.
+MAX_SAMPLE, MAX_COMMON = 4096, 1 << 16
+#: A shingle that so many sampled rows have is common.
+COMMON = 4
+#: Bits of the bitmap that tells which texts may have a candidate.
+BITMAP_BITS = 24
+KEY = T.StructType([T.StructField("key", T.LongType())])
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of all texts, n + 1 offsets into them, and a 64-bit key of each set."""
+    words = Words(data, offsets)
+    n_words = np.diff(words.first)
+    counts = np.where(n_words >= SHINGLE, n_words - SHINGLE + 1, np.minimum(n_words, 1))
+    joined, at = words.join(lower=True)
+    first = offsets_of(counts)
+    begin = np.arange(first[-1]) + np.repeat(words.first[:-1] - first[:-1], counts)
+    h = Prefix(Prefix(joined).of(at, at + words.lengths)).of(begin, begin + np.repeat(np.minimum(n_words, SHINGLE), counts))
+    doc = np.repeat(np.arange(len(n_words)), counts)
+    order = np.lexsort((h, doc))
+    h = h[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))[: len(h)]
+    h, bounds = h[new], offsets_of(np.bincount(doc[new], minlength=len(n_words)))
+    total = np.append(np.uint64(0), np.cumsum(mixed(h ^ np.uint64(0xA0761D6478BD642F))))
+    keys = total[bounds[1:]] - total[bounds[:-1]]
+    return h, bounds, mixed(keys + np.diff(bounds).astype(np.uint64))
+
+
+def keyed(docs: DataFrame, text_col: str, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``key``, equal for equal sets."""
+    return append(docs, text_col, KEY, lambda batch: [pa.array(shingle_sets(*flat(batch.column(batch.schema.get_field_index(text_col))))[2].view(np.int64))], keep)
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts of a sample have, in order, and how many; of ``texts`` (id, text)."""
+    ids = texts.where("id is not null").select("id").orderBy(F.xxhash64("id"), "id").limit(MAX_SAMPLE).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(*flat(batch.column(0)))[0].view(np.int64))], names=["shingle"])
+
+    sample = texts.join(F.broadcast(ids), "id").select("text").mapInArrow(released(run), "shingle long")
+    found = sample.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(MAX_COMMON).toPandas()
+    shingles = found["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], found["n"].to_numpy(np.int64)[order]
+
+
+def prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Rows (shingle, key, n, pos): the first shingles of each set of ``texts`` (text), the set's key and size, and the place in it."""
+    known, times = common
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            h, bounds, keys = shingle_sets(*flat(batch.column(0)))
+            n = np.diff(bounds)
+            once = np.zeros(len(n), bool)
+            once[np.unique(keys, return_index=True)[1]] = True
+            doc = np.repeat(np.arange(len(n)), n)
+            rank = np.zeros(len(h), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                rank = np.where(known[at] == h, times[at], 0)
+            order = np.lexsort((h, rank, doc))
+            pos = np.arange(len(h)) - bounds[doc]
+            taken = np.flatnonzero(once[doc] & (pos < n[doc] - (n[doc] * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + 1))
+            d = doc[taken]
+            columns = [h[order[taken]].view(np.int64), keys[d].view(np.int64), n[d].astype(np.int32), pos[taken].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "key", "n", "pos"])
+
+    return texts.select("text").mapInArrow(released(run), "shingle long, key long, n int, pos int")
+
+
+def near(n, m, i, j):
+    """Whether the sizes of two sets, and the places of a shingle in both, allow for the similarity."""
+    sizes = (np.minimum(n, m) * DENOMINATOR >= np.maximum(n, m) * NUMERATOR) if isinstance(n, np.ndarray) else F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR
+    least = np.minimum if isinstance(n, np.ndarray) else F.least
+    return sizes & ((least(i, j) + least(n - i, m - j)) * (NUMERATOR + DENOMINATOR) >= (n + m) * NUMERATOR)
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of shingle and key: each set that shares a shingle with others; ``centre`` is the first of
+    them, if it may be similar, and ``open`` tells whether there are three or more.  Rows that say neither go."""
+
+    def groups(rows: list[np.ndarray]) -> pa.RecordBatch:
+        shingle, key, n, pos = rows
+        new = np.append(True, (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1]))
+        shingle, key, n, pos = (x[new] for x in rows)
+        starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+        sizes = np.diff(np.append(starts, len(shingle)))
+        first, many = np.repeat(starts, sizes), np.repeat(sizes > 2, sizes)
+        a, b = n.astype(np.int64), pos.astype(np.int64)
+        linked = near(a, a[first], b, b[first]) & (first != np.arange(len(key)))
+        some = np.flatnonzero(linked | many)
+        columns = [pa.array(x[some]) for x in (shingle, key, n, pos)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(key[first[some]], mask=~linked[some]), pa.array(many[some])], names=["shingle", "key", "n", "pos", "centre", "open"])
+
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        rows = [c.to_numpy() for c in batch.columns]
+        held = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        change = np.flatnonzero(held[0][1:] != held[0][:-1])
+        if len(held[0]) >= 1 << 16 and len(change):
+            end = change[-1] + 1
+            yield groups([x[:end] for x in held])
+            held = [x[end:] for x in held]
+    if held is not None and len(held[0]):
+        yield groups(held)
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """A bit for each value of the low bits of the keys: whether a key has it."""
+    size = 1 << BITMAP_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy() & (size - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(size // 8, np.uint8)
+    for row in keys.coalesce(8).mapInArrow(released(run), "bits binary").collect():
+        out |= np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def texts_of(texts: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Rows (key, body), a compressed text for each key that has its bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            data, offsets = flat(batch.column(0))
+            keys = shingle_sets(data, offsets)[2]
+            low = (keys & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
+            has = np.flatnonzero(bits[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1)
+            if len(has):
+                bodies = [zlib.compress(data[offsets[i] : offsets[i + 1]].tobytes()) for i in has.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[has].view(np.int64)), pa.array(bodies, pa.binary())], names=["key", "body"])
+
+    return texts.select("text").mapInArrow(released(run), "key long, body binary").dropDuplicates(["key"])
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those pairs (u, v) whose sets are similar; of ``texts`` (id, text)."""
+
+    def sets(body: bytes) -> np.ndarray:
+        data = np.frombuffer(zlib.decompress(body), np.uint8)
+        return shingle_sets(data, np.array([0, len(data)]))[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, left = None, None
+        for batch in batches:
+            similar = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                u = batch.column(0)[i].as_py()
+                if u != centre:
+                    centre, left = u, sets(batch.column(2)[i].as_py())
+                both = np.sort(np.concatenate([left, sets(batch.column(3)[i].as_py())]))
+                same = int((both[1:] == both[:-1]).sum())
+                similar[i] = same * DENOMINATOR >= (len(both) - same) * NUMERATOR
+            yield batch.select([0, 1]).filter(pa.array(similar))
+
+    held = cut(texts_of(texts, bitmap(pairs.select("u").union(pairs.select("v")))))
+    right = cut(pairs.join(held.select(F.col("key").alias("v"), F.col("body").alias("right")), "v"))
+    return right.join(held.select(F.col("key").alias("u"), F.col("body").alias("left")), "u").select("u", "v", "left", "right").mapInArrow(released(run), "u long, v long")
+
+
+def links(texts: DataFrame) -> DataFrame:
+    """Links (u, v) that span the components of the sets of ``texts`` (id, text)."""
+    rows = prefixes(texts, common_shingles(texts)).repartition("shingle").sortWithinPartitions("shingle", "key")
+    members = cut(rows.mapInArrow(released(met), "shingle long, key long, n int, pos int, centre long, open boolean"))
+    star = cut(members.where("centre is not null").select(F.col("centre").alias("u"), F.col("key").alias("v")).distinct())
+    first = cut(confirmed(star, texts))
+    label = components(first)
+    labelled = cut(members.where("open").select("shingle", "key", "n", "pos").join(label.select(F.col("u").alias("key"), F.col("v").alias("label")), "key", "left").withColumn("label", F.coalesce("label", "key")))
+    several = cut(labelled.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("shingle"))
+    left = cut(labelled.join(several, "shingle", "left_semi"))
+    possible = near(*(F.col(c).cast("long") for c in ("a.n", "b.n", "a.pos", "b.pos")))
+    across = left.alias("a").join(left.alias("b"), "shingle").where("a.key < b.key and a.label != b.label").where(possible).select(F.col("a.key").alias("u"), F.col("b.key").alias("v")).distinct()
+    second = confirmed(cut(across.join(star, ["u", "v"], "left_anti")), texts)
+    return first.union(second)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: one with the smallest id (null ids last)."""
+    names = [f"_column{i}" for i in range(len(docs.columns))]
+    own_id, own_text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    named = docs.toDF(*names)
+    distinct = cut(keyed(named, own_text, [own_id]).groupBy("key").agg(F.min(own_id).alias("least")))
+    label = components(links(named.select(F.col(own_id).alias("id"), F.col(own_text).alias("text"))))
+    labelled = distinct.join(label.select(F.col("u").alias("key"), F.col("v").alias("label")), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    best = labelled.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), "least", "key")).alias("best"))
+
+    def row(id_: str, key: str) -> F.Column:
+        """Id and key as one value, so that a single shuffle serves the join and the choice among repeated rows."""
+        return F.concat(F.coalesce(F.concat(F.lit("="), F.col(id_).cast("string")), F.lit("")), F.lit(" "), F.col(key).cast("string"))
+
+    winners = best.select(row("best.least", "best.key").alias("_row"))
+    return keyed(named, own_text).withColumn("_row", row(own_id, "key")).join(winners, "_row", "left_semi").dropDuplicates(["_row"]).select(*names).toDF(*docs.columns)

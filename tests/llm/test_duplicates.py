@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from sieveline.llm import components, queries, repeats, simhash, substring_dedup, suffix_dedup
+from sieveline.llm import components, near_copies, queries, repeats, simhash, substring_dedup, suffix_dedup
 from sieveline.llm.textops import Prefix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -183,6 +183,55 @@ def test_tiles_lose_no_link(spark, tile):
     assert [got[s] for _, s in rows] == joined_up(values, range(len(values)))
 
 
+def five_words(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1))))
+
+
+def similar_groups(docs):
+    """The smallest id of each row's component under a five-word Jaccard similarity of at least 0.8, by brute force."""
+    sets = [five_words(t) for _, t in docs]
+    label = list(range(len(docs)))
+    places = {}
+    for i, s in enumerate(sets):
+        for g in s or [None]:
+            places.setdefault(g, []).append(i)
+    for i, s in enumerate(sets):
+        for j in {j for g in s or [None] for j in places[g] if j < i}:
+            same = len(s & sets[j])
+            if 5 * same >= 4 * (len(s) + len(sets[j]) - same) and label[i] != label[j]:
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    groups = {}
+    for (i, _), x in zip(docs, label, strict=True):
+        groups.setdefault(x, []).append(i)
+    return Counter(min((i for i in ids if i is not None), default=None) for ids in groups.values())
+
+
+@pytest.mark.parametrize("common", [1, 4])
+def test_near_copies_against_brute_force(spark, common, monkeypatch):
+    """Copies with edits, chains of them, one line that all share, empty texts and repeated rows, through the pipeline's stage."""
+    monkeypatch.setattr(near_copies, "COMMON", common)
+    r = random.Random(common)
+    line = "this very line stands in all of the texts".split()
+    docs = []
+    for base in range(12):
+        body = [f"w{r.randrange(300)}" for _ in range(r.choice([12, 40, 150]))]
+        for _ in range(8):
+            docs.append((len(docs), " ".join([*line, *body])))
+            for _ in range(r.randint(1, 2)):  # each copy is edited further
+                body[r.randrange(len(body))] = f"E{r.randrange(10**6)}"
+    docs += [(500, None), (501, ""), (502, "One"), (503, "one"), (504, "A b"), (None, "one"), (None, "q r s"), docs[3], (505, docs[4][1] + " x")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, SCHEMA).repartition(3), "").collect()
+    assert Counter(x.doc_id for x in got) == similar_groups(docs)
+
+
+def test_near_copies_of_a_table(spark):
+    docs = [tuple(x) for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, SCHEMA), "").collect()
+    assert Counter(x.doc_id for x in got) == similar_groups(docs)
+
+
 @pytest.mark.parametrize("shape", ["chain", "star", "random", "none"])
 def test_components(spark, shape):
     r = random.Random(4)
