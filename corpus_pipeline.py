@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told go."""
-    model = language_id.fit(docs)
+    """Documents whose language cannot be told, or is none of the learned, go."""
+    model = language_id.fit_known(docs)
     return language_id.identified(docs, model)
 
 

@@ -5,6 +5,12 @@ the executors from a bounded sample of labelled rows; the log-probability
 matrix (``BUCKETS`` x languages, so of bounded size) goes to the executors in
 the task closure, and a batch is scored as a sparse matrix in numpy.
 
+The posterior compares learned languages only, so it says nothing of a text in
+none of them.  ``fit_known`` therefore also learns how likely a letter sequence
+of each language is, per n-gram: each sampled text is scored with its own counts
+left out, and ``identified`` rejects what is less likely than all but one in a
+thousand of them (of the short ones, for a short text).
+
 Defined results: a null text, an empty text or one without a letter is ``und``
 with score 0; ties go to the language that sorts first; an empty table gives
 an empty result; without labelled rows every text is ``und``.
@@ -34,6 +40,8 @@ SMOOTHING = 0.5
 UNDETERMINED = "und"
 #: A text whose best language is less likely is rejected by ``identified``.
 MIN_SCORE = 0.5
+#: So many of the sampled texts may be less likely than the floor, and texts of fewer n-grams have a floor of their own.
+FLOOR_SHARE, SHORT = 0.001, 1024
 FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
@@ -80,20 +88,39 @@ class Model:
     langs: list[str]
     log_prior: np.ndarray
     log_prob: np.ndarray
+    #: Least log-probability per n-gram of long and of short texts, languages x 2.
+    floor: np.ndarray | None = None
 
-    def posterior(self, buckets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """P(language | text), texts x languages."""
+    def joint(self, buckets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """log P(text, language), texts x languages."""
         out = np.tile(self.log_prior, (len(bounds) - 1, 1))
         for j in range(len(self.langs)):  # a sparse row holds a bucket as often as it occurs
             total = np.append(0, np.cumsum(self.log_prob[j][buckets], dtype=np.float64))
             out[:, j] += total[bounds[1:]] - total[bounds[:-1]]
-        out = np.exp(out - out.max(1, keepdims=True))
+        return out
+
+    def posterior(self, joint: np.ndarray) -> np.ndarray:
+        """P(language | text), texts x languages."""
+        out = np.exp(joint - joint.max(1, keepdims=True))
         return out / out.sum(1, keepdims=True)
 
+    def known(self, joint: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Which texts, of n n-grams each, are as likely as texts of their best language are."""
+        if self.floor is None:
+            return np.ones(len(n), bool)
+        best = joint.argmax(1)
+        return (joint - self.log_prior)[np.arange(len(n)), best] >= n * self.floor[best, (n < SHORT).astype(int)]
 
-def fit(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Model:
-    """Count on at most ``max_sample`` rows with a language that are not held out."""
+
+def _sample(docs: DataFrame, max_sample: int) -> DataFrame:
+    """Rows (text, lang): at most ``max_sample`` rows with a language that are not held out."""
     chosen = sample_ids(docs.where("lang is not null and text is not null and doc_id is not null"), "doc_id", ["lang"], max_sample)
+    ids = chosen.withColumnRenamed("lang", "sample_lang")
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("sample_lang").alias("lang"))
+
+
+def _counts(sample: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The languages of the sample, and how often each has each bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -107,34 +134,78 @@ def fit(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Model:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    ids = chosen.withColumnRenamed("lang", "sample_lang")
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("sample_lang").alias("lang"))
     counts = sample.mapInArrow(released(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     table = np.zeros((len(langs), BUCKETS))
     for j, name in enumerate(langs):
         own = counts[counts["lang"] == name]
         table[j, own["bucket"].to_numpy()] = own["n"].to_numpy()
-    table += SMOOTHING
+    return langs, table
+
+
+def _model(langs: list[str], table: np.ndarray) -> Model:
+    table = table + SMOOTHING
     # a flat prior: how common a language is in the sample says little about one text
     return Model(langs, np.zeros(len(langs)), np.log(table / table.sum(1, keepdims=True)))
 
 
-def annotate(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the posterior of that language."""
+def fit(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Model:
+    """Count on at most ``max_sample`` rows with a language that are not held out."""
+    return _model(*_counts(_sample(docs, max_sample)))
+
+
+def fit_known(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Model:
+    """``fit`` with the floors that ``identified`` then holds texts to."""
+    sample = _sample(docs, max_sample)
+    langs, table = _counts(sample)
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per text with a letter: its language, its n-grams, and their mean log-probability in the other texts of the language."""
+        total = table.sum(1)
+        for batch in slices(batches):
+            buckets, bounds, has = grams(*flat(batch.column(0)))
+            rows = []
+            for i in np.flatnonzero(has).tolist():
+                j, (own, times) = langs.index(batch.column(1)[i].as_py()), np.unique(buckets[bounds[i] : bounds[i + 1]], return_counts=True)
+                n = int(times.sum())
+                rows.append((j, n, float(times @ np.log(table[j, own] - times + SMOOTHING)) / n - np.log(total[j] - n + SMOOTHING * BUCKETS)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.float64()))], names=["lang", "n", "mean"])
+
+    model = _model(langs, table)
+    scores = sample.mapInArrow(released(left_out), "lang int, n long, mean double").toPandas()
+    usual = scores.groupby("lang")["mean"].median().reindex(range(len(langs)), fill_value=np.inf).to_numpy()  # nothing is in a language without a letter
+    below = scores["mean"].to_numpy() - usual[scores["lang"].to_numpy()]
+
+    def floor(values: np.ndarray) -> float:
+        return float(np.quantile(values, FLOOR_SHARE, method="lower")) if len(values) else 0.0
+
+    usual_floor = floor(below)
+    model.floor = usual[:, None] + np.array([usual_floor, min(usual_floor, floor(below[scores["n"].to_numpy() < SHORT]))])
+    return model
+
+
+def _marked(docs: DataFrame, model: Model, keep: list[str] | None, text_col: str, fields: T.StructType) -> DataFrame:
+    """``docs`` with the first of ``lang_pred``, ``score`` and ``known`` that ``fields`` names."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         data, offsets = flat(batch.column(batch.schema.get_field_index(text_col)))
         buckets, bounds, has = grams(data, offsets)
         if not model.langs:
-            return [pa.array([UNDETERMINED] * batch.num_rows), pa.array(np.zeros(batch.num_rows))]
-        p = model.posterior(buckets, bounds)
+            return [pa.array([UNDETERMINED] * batch.num_rows), pa.array(np.zeros(batch.num_rows)), pa.array(has)][: len(fields)]
+        joint = model.joint(buckets, bounds)
+        p = model.posterior(joint)
         names = np.where(has, np.array(model.langs, object)[p.argmax(1)], UNDETERMINED)
-        return [pa.array(names, pa.string()), pa.array(np.where(has, p.max(1), 0.0))]
+        return [pa.array(names, pa.string()), pa.array(np.where(has, p.max(1), 0.0)), pa.array(model.known(joint, np.diff(bounds)))][: len(fields)]
+
+    return append(docs, text_col, fields, make, keep)
 
-    return append(docs, text_col, FIELDS, make, keep)
+
+def annotate(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``, the posterior of that language."""
+    return _marked(docs, model, keep, text_col, FIELDS)
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose language can be told."""
-    return filtered(docs, text_col, lambda df, column: annotate(df, model, text_col=column), f"lang_pred != '{UNDETERMINED}' and score >= {min_score}")
+    """The rows of ``docs`` whose language can be told and, by the floors of the model if it has any, is one of the learned."""
+    fields = T.StructType([*FIELDS, T.StructField("known", T.BooleanType())])
+    return filtered(docs, text_col, lambda df, column: _marked(df, model, None, column, fields), f"lang_pred != '{UNDETERMINED}' and score >= {min_score} and known")

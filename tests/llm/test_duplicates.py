@@ -261,6 +261,19 @@ def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "simhash_near_dedup", "suffix_array_dedup", "packing"]
 
 
+def test_language_stage_rejects_what_is_not_learned(spark):
+    """Random letters and languages that no row is labelled with go; of the rows that were there, hardly any does."""
+    r = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("size(split(trim(text), ' +')) >= 10")
+    odd = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n)) for n in (10, 30, 30, 300, 3000)]
+    odd.append("Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.")
+    odd.append("Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.")
+    odd.append("すべての人間は、 生まれながらにして 自由であり、 かつ、 尊厳と 権利とについて 平等である。 人間は、 理性と 良心とを 授けられており、 互いに 同胞の 精神をもって 行動しなければならない。")
+    more = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    kept = [x.doc_id for x in corpus_pipeline.language(spark, docs.union(more), "").select("doc_id").collect()]
+    assert not [i for i in kept if i >= 10**9] and len(kept) >= 0.99 * docs.count()
+
+
 def test_pipeline_hard_rows(spark, sf_dir):
     schema = "doc_id long, text string, lang string, source string, n_chars long, kept int, simhash string, rest int, score double"
     long_text = " ".join(f"word{i} der die und" for i in range(4000))
