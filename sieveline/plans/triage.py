@@ -34,7 +34,7 @@ def scan_relation(df: DataFrame, options: TriageOptions = TriageOptions()) -> Da
     if "error" not in df.columns:
         df = df.withColumn("error", F.lit(None).cast("string"))
     failed, empty, null = F.col("error").isNotNull(), F.lit(""), F.lit(None)
-    large = (F.col("length") > options.max_file_size) & ~failed
+    large = F.coalesce(F.col("length") > options.max_file_size, F.lit(False)) & ~failed  # null contents are read, as nothing
     skipped = findings.issue("skipped_large", findings.SKIPPED_LARGE)
     no_reasons = F.array().cast("array<string>")
     aside = df.where(large | failed).select("path", "length", "error")
@@ -42,7 +42,7 @@ def scan_relation(df: DataFrame, options: TriageOptions = TriageOptions()) -> Da
         aside, path=F.col("path"), sha256=empty, size=F.col("length"), magic_type=F.lit("unknown"), issues=F.when(failed, F.array().cast(ISSUES)).otherwise(F.array(skipped)),
         score=F.lit(0), severity=F.lit("Safe"), reasons=F.when(failed, no_reasons).otherwise(F.array(F.lit("skipped_large"))), error=F.col("error"),
     )
-    read = df.where((F.col("length") <= options.max_file_size) & ~failed)
+    read = df.where(~(large | failed))
     if "members" not in df.columns:
         gate = file_columns().needs_members()
         read = read.withColumn("members", zip_members(F.when(gate, F.col("content"))))

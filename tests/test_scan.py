@@ -150,3 +150,10 @@ def test_tree(spark, tmp_path):
     (tmp_path / "none").mkdir()
     assert scan(spark, str(tmp_path / "none")).count() == 0 and scan_targets(spark, []).count() == 0
     assert explode_issues(scan(spark, str(tmp_path / "_u.exe"))).select("code", "weight").collect() == [("pe_header", 50)]
+
+
+def test_null_contents_keep_their_row(spark):
+    df = spark.createDataFrame([("a.txt", None, None), ("b.txt", 2, bytearray(b"hi")), ("c.txt", 9, bytearray(b"too large"))], "path string, length long, content binary")
+    got = {r["path"]: r for r in scan_relation(df, TriageOptions(max_file_size=5)).collect()}
+    assert sorted(got) == ["a.txt", "b.txt", "c.txt"]
+    assert (got["a.txt"]["size"], got["a.txt"]["sha256"], codes(got["a.txt"]), got["a.txt"]["score"], got["a.txt"]["severity"]) == (None, None, [], 0, "Safe")
