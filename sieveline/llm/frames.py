@@ -38,6 +38,12 @@ def filtered(df: DataFrame, text_col: str, mark: Callable[[DataFrame, str], Data
     return marked.where(condition).select(*names).toDF(*df.columns)
 
 
+def whole_number(df: DataFrame, column: str) -> None:
+    """Ids that are compared and returned as long must be integers."""
+    if not isinstance(df.schema[column].dataType, T.IntegralType):
+        raise TypeError(f"{column} must be an integer column, not {df.schema[column].dataType.simpleString()}")
+
+
 def fold(id_col: str = "doc_id") -> F.Column:
     """crc32 of the id as text, modulo 5; 0 marks the rows held out."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5

@@ -15,8 +15,10 @@ pattern; every distinct piece is encoded by the tokenizer itself.
 
 Defined results: a null or empty text is the end id alone; a text longer than a
 sequence is cut; repeated rows are packed one by one, also under the same id;
-an empty table gives an empty result.  Strings of special tokens in a text are
-ordinary text.
+an empty table gives an empty result; columns beside id and text are not looked
+at, whatever their names; the id must be an integer (``pack`` says so before it
+runs).  A text with the string of a special token is encoded whole by the
+tokenizer, which makes that string one id, unless ``special_as_text``.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import whole_number
 from .textops import CHUNK_BYTES, flat, released, slices
 from .vocab import Encoder
 
@@ -95,12 +98,33 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return head[np.flatnonzero(start)]
 
 
-def tokenizer_encoder(path: str) -> Encoder:
+class TextEncoder(Encoder):
+    """Encodes pieces, and whole texts in which ``special`` strings stand."""
+
+    def __init__(self, encode, tokenizer, special: list[bytes]):
+        super().__init__(encode)
+        self.tokenizer, self.special = tokenizer, special
+
+    def whole(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, np.ndarray]:
+        """The ids of the texts that hold a special string, by row."""
+        found, text = set(), data.tobytes() if self.special else b""
+        for token in self.special:
+            at = text.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(token) <= offsets[row + 1]:
+                    found.add(row)
+                at = text.find(token, at + 1)
+        return {r: np.array(self.tokenizer.encode(text[offsets[r] : offsets[r + 1]].decode(), add_special_tokens=False).ids, np.uint32) for r in sorted(found)}
+
+
+def tokenizer_encoder(path: str, special_as_text: bool = False) -> TextEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = special_as_text
+    special = [] if special_as_text else [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
     batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
 
     def encode(pieces: list[bytes]) -> list[list[int]]:
@@ -109,10 +133,10 @@ def tokenizer_encoder(path: str) -> Encoder:
             out += [x.ids for x in batch([p.decode() for p in pieces[at : at + ENCODED]], add_special_tokens=False)]
         return out
 
-    return Encoder(encode)
+    return TextEncoder(encode, tokenizer, special)
 
 
-def document_ids(encoder: Encoder, data: np.ndarray, offsets: np.ndarray, end_id: int = END_ID) -> list[np.ndarray]:
+def document_ids(encoder: TextEncoder, data: np.ndarray, offsets: np.ndarray, end_id: int = END_ID) -> list[np.ndarray]:
     """The ids of each text, ended by ``end_id``."""
     parts, row = [], 0
     while row < len(offsets) - 1:  # code points take four times the room, so they are looked at in smaller parts
@@ -124,7 +148,10 @@ def document_ids(encoder: Encoder, data: np.ndarray, offsets: np.ndarray, end_id
     bounds = at[np.searchsorted(starts, offsets)]
     ended = np.insert(ids, bounds[1:], end_id)
     ends = bounds[1:] + np.arange(1, len(offsets))
-    return np.split(ended, ends[:-1])
+    out = np.split(ended, ends[:-1])
+    for row, own in encoder.whole(data, offsets).items():
+        out[row] = np.append(own, np.uint32(end_id))
+    return out
 
 
 Piece = tuple[int | None, int, np.ndarray, int]  # document, ids before it, ids, ids of the document
@@ -188,12 +215,13 @@ class Packer:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """One row per piece; ``with_ids`` adds the ids themselves.  Sequence ids are unique over all tasks."""
+    whole_number(docs, id_col)
     names = [c.split()[0] for c in SCHEMA.split(", ")] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, base = tokenizer_encoder(tokenizer_path), Packer(capacity), TaskContext.get().partitionId() << 33
+        encoder, packer, base = tokenizer_encoder(tokenizer_path, special_as_text), Packer(capacity), TaskContext.get().partitionId() << 33
 
         def batch_of(placed: list[tuple[Piece, int, int]]) -> pa.RecordBatch:
             rows = [(doc, before, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, base + k, offset) for (doc, before, ids, total), k, offset in placed]
