@@ -9,9 +9,12 @@ continuity counters, reassembles the elementary packets and returns time stamps
 and random-access points.  Both work on whole packet arrays in numpy.
 
 Defined results: a null or empty text is stored as 64 zero bytes; equal texts
-give equal streams; a damaged stream gives its errors in the result (lost
-continuity, missing tables) and what could be reassembled; an empty table gives
-an empty result.
+give equal streams; a damaged stream never fails: what is wrong with it (lost
+sync or continuity, tables or elementary packets that are cut short or missing)
+is counted in the result, beside what could be reassembled; an input column that
+has the name of a result is replaced by it; repeated rows give repeated rows; an
+empty table gives an empty result.  A row's stream and payload are in memory as a
+whole, about four times the text.
 """
 
 from __future__ import annotations
@@ -140,7 +143,9 @@ class Demuxed:
 
 
 def _section(packet: bytes, start: int) -> bytes | None:
-    """The table section in a packet, if its checksum holds."""
+    """The table section in a packet, if it is whole and its checksum holds."""
+    if start >= PACKET:
+        return None
     at = start + 1 + packet[start]
     section = packet[at : at + 3 + (int.from_bytes(packet[at + 1 : at + 3], "big") & 0x0FFF)]
     return section[:-4] if len(section) > 12 and section_crc(section) == 0 else None
@@ -182,12 +187,14 @@ def demux(stream: bytes) -> Demuxed:
         data = q[whole].tobytes()
         ends = np.append(0, np.cumsum(PACKET - begin))
         heads = np.flatnonzero(unit[own])
-        for a, b in zip(heads, np.append(heads[1:], len(own)), strict=True):
+        out.table_errors += not len(heads)
+        for a, b in zip(heads, np.append(heads, len(own))[1:], strict=True):
             pes = data[ends[a] : ends[b]]
-            if pes[:3] != b"\x00\x00\x01" or len(pes) < 9:
+            if pes[:3] != b"\x00\x00\x01" or len(pes) < 9 or len(pes) < 9 + pes[8]:
                 out.table_errors += 1
                 continue
             length, flags, head = int.from_bytes(pes[4:6], "big"), pes[7], pes[8]
+            out.table_errors += bool(length) and len(pes) < 6 + length
             if flags & 0x80 and head >= 5:
                 t = pes[9:14]
                 time = (t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1
