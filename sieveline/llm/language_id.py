@@ -1,9 +1,10 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of lower-cased 1-, 2- and 3-grams of letters and spaces are gathered on
-the executors from a bounded sample of labelled rows; the log-probability
-matrix (``BUCKETS`` x languages, so of bounded size) goes to the executors in
-the task closure, and a batch is scored as a sparse matrix in numpy.
+the executors from a bounded sample of the labelled rows of each language; the
+log-probability matrix (``BUCKETS`` values of 8 bytes a language, so its size
+does not depend on the rows) is broadcast, and a batch is scored as a sparse
+matrix in numpy.
 
 The posterior compares learned languages only, so it says nothing of a text in
 none of them.  ``fit_known`` therefore also learns how likely a letter sequence
@@ -12,8 +13,11 @@ left out, and ``identified`` rejects what is less likely than all but one in a
 thousand of them (of the short ones, for a short text).
 
 Defined results: a null text, an empty text or one without a letter is ``und``
-with score 0; ties go to the language that sorts first; an empty table gives
-an empty result; without labelled rows every text is ``und``.
+with score 0; ties go to the language that sorts first; repeated rows get equal
+results and count once in the sample; a very long text is scored whole, with
+about 40 bytes of arrays a character; an input column named ``lang_pred`` or
+``score`` is replaced, by ``identified`` none is; an empty table gives an empty
+result; without labelled rows every text is ``und``.
 """
 
 from __future__ import annotations
@@ -29,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import append, filtered, sample_ids
+from .frames import append, cut, filtered, fold
 from .textops import flat, offsets_of, released, slices
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 14
-#: Labelled rows that the counts are taken from, at most.
-MAX_SAMPLE = 4096
+#: Labelled rows of each language that the counts are taken from: all if there are fewer, else about so many.
+MAX_SAMPLE = 1024
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 #: A text whose best language is less likely is rejected by ``identified``.
@@ -113,10 +117,14 @@ class Model:
 
 
 def _sample(docs: DataFrame, max_sample: int) -> DataFrame:
-    """Rows (text, lang): at most ``max_sample`` rows with a language that are not held out."""
-    chosen = sample_ids(docs.where("lang is not null and text is not null and doc_id is not null"), "doc_id", ["lang"], max_sample)
-    ids = chosen.withColumnRenamed("lang", "sample_lang")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("sample_lang").alias("lang"))
+    """Rows (text, lang), about ``max_sample`` of each language at most, chosen by a hash, of those that are not held out."""
+    labelled = docs.where("lang is not null and text is not null and doc_id is not null").where(fold() != 0).select("doc_id", "text", "lang")
+    rates = [(r["lang"], min(max_sample / r["n"], 1.0)) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    if not rates:
+        return labelled.select("text", "lang")
+    rate = F.create_map(*(F.lit(x) for pair in rates for x in pair))[F.col("lang")]
+    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) < rate * float(1 << 32))
+    return cut(chosen.dropDuplicates().select("text", "lang"))
 
 
 def _counts(sample: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -150,7 +158,7 @@ def _model(langs: list[str], table: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Model:
-    """Count on at most ``max_sample`` rows with a language that are not held out."""
+    """Count on about ``max_sample`` rows of each language, at most, that are not held out."""
     return _model(*_counts(_sample(docs, max_sample)))
 
 
@@ -186,8 +194,10 @@ def fit_known(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Model:
 
 def _marked(docs: DataFrame, model: Model, keep: list[str] | None, text_col: str, fields: T.StructType) -> DataFrame:
     """``docs`` with the first of ``lang_pred``, ``score`` and ``known`` that ``fields`` names."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        model = sent.value
         data, offsets = flat(batch.column(batch.schema.get_field_index(text_col)))
         buckets, bounds, has = grams(data, offsets)
         if not model.langs:
