@@ -1,21 +1,28 @@
 """Suffix-array dedup: windows of bytes that start anywhere else are removed everywhere.
 
-Segments (see ``repeats``) whose whole content occurs twice are repeated as they
-stand.  The others, where a repeat begins or ends, meet by minimizer, and their
-suffixes are sorted: prefix polynomial hashes and binary search find the common
-extension of two suffixes, so that a comparison takes logarithmic time; runs are
-merged bottom-up, all merges of a level in one round of array operations; the
-finished order and every claimed match are verified byte by byte, and an order
-that a hash collision has spoilt is sorted again by the bytes themselves.  A
-window that equals its neighbour in this order is repeated.
-
-Equal windows share a minimizer, so no group needs another one's suffixes.  A
-minimizer with more than ``HOT`` different contents is not sorted in one task:
-its windows are counted by 128-bit hash, combined before they are shuffled.
-
-Defined results: a null text is empty; texts shorter than a window stay whole;
-rows with null or equal ids count as separate documents; an empty table gives an
-empty result.
+Segments (see ``repeats``) meet by minimizer; equal windows share it, so no group
+needs another one's suffixes.  Equal contents of a group are taken once, and all
+different ones have their suffixes sorted: prefix polynomial hashes and binary
+search find the common extension of two suffixes, so that a comparison takes
+logarithmic time; runs are merged bottom-up, all merges of a level in one round
+of array operations; the finished order and every claimed match are verified byte
+by byte, and an order that a hash collision has spoilt is sorted again by the
+bytes themselves.  A window that equals its neighbour in this order is repeated.
+A content that occurs again as a whole is repeated; each occurrence is verified
+against a digest of the bytes at the source coordinates.
+
+No task sorts more than ``BOUND`` windows of one group.  A larger group is parted
+by where the minimizer stands in a window and by the bytes that all windows of
+such a part have in common, which equal windows share as well; equal contents of
+a part are taken once again (compared as bytes), and what is still too large is
+parted more finely, at last by whole windows.
+
+Defined results: a null text is empty; texts shorter than a window stay whole; a
+very long text is cut into segments block by block and shortened as a whole, with
+about 20 bytes of arrays a byte; rows with null or equal ids count as separate
+documents; columns beside id and text, whatever their names, are carried by
+``deduplicated`` and not looked at by ``shorten``; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -31,15 +38,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import repeats
-from .frames import cut
+from .frames import cut, whole_number
 from .textops import Prefix, offsets_of, released
 
 WINDOW = 200
 #: Bytes of the k-gram that places a window.
 MINIMIZER = 48
-#: Contents of one minimizer that are sorted in one task, at most.
-HOT = 4096
-#: Bytes of content that are sorted at once.
+#: Windows of one group that are sorted in one task, at most, and windows a task should have.
+BOUND, TASK_WINDOWS = 1 << 15, 1 << 19
+#: Places of the minimizer in a window that a part has, round by round.
+WIDTHS = (64, 16, 4, 1)
+#: Bytes of content that are sorted, or handed on, at once.
 CHUNK = 1 << 19
 #: Bytes that order suffixes before merging, and rows that are verified at once.
 LEAD, VERIFY = 16, 1 << 13
@@ -67,15 +76,23 @@ class SuffixOrder:
         self.merge(np.flatnonzero(fresh))
         self.same = self.verify(fresh)
 
-    def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """The common length of suffixes, by binary search over prefix hashes."""
+    def alike(self, x: np.ndarray, y: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """Whether suffixes agree, by their hashes, in their first n bytes."""
         total, down = self.prefix.total, self.prefix.down
+        return (total[x + n] - total[x]) * down[x] == (total[y + n] - total[y]) * down[y]
+
+    def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The common length of suffixes, by binary search over prefix hashes; whole suffixes are compared first."""
+        out = np.full(len(x), self.length)
+        differ = np.flatnonzero(~self.alike(x, y, self.length))
+        x, y = x[differ], y[differ]
         low, high = np.full(len(x), self.lead), np.full(len(x), self.length)
         for _ in range((self.length - self.lead).bit_length()):
             middle = (low + high + 1) >> 1
-            equal = (total[x + middle] - total[x]) * down[x] == (total[y + middle] - total[y]) * down[y]
+            equal = self.alike(x, y, middle)
             low, high = np.where(equal, middle, low), np.where(equal, high, middle - 1)
-        return low
+        out[differ] = low
+        return out
 
     def before(self, x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         """Whether suffix x comes before y, or is equal where ``or_equal``."""
@@ -157,42 +174,86 @@ def repeated_windows(contents: list[bytes], counts: np.ndarray, window: int) ->
     return out
 
 
-PIECES = "m long, id long, key long, loc long, single boolean, content binary, w1 long, w2 long, place int"
+PIECES = "part long, c long, id long, key long, start long, windows int, single boolean, large boolean, content binary, digest binary"
+PARTS = "part long, id long, key long, start long, windows int, single boolean, content binary"
 
 
 def _pieces(window: int):
-    """From documents with segments to compare: their contents, or hashed windows where the minimizer is hot."""
+    """From documents with segments: the contents that are to be sorted, and the digests of those that occur again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in PIECES.split(", ")]
+        for batch in batches:
+            bounds, wanted = repeats.lists(batch.column(3))
+            m, c, loc, times, mixed, large = (wanted.field(i).to_pylist() for i in range(6))
+            held: list[tuple] = []
+            size = 0
+
+            def rows(held: list[tuple]) -> pa.RecordBatch:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary())
+                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
+            for row, (doc, key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), repeats.bodies(batch.column(2)), strict=True)):
+                for i in range(bounds[row], bounds[row + 1]):
+                    start, n = loc[i] >> 22, loc[i] >> 1 & 0x1FFFFF
+                    content = text[start : start + n - 1 + window]
+                    held.append((m[i], c[i], doc, key, start, n, times[i] == 1, large[i], content if mixed[i] else None, repeats.digest(content) if times[i] > 1 else None))
+                    size += len(content)
+                    if size >= CHUNK:
+                        yield rows(held)
+                        held, size = [], 0
+            if held:
+                yield rows(held)
+
+    return released(run)
+
+
+def _parted(window: int, k: int, width: int):
+    """Contents cut by the place of the minimizer in their windows, ``width`` places to a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), repeats.bodies(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                rows = []
-                for p in wanted:
-                    loc = p["loc"]
-                    start, n = loc >> 22, loc >> 1 & 0x1FFFFF
-                    if not p["hot"]:
-                        rows.append((p["m"], doc, key, loc, p["n"] == 1, text[start : start + n - 1 + window], None, None, None))
-                        continue
-                    for i in range(n):
-                        digest = xxhash.xxh3_128_digest(text[start + i : start + i + window])
-                        rows.append((p["m"], doc, key, loc, p["n"] == 1, None, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), i))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-                for at in range(0, len(rows), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + (1 << 16)], strict=True), kinds, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
+            if not batch.num_rows:
+                continue
+            part, contents = batch.column(0).to_pylist(), batch.column(5).to_pylist()
+            whole = b"".join(contents)
+            offsets = offsets_of(np.array([len(c) for c in contents]))
+            _, place = repeats.minimizer_places(np.frombuffer(whole, np.uint8), window, k)
+            n = np.diff(offsets) - window + 1
+            row = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(row)) + np.repeat(offsets[:-1] - offsets_of(n)[:-1], n)
+            node = (place[at] - at) // width
+            fresh = np.append(True, (row[1:] != row[:-1]) | (node[1:] != node[:-1]) | (place[at][1:] != place[at][:-1]))
+            first = np.flatnonzero(fresh)
+            last = np.append(first[1:], len(row)) - 1
+            row, begin, end = row[first], at[first], at[last]
+            low = node[first] * width
+            high = np.minimum(low + width, window - k + 1)
+            common = zip(row.tolist(), node[first].tolist(), (place[begin] - low).tolist(), (place[begin] + window + 1 - high).tolist(), strict=True)
+            named = [xxhash.xxh3_64_intdigest(b"%d %d " % (part[r], x) + whole[a:b]) for r, x, a, b in common]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.array(named, np.uint64).view(np.int64)), batch.column(1).take(take), batch.column(2).take(take),
+                pa.array(np.asarray(batch.column(3))[row] + begin - offsets[row]), pa.array((end - begin + 1).astype(np.int32)), batch.column(4).take(take),
+                pa.array([whole[a:b] for a, b in zip(begin.tolist(), (end + window).tolist(), strict=True)], pa.binary()),
+            ], names=[f.split()[0] for f in PARTS.split(", ")])
 
     return released(run)
 
 
 def _sorted(window: int):
-    """From contents in order of their minimizer: which windows of single ones are repeated."""
+    """From contents in order of their part: the runs of repeated windows of single ones."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        counts = np.array([r[3] >> 1 & 0x1FFFFF for r in rows], np.int64)
-        twice = repeated_windows([r[5] for r in rows], counts, window)
-        first = offsets_of(counts)
-        out = [(r[1], r[2], r[3], np.flatnonzero(twice[a:b]).astype(np.int32)) for r, a, b in zip(rows, first[:-1], first[1:], strict=True) if r[4] and twice[a:b].any()]
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=["id", "key", "loc", "places"])
+        counts = np.array([r[4] for r in rows], np.int64)
+        twice = repeated_windows([r[6] for r in rows], counts, window) & np.repeat(np.array([r[5] for r in rows]), counts)
+        row = np.repeat(np.arange(len(rows)), counts)
+        at = np.arange(len(row)) - np.repeat(offsets_of(counts)[:-1], counts)
+        first = np.flatnonzero(twice & np.append(True, ~twice[:-1] | (row[1:] != row[:-1])))
+        last = np.flatnonzero(twice & np.append(~twice[1:] | (row[1:] != row[:-1]), True))
+        own = [rows[i] for i in row[first].tolist()]
+        start = np.array([r[3] for r in own], np.int64) + at[first]
+        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in own], pa.int64()), pa.array([r[2] for r in own], pa.int64()), pa.array(start), pa.array((last - first + 1).astype(np.int32)), pa.nulls(len(own), pa.binary())], names=["id", "key", "start", "n", "digest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -203,34 +264,59 @@ def _sorted(window: int):
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5])
+                size += len(row[6])
         if held:
             yield solve(held)
 
     return released(run)
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = MINIMIZER, hot: int = HOT) -> DataFrame:
+def sortable(pieces: DataFrame, window: int, k: int, bound: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Contents in parts of at most ``bound`` windows, and the spans that parting has already found to be repeated."""
+    names = [f.split()[0] for f in PARTS.split(", ")]
+    usual, found = [pieces.where("not large").select(*names)], []
+    large = pieces.where("large")
+    for width in WIDTHS:
+        if large.isEmpty():
+            break
+        runs = cut(large.select("part", "id", "key", "start", "single", "content").mapInArrow(_parted(window, k, width), PARTS))
+        contents = cut(runs.groupBy("part", "content").agg(F.count("*").alias("times"), F.min(F.struct("id", "key", "start", "windows", "single")).alias("one")))
+        found.append(runs.where("single").join(contents.where("times > 1").select("part", "content"), ["part", "content"]).select("id", "key", "start", F.col("windows").alias("n"), F.lit(None).cast("binary").alias("digest")))
+        different = contents.select("part", "content", "one.id", "one.key", "one.start", "one.windows", (F.col("one.single") & (F.col("times") == 1)).alias("single"))
+        groups = cut(different.groupBy("part").agg(F.count("*").alias("kinds"), F.max("single").alias("some"), F.sum("windows").alias("all")).where("kinds > 1 and some").select("part", (F.col("all") > bound).alias("large")))
+        parted = cut(different.join(groups, "part"))
+        usual.append(parted.where("not large").select(*names))
+        large = parted.where("large")
+    return usual, found
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = MINIMIZER, bound: int = BOUND, seed: int = 0) -> DataFrame:
     """(id, key, spans) of the documents (id, text) that have repeated windows."""
-    table = repeats.segment_table(docs, symbols, window, k)
+    table = repeats.segment_table(docs, symbols, window, k, seed)
     # small sides are cut before they are joined, so that the shuffles that meet can be split where a key is hot
     met = cut(table.groupBy("m").agg(F.count("*").alias("n"), F.max(F.col("loc").bitwiseAND(1)).alias("twice")).where("n > 1 or twice = 1").select("m"))
     met = cut(table.join(met, "m"))
     contents = cut(met.groupBy("m", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "loc")).alias("source")))
-    whole = met.join(contents.where("n > 1").select("m", "c"), ["m", "c"]).select("id", "key", "loc", F.lit(None).cast("array<int>").alias("places"))
 
-    mixed = contents.groupBy("m").agg(F.count("*").alias("kinds"), F.sum((F.col("n") == 1).cast("int")).alias("singles"), F.max(F.col("source.loc").bitwiseAND(1)).alias("twice"))
-    mixed = mixed.where("singles > 0 and (kinds > 1 or twice = 1)").select("m", (F.col("kinds") > hot).alias("hot"))
-    wanted = contents.join(mixed, "m").groupBy("source.id", "source.key").agg(F.collect_list(F.struct("m", "n", F.col("source.loc").alias("loc"), "hot")).alias("wanted"))
+    windows = F.shiftright("source.loc", 1).bitwiseAND(0x1FFFFF)
+    mixed = contents.groupBy("m").agg(F.count("*").alias("kinds"), F.sum((F.col("n") == 1).cast("int")).alias("singles"), F.max(F.col("source.loc").bitwiseAND(1)).alias("twice"), F.sum(windows).alias("windows"))
+    mixed = cut(mixed.where("singles > 0 and (kinds > 1 or twice = 1)").select("m", (F.col("windows") > bound).alias("large")))
+    wanted = contents.join(mixed, "m", "left").where("n > 1 or large is not null")
+    wanted = wanted.groupBy("source.id", "source.key").agg(F.collect_list(F.struct("m", "c", F.col("source.loc").alias("loc"), "n", F.col("large").isNotNull().alias("mixed"), F.coalesce("large", F.lit(False)).alias("large"))).alias("wanted"))
     pieces = cut(repeats.with_documents(docs, wanted, "inner").select("id", "key", "body", "wanted").mapInArrow(_pieces(window), PIECES))
-    meeting = pieces.where("content is not null").select("m", "id", "key", "loc", "single", "content")
-    meeting = meeting.repartition("m").sortWithinPartitions("m").select("m", "id", "key", "loc", "single", "content")
-    edges = meeting.mapInArrow(_sorted(window), "id long, key long, loc long, places array<int>")
 
-    windows = pieces.where("content is null")
-    counted = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    hot_edges = windows.where("single").join(counted, ["w1", "w2"]).groupBy("id", "key", "loc").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    return repeats.per_document(whole.union(edges).union(hot_edges))
+    again = pieces.where("digest is not null").select(F.col("part").alias("m"), "c", "digest")
+    whole = met.join(again, ["m", "c"]).select("id", "key", F.shiftright("loc", 22).alias("start"), F.shiftright("loc", 1).bitwiseAND(0x1FFFFF).cast("int").alias("n"), "digest")
+    usual, spans = sortable(pieces.where("content is not null"), window, k, bound)
+    meeting = usual[0]
+    for more in usual[1:]:
+        meeting = meeting.union(more)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (meeting.agg(F.sum("windows")).first()[0] or 0) // TASK_WINDOWS)
+    spans = [whole, meeting.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_sorted(window), repeats.SPANS), *spans]
+    union = spans[0]
+    for more in spans[1:]:
+        union = union.union(more)
+    return repeats.per_document(union)
 
 
 FIELDS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -239,11 +325,13 @@ FIELDS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def _shorten(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text, spans in zip(batch.column(0).to_pylist(), repeats.bodies(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            rows, spans = [], repeats.SpanLists(batch.column(2))
+            for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), repeats.bodies(batch.column(1)), strict=True)):
                 kept, removed, runs = text, 0, 0
-                if spans:
-                    gone = repeats.widened(repeats.marked_windows(spans, len(text) - window + 1), window, len(text))
+                start, n, digests = spans.row(i)
+                if len(start):
+                    repeats.verified(text, start.tolist(), (start + n - 1 + window).tolist(), digests)
+                    gone = repeats.widened(repeats.marked_windows(start, n, len(text) - window + 1), window, len(text))
                     removed, runs = int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum())
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 rows.append((doc, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
@@ -254,10 +342,11 @@ def _shorten(window: int, with_text: bool):
     return released(run)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """``docs`` with the kept text; what is left of a character that lost a byte is dropped."""
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).dropFields(text_col).alias("rest") if len(docs.columns) > 1 else F.struct(F.lit(1).alias("_")).alias("rest"))
-    joined = repeats.with_documents(own, repeated_spans(own.select("id", "text"), window, min(MINIMIZER, window), hot), "left").select("id", "body", "spans", "rest")
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bound: int = BOUND, seed: int = 0) -> DataFrame:
+    """``docs`` with the kept text; what is left of a character that lost a byte is dropped.  Ids may be of any type."""
+    own_id = F.col(id_col).cast("long") if isinstance(docs.schema[id_col].dataType, T.IntegralType) else F.xxhash64(id_col)
+    own = docs.select(own_id.alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).dropFields(text_col).alias("rest") if len(docs.columns) > 1 else F.struct(F.lit(1).alias("_")).alias("rest"))
+    joined = repeats.with_documents(own, repeated_spans(own.select("id", "text"), window, min(MINIMIZER, window), bound, seed), "left").select("id", "body", "spans", "rest")
     schema = T.StructType([T.StructField("text", T.StringType()), joined.schema["rest"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,8 +358,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return joined.mapInArrow(run, schema).select(*(F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns))
 
 
-def shorten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False, hot: int = HOT) -> DataFrame:
+def shorten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False, bound: int = BOUND, seed: int = 0) -> DataFrame:
     """Per document: bytes, removed bytes, removed runs and the hash of the kept bytes; ``with_text`` adds those bytes."""
+    whole_number(docs, id_col)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    joined = repeats.with_documents(own, repeated_spans(own, window, min(MINIMIZER, window), hot), "left")
+    joined = repeats.with_documents(own, repeated_spans(own, window, min(MINIMIZER, window), bound, seed), "left")
     return joined.select("id", "body", "spans").mapInArrow(_shorten(window, with_text), FIELDS + ", kept binary" * with_text)

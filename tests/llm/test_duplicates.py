@@ -83,12 +83,12 @@ def test_words_against_brute_force(spark, seed, monkeypatch):
         assert Counter(map(tuple, got.collect())) == brute_words(docs, window)
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 4096), (2, 1)])
-def test_bytes_against_brute_force(spark, seed, hot):
+@pytest.mark.parametrize(("seed", "bound"), [(1, 1 << 15), (2, 40), (1, 1)])
+def test_bytes_against_brute_force(spark, seed, bound):
     docs = corpus(seed)
     df = spark.createDataFrame(docs, SCHEMA).repartition(3)
     for window in (200, 40):
-        got = suffix_dedup.shorten(df, window=window, hot=hot)
+        got = suffix_dedup.shorten(df, window=window, bound=bound)
         assert Counter(map(tuple, got.collect())) == brute_bytes(docs, window)
 
 
