@@ -16,6 +16,7 @@ from .config import MODES, TriageOptions
 from .operators import scoring
 from .plans.triage import report_results, scan_targets
 from .sinks import quarantine, reports
+from .sources.tree import exists
 from .streaming.watch import Watcher
 
 LOG = logging.getLogger("sieveline")
@@ -39,8 +40,10 @@ def parser() -> argparse.ArgumentParser:
     for kind in ("pdf", "office", "zip", "image"):
         scan.add_argument(f"--{kind}-rules", choices=MODES, default="normal")
     move = commands.add_parser("quarantine", help="move files into quarantine")
-    move.add_argument("path", type=Path)
-    move.add_argument("--dest", type=Path, required=True)
+    move.add_argument("path", nargs="?", help="a file, or a folder whose files are moved")
+    move.add_argument("--report", help="move the files of a JSON report instead")
+    move.add_argument("--bands", nargs="+", default=list(quarantine.BANDS), help="severities of a report that are moved")
+    move.add_argument("--dest", required=True)
     show = commands.add_parser("report", help="show a JSON report")
     show.add_argument("report")
     show.add_argument("--html", action="store_true")
@@ -74,7 +77,7 @@ def emit(results: DataFrame, report_json: str | None, report_html: str | None) -
 def run_scan(args: argparse.Namespace) -> int:
     options = TriageOptions(args.max_file_size, args.use_magic, args.use_markers, args.pdf_rules, args.office_rules, args.zip_rules, args.image_rules)
     if args.watch:
-        if not os.path.exists(args.watch):
+        if not exists(session(args.threads), args.watch):
             raise SystemExit(f"{args.watch} does not exist")
         watcher = Watcher(session(args.threads), args.watch, args.watch_store or args.watch.rstrip("/") + ".watch", options, lambda r: emit(r, args.report_json, args.report_html))
         query = watcher.start()
@@ -85,10 +88,11 @@ def run_scan(args: argparse.Namespace) -> int:
         return watcher.exit_code
     if not args.targets:
         raise SystemExit("name at least one target")
-    for missing in (t for t in args.targets if not os.path.exists(t)):
+    spark = session(args.threads)
+    present = [t for t in args.targets if exists(spark, t)]
+    for missing in (t for t in args.targets if t not in present):
         LOG.warning("%s does not exist", missing)
-    present = [t for t in args.targets if os.path.exists(t)]
-    return emit(scan_targets(session(args.threads), present, options), args.report_json, args.report_html) if present else 0
+    return emit(scan_targets(spark, present, options), args.report_json, args.report_html) if present else 0
 
 
 def run_report(args: argparse.Namespace) -> int:
@@ -103,6 +107,21 @@ def run_report(args: argparse.Namespace) -> int:
     return 0
 
 
+def run_quarantine(args: argparse.Namespace) -> int:
+    if (args.path is None) == (args.report is None):
+        raise SystemExit("name a path or a report")
+    if args.report:
+        moved = quarantine.quarantine_results(report_results(session(1), args.report), args.dest, args.bands).collect()
+        for row in moved:
+            print(f"{row['path']}: {row['stored'] or row['error']}")
+        return 3 if any(row["error"] for row in moved) else 0
+    try:
+        quarantine.quarantine(args.path, args.dest)
+    except FileNotFoundError as e:
+        raise SystemExit(f"{e} does not exist") from e
+    return 0
+
+
 def main(argv: Sequence[str] | None = None) -> int:
     args = parser().parse_args(argv)
     logging.basicConfig(level=logging.DEBUG if args.verbose else logging.INFO, stream=sys.stderr)
@@ -111,8 +130,4 @@ def main(argv: Sequence[str] | None = None) -> int:
         return run_scan(args)
     if args.command == "report":
         return run_report(args)
-    try:
-        quarantine.quarantine(args.path, args.dest)
-    except FileNotFoundError as e:
-        raise SystemExit(f"{e} does not exist") from e
-    return 0
+    return run_quarantine(args)

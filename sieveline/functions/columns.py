@@ -68,8 +68,17 @@ def is_text(content: Column) -> Column:
 
 
 def text_of(content: Column) -> Column:
-    """The content as UTF-8 without its invalid bytes (a genuine U+FFFD goes, too)."""
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
+    """The content as UTF-8 without its invalid bytes.
+
+    Invalid bytes become U+FFFD and are dropped; a U+FFFD that the content itself
+    has is written with two noncharacters meanwhile, as are those.
+    """
+    valid = lambda c: F.replace(F.make_valid_utf8(c.cast("string")), F.lit("\ufffd"), F.lit(""))
+    bytes_of = lambda text: text.encode().decode("latin-1")
+    kept = F.replace(latin1(content), F.lit(bytes_of("\ufdd0")), F.lit(bytes_of("\ufdd0\ufdd1")))
+    kept = valid(F.encode(F.replace(kept, F.lit(bytes_of("\ufffd")), F.lit(bytes_of("\ufdd0\ufdd2"))), "ISO-8859-1"))
+    kept = F.replace(F.replace(kept, F.lit("\ufdd0\ufdd2"), F.lit("\ufffd")), F.lit("\ufdd0\ufdd1"), F.lit("\ufdd0"))
+    return F.when(F.contains(content, binary("EFBFBD")), kept).otherwise(valid(content))
 
 
 def urls(text: Column) -> Column:

@@ -1,12 +1,67 @@
-"""The queries of ``plans.queries`` as DuckDB SQL over the same tables."""
+"""The queries of ``plans.queries`` as DuckDB SQL over the same tables.
+
+The values here are stated on their own and not taken from the engine, so that a
+wrong suffix, token, description, weight or limit there shows.
+"""
 
 from __future__ import annotations
 
-from ..functions import columns as C
-from ..operators import findings as D
-from ..operators import scoring as S
 
-URL = C.URL_PATTERN
+class D:
+    """Suffixes, tokens, limits and descriptions of findings."""
+
+    EXECUTABLE = (".exe", ".bat", ".cmd", ".scr", ".pif", ".js", ".jse", ".vbs", ".vbe", ".ps1", ".dll")
+    MEMBER_EXECUTABLE = (".exe", ".dll", ".js", ".vbs", ".bat", ".cmd", ".scr", ".ps1", ".jar")
+    DISGUISING = (".pdf", ".doc", ".docx", ".txt", ".png", ".jpg")
+    MEMBER_DISGUISING = ("jpg", "png", "pdf", "doc", "docx", "pptx", "xlsx")
+    MEMBER_ARCHIVES = ("zip", "rar", "7z", "gz")
+    PDF_TOKENS = ("/JAVASCRIPT", "/JS", "/OPENACTION", "/LAUNCH", "/EMBEDDEDFILE", "/AA")
+    OFFICE_MACRO = (".docm", ".xlsm", ".pptm")
+    MACRO_STORE = "vbaProject.bin"
+    MARKERS = ("This program cannot be run in DOS mode", "powershell")
+    LONG_NAME, URL_LIMIT = 180, 512_000
+    DOUBLE_EXTENSION = "Filename uses double extension pattern"
+    TRAILING_EXECUTABLE = "Suspicious trailing executable extension"
+    PE_HEADER = "File starts with MZ header indicative of a Windows executable"
+    ZIP_LONG_NAME = "Archive member has unusually long name"
+    EXE_IN_ZIP = "Found executable file inside archive"
+    ZIP_DOUBLE_EXTENSION = "Archive member has double extension"
+    ZIP_VBA_PROJECT = "Archive contains potential Office macro store"
+    PDF_TOKEN = "PDF contains token "
+    PNG_TRAILING = "PNG file contains data after IEND chunk"
+    JPEG_TRAILING = "JPEG file contains data after end marker"
+    MACRO_EXTENSION = "Office document type supports embedded macros"
+    MACRO_CONTAINER = "Office document contains vbaProject.bin"
+    URL_SUSPICIOUS = "Suspicious URL host"
+    URL_FOUND = "URL found in document"
+    PDF_ACTIONS = "Document defines automatic actions (OpenAction/AA)."
+    PDF_JAVASCRIPT = "Embedded JavaScript detected."
+    PDF_FILES = "Contains embedded files/attachments."
+    PDF_LINKS = "External URLs present (strict mode)."
+    OFFICE_MACROS = "vbaProject.bin present (macros)."
+    OFFICE_SETTINGS = "Settings file may define auto behaviors."
+    MEMBER_SUSPICIOUS = "Archive contains suspicious file: "
+    MEMBER_DOUBLE = "Double extension pattern: "
+    MEMBER_NESTED = "Nested archive found (strict): "
+    PNG_APPENDED = "Data present after PNG IEND (appended payload)."
+    JPEG_APPENDED = "JPEG missing terminal marker; potential appended data."
+    LARGE_IMAGE = "Large image with EXIF present (strict mode)."
+
+
+class S:
+    """Weights, the weight of any other code, the cap, and the lowest score of each band."""
+
+    WEIGHTS = {
+        "exe_in_zip": 40, "zip_vba_project": 35, "zip_double_extension": 25, "zip_long_name": 10, "zip_nul_byte": 25, "pdf_token": 20, "double_extension": 15, "pe_header": 50, "office_macro_extension": 30,
+        "office_macro_container": 45, "image_trailing_data": 15, "url_suspicious": 10, "url": 5, "pdf_auto_actions": 40, "pdf_javascript": 35, "pdf_embedded_files": 20, "pdf_external_links": 10,
+        "office_vba_project": 45, "office_auto_actions_hint": 15, "zip_susp_executable": 40, "zip_nested_archive": 20, "png_appended_data": 15, "jpeg_appended_data": 15, "image_large_exif": 10,
+    }
+    DEFAULT_WEIGHT, CAP = 5, 100
+    BANDS = ((80, "High"), (50, "Suspicious"), (20, "Caution"), (0, "Safe"))
+
+
+#: The white space that ends a link.
+URL = r"https?://[^\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 ADDRESS = r"\p{Nd}+\.\p{Nd}+\.\p{Nd}+\.\p{Nd}+"
 
 
@@ -80,13 +135,13 @@ results AS (SELECT *, CASE {' '.join(f"WHEN score >= {low} THEN '{label}'" for l
 
 MEMBERS = """
 vm AS (SELECT 'archives/' || replace(p_brand, '#', '_') || '{ending}' AS path, base || CASE p_partkey % 9 WHEN 0 THEN '.pdf.exe' WHEN 1 THEN '.jar' WHEN 2 THEN '.VBS' WHEN 3 THEN '.pdf.txt' WHEN 4 THEN '/vbaProject.bin'
-    WHEN 5 THEN '/settings.xml' WHEN 6 THEN '.ZIP' WHEN 7 THEN repeat('x', 190) || '.txt' ELSE '.txt' END AS name
+    WHEN 5 THEN '/settings.xml' WHEN 6 THEN '.ZIP' WHEN 7 THEN repeat('x', 190) || '.txt' ELSE '.txt' END AS name, p_partkey
   FROM (SELECT *, replace(p_name, ' ', '_') AS base FROM part))
 """
 MEMBER_BASE = "regexp_extract(name, '[^/]*$')"
 
 
-def _members(strict: bool) -> str:
+def _member_rules(strict: bool) -> str:
     base = "regexp_extract(lower(name), '[^/]*$')"
     parts = f"string_split({base}, '.')"
     double = f"len({parts}) >= 3 AND {parts}[-1] NOT IN {_list(D.MEMBER_ARCHIVES)} AND {parts}[-2] IN {_list(D.MEMBER_DISGUISING)}"
@@ -96,15 +151,19 @@ def _members(strict: bool) -> str:
     ]
     if strict:
         rules.append(f"SELECT path, 'zip_nested_archive', '{D.MEMBER_NESTED}' || lower(name), 'medium' FROM vm WHERE ends_with(lower(name), '.zip')")
-    return f"WITH {MEMBERS.format(ending='.zip')} SELECT DISTINCT * FROM ({' UNION ALL '.join(rules)})"
+    return f"SELECT DISTINCT * FROM ({' UNION ALL '.join(rules)})"
+
 
+def _members(select: str, ending: str = ".zip") -> str:
+    return f"WITH {MEMBERS.format(ending=ending)} {select}"
 
-LEGACY_MEMBERS = f"""WITH {MEMBERS.format(ending='.zip')} SELECT DISTINCT * FROM (
+
+LEGACY_MEMBERS = f"""SELECT DISTINCT * FROM (
   SELECT path, 'zip_long_name' AS code, '{D.ZIP_LONG_NAME}' AS description, name AS evidence FROM vm WHERE length(name) > {D.LONG_NAME}
   UNION ALL SELECT path, 'exe_in_zip', '{D.EXE_IN_ZIP}', name FROM vm WHERE {' OR '.join(f"ends_with(lower(name), '{e}')" for e in D.EXECUTABLE)}
   UNION ALL SELECT path, 'zip_double_extension', '{D.ZIP_DOUBLE_EXTENSION}', name FROM vm WHERE {_double(MEMBER_BASE)} IS NOT NULL
   UNION ALL SELECT path, 'zip_vba_project', '{D.ZIP_VBA_PROJECT}', name FROM vm WHERE ends_with(name, '{D.MACRO_STORE}'))"""
-OFFICE_MEMBERS = f"""WITH {MEMBERS.format(ending='.docx')} SELECT DISTINCT * FROM (
+OFFICE_MEMBERS = f"""SELECT DISTINCT * FROM (
   SELECT path, 'office_macro_container' AS code, '{D.MACRO_CONTAINER}' AS description, '' AS severity FROM vm WHERE ends_with(name, '{D.MACRO_STORE}')
   UNION ALL SELECT path, 'office_vba_project', '{D.OFFICE_MACROS}', 'high' FROM vm WHERE ends_with(name, '{D.MACRO_STORE}')
   UNION ALL SELECT path, 'office_auto_actions_hint', '{D.OFFICE_SETTINGS}', 'medium' FROM vm WHERE contains(name, 'settings.xml'))"""
@@ -112,6 +171,9 @@ OFFICE_MEMBERS = f"""WITH {MEMBERS.format(ending='.docx')} SELECT DISTINCT * FRO
 IMAGES = "vi AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'img/' || doc_id || '.png' ELSE 'img/' || doc_id || '.jpg' END AS path, doc_id % 2 = 0 AS png, doc_id % 5 IN (0, 2, 4) AS data, CASE doc_id % 5 WHEN 0 THEN 4 WHEN 1 THEN 9 WHEN 2 THEN 20 WHEN 3 THEN 0 ELSE 4 END AS extra FROM documents)"
 
 
+MARKED = f"SELECT path, 'marker_strings' AS code, concat_ws(',', {', '.join(f"CASE WHEN contains(body, '{m}') THEN '{m}' END" for m in D.MARKERS)}) AS evidence FROM vf WHERE {' OR '.join(f"contains(body, '{m}')" for m in D.MARKERS)}"
+
+
 def _with(select: str, ctes: str = ISSUES) -> str:
     return f"WITH {ctes} {select}"
 
@@ -135,14 +197,14 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT DISTINCT path, code, regexp_extract(evidence, '//([^/]*)', 1) AS host FROM ({_links('vp')})",
             "vp AS (SELECT *, strlen(body) AS size, strlen(body) > 0 AND NOT (hex(encode(body)[4097:4097]) BETWEEN '80' AND 'BF') AS is_text FROM (SELECT 'pages/' || page_id || '.html' AS path, url || chr(10) || html AS body FROM pages))",
         ),
-        "zip_member_legacy": LEGACY_MEMBERS,
-        "zip_member_rules": _members(False),
-        "zip_member_rules_strict": _members(True),
-        "office_rules_members": OFFICE_MEMBERS,
+        "zip_member_legacy": _members(LEGACY_MEMBERS),
+        "zip_member_rules": _members(_member_rules(False)),
+        "zip_member_rules_strict": _members(_member_rules(True)),
+        "office_rules_members": _members(OFFICE_MEMBERS, ".docx"),
         "office_macro_docs": _with(f"SELECT path, code, description FROM ({MACRO})", FILES),
         "image_trailing": _with(f"SELECT path, 'image_trailing_data' AS code, CASE WHEN png THEN '{D.PNG_TRAILING}' ELSE '{D.JPEG_TRAILING}' END AS description FROM vi WHERE data", IMAGES),
         "image_rules": _with(f"SELECT path, CASE WHEN png THEN 'png_appended_data' ELSE 'jpeg_appended_data' END AS code, CASE WHEN png THEN '{D.PNG_APPENDED}' ELSE '{D.JPEG_APPENDED}' END AS description, 'medium' AS severity FROM vi WHERE CASE WHEN png THEN extra > 8 ELSE extra > 0 END", IMAGES),
-        "marker_strings": _with(f"SELECT path, 'marker_strings' AS code, concat_ws(',', {', '.join(f"CASE WHEN contains(body, '{m}') THEN '{m}' END" for m in D.MARKERS)}) AS evidence FROM vf WHERE {' OR '.join(f"contains(body, '{m}')" for m in D.MARKERS)}", FILES),
+        "marker_strings": _with(MARKED, FILES),
         "issues_dedup": _with("SELECT path, code, description, evidence, severity FROM issues"),
         "weighted_score": _with("SELECT path, score, coalesce(reasons, '') AS reasons FROM results"),
         "weighted_score_join": _with("SELECT path, score FROM results WHERE n_issues > 0"),
@@ -164,4 +226,17 @@ def oracle_sql() -> dict[str, str]:
         "json_issue": _with("""SELECT path, '{"code":"' || code || '","description":"' || description || '"' || CASE WHEN evidence <> '' THEN ',"evidence":"' || evidence || '"' ELSE '' END || CASE WHEN severity <> '' THEN ',"severity":"' || severity || '"' ELSE '' END || '}' AS issue
             FROM issues WHERE code IN ('double_extension', 'pe_header', 'pdf_javascript')"""),
         "scan_tree": "SELECT regexp_extract(filename, '[^/]*$') AS name, size::BIGINT AS size, sha256(content) AS sha256, 'unknown' AS magic_type FROM read_blob('/root/testdata/sf0.01/*.parquet')",
+        "archive_members": _members("SELECT path, (row_number() OVER (PARTITION BY path ORDER BY p_partkey) - 1)::BIGINT AS place, name FROM vm"),
+        "archives_scanned": _members(f"SELECT path, code, description, evidence, '' AS severity FROM ({LEGACY_MEMBERS}) UNION ALL SELECT path, code, description, '' AS evidence, severity FROM ({_member_rules(True)})"),
+        "office_archives_scanned": _members(f"SELECT path, code, description FROM ({OFFICE_MEMBERS})", ".docx"),
+        "error_rows": _with("SELECT path, CASE WHEN bad THEN '' ELSE sha256 END AS sha256, CASE WHEN bad THEN 0 ELSE size END AS size, CASE WHEN bad THEN 'unknown' ELSE magic_type END AS magic_type, 0::BIGINT AS n_issues, CASE WHEN bad THEN 'Safe' ELSE severity END AS severity, CASE WHEN bad THEN 'unreadable' ELSE '' END AS error FROM (SELECT *, regexp_matches(path, '5[.][^/]*$') AS bad FROM results)"),
+        "error_exit_code": "SELECT max(CASE WHEN doc_id % 10 = 5 THEN 3 ELSE 0 END)::BIGINT AS exit_code FROM documents",
+        "empty_exit_code": "SELECT 0::BIGINT AS exit_code",
+        "report_files": "SELECT 'order/' || o_orderkey AS path, o_orderkey AS size, o_orderkey % 101 AS score, o_orderpriority AS code, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus ELSE 'none' END AS reasons FROM orders",
+        "large_exif": f"SELECT path, code, description, severity FROM (SELECT 'sized/' || n_nationkey || '.jpg' AS path, 'jpeg_appended_data' AS code, '{D.JPEG_APPENDED}' AS description, 'medium' AS severity FROM nation UNION ALL SELECT 'sized/' || n_nationkey || '.jpg', 'image_large_exif', '{D.LARGE_IMAGE}', 'low' FROM nation WHERE n_nationkey % 3 > 0)",
+        "url_size_limit": "SELECT 'sized/' || n_nationkey || '.txt' AS path, 'url' AS code, 'http://a.b/c' AS evidence FROM nation WHERE n_nationkey % 3 = 0",
+        "markers_by_option": _with(f"SELECT evidence, count(*)::BIGINT AS n, (count(*) * {S.DEFAULT_WEIGHT})::BIGINT AS points FROM ({MARKED}) GROUP BY evidence", FILES),
+        "rules_off": _with("SELECT code, count(*)::BIGINT AS n FROM (SELECT code FROM issues WHERE place < 8000000 UNION ALL SELECT 'image_trailing_data' FROM vi WHERE data) GROUP BY code", f"{ISSUES}, {IMAGES}"),
+        "watch_state": "SELECT 'user_' || user_id AS path, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS known_at FROM events WHERE event_id % 3 < 2 GROUP BY user_id",
+        "genuine_replacement_characters": "SELECT 'pages/' || page_id || '.html' AS path, 'url' AS code, 'http://a.b/x' || chr(65533) || 'y' || chr(64976) AS evidence FROM pages",
     }

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..config import TriageOptions
 from ..functions import columns as C
+from ..functions.archive import zip_members
 from ..operators import findings, scoring
 from ..sinks import reports
 from ..sources import virtual
-from ..streaming.watch import changed
+from ..sources.report import files_of
+from ..streaming.watch import changed, merged
 from .triage import explode_issues, file_columns, scan, scan_relation
 
 STRICT = TriageOptions(pdf_rules="strict", office_rules="strict", zip_rules="strict", image_rules="strict")
@@ -196,9 +198,84 @@ def triage_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _results(spark, sf_dir).select("path", "sha256", "size", "magic_type", _long(F.size("issues")).alias("n_issues"), _long("score").alias("score"), "severity")
 
 
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directory of real ZIP files."""
+    return virtual.archives(spark, sf_dir).select("path", F.posexplode(zip_members(F.col("content"))).alias("place", "m")).select("path", _long("place").alias("place"), "m.name")
+
+
+def archives_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings in real ZIP files."""
+    return explode_issues(scan_relation(virtual.archives(spark, sf_dir), STRICT)).select("path", *(F.coalesce(c, F.lit("")).alias(c) for c in ISSUE_FIELDS))
+
+
+def office_archives_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the office rules in real documents."""
+    return explode_issues(scan_relation(virtual.archives(spark, sf_dir, ".docx"))).where("code like 'office%'").select("path", "code", "description")
+
+
+def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = scan_relation(virtual.unreadable(spark, sf_dir))
+    return done.select("path", "sha256", "size", "magic_type", _long(F.when(F.col("error").isNotNull(), F.size("issues")).otherwise(0)).alias("n_issues"), "severity", F.coalesce("error", F.lit("")).alias("error"))
+
+
+def error_exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.exit_code(scan_relation(virtual.unreadable(spark, sf_dir))).select(_long("exit_code").alias("exit_code"))
+
+
+def empty_exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nothing to scan is no failure."""
+    return scoring.exit_code(scan_relation(virtual.documents(spark, sf_dir).where("path = ''"))).select(_long("exit_code").alias("exit_code"))
+
+
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports read back, one row per file and finding."""
+    files = virtual.reports(spark, sf_dir).select(F.explode(files_of(F.col("report"))).alias("f")).select("f.*")
+    return files.select("path", "size", _long("score").alias("score"), F.col("issues")[0]["code"].alias("code"), F.coalesce(F.array_join("reasons", ";"), F.lit("none")).alias("reasons"))
+
+
+def large_exif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images around the size from which embedded metadata is told, in strict mode."""
+    images = virtual.sized(spark, sf_dir, ".jpg", "FFD8FF45786966", 5_000_001)
+    return _detected(images, findings.image_rules, STRICT).select("path", "code", "description", "severity")
+
+
+def url_size_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts around the size up to which links are looked for."""
+    return _detected(virtual.sized(spark, sf_dir, ".txt", "687474703A2F2F612E622F63", 512_001), findings.links).select("path", "code", "evidence")
+
+
+def markers_by_option(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the option for marker strings adds to a scan."""
+    parts = [explode_issues(scan_relation(virtual.documents(spark, sf_dir), TriageOptions(use_markers=on))).where("code = 'marker_strings'").groupBy("evidence").agg(F.count("*").alias("n"), _long(F.sum("weight")).alias("points")) for on in (True, False)]
+    return parts[0].unionByName(parts[1])
+
+
+def rules_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings that stay when all rule sets are off."""
+    off = TriageOptions(pdf_rules="off", office_rules="off", zip_rules="off", image_rules="off")
+    files = virtual.documents(spark, sf_dir).unionByName(virtual.images(spark, sf_dir))
+    return explode_issues(scan_relation(files, off)).groupBy("code").agg(F.count("*").alias("n"))
+
+
+def watch_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after two ticks: the newest time of every path, also of paths that are gone."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("user_"), "user_id").alias("path"), F.col("ts").alias("modificationTime"), "event_id")
+    latest = lambda df: df.groupBy("path").agg(F.max("modificationTime").alias("modificationTime"))
+    out = merged(latest(events.where("event_id % 3 = 0")), latest(events.where("event_id % 3 = 1")))
+    return out.select("path", F.date_format("modificationTime", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("known_at"))
+
+
+def genuine_replacement_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links with a U+FFFD of their own and with invalid bytes, which go."""
+    own = virtual.pages(spark, sf_dir).select("path", "length", F.concat(F.encode(F.lit("http://a.b/x\ufffdy"), "UTF-8"), F.unhex(F.lit("C3")), F.encode(F.lit("\ufdd0 "), "UTF-8")).alias("link"))
+    files = own.select("path", F.lit(5000).cast("long").alias("length"), F.concat(F.encode(F.repeat(F.lit(" "), 4096), "UTF-8"), "link").alias("content"))
+    return _detected(files, findings.links).select("path", "code", "evidence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         triage_full, fingerprint_docs, is_text_docs, head_and_tail, size_gate, double_extension, pe_header, pdf_tokens, pdf_rules_normal, pdf_rules_strict, url_extract, url_hosts_pages,
         zip_member_legacy, zip_member_rules, zip_member_rules_strict, office_rules_members, office_macro_docs, image_trailing, image_rules, marker_strings, issues_dedup, weighted_score, weighted_score_join,
         severity_bands, severity_summary, issue_counts, exit_code, path_sort_rank, console_rows, console_widths, watch_delta, targets_union, target_paths, json_issue, scan_tree,
+        archive_members, archives_scanned, office_archives_scanned, error_rows, error_exit_code, empty_exit_code, report_files, large_exif, url_size_limit, markers_by_option, rules_off, watch_state, genuine_replacement_characters,
     )}

@@ -1,7 +1,8 @@
 """The triage plan: files -> fingerprints -> findings -> score, all narrow until results are sorted.
 
-Contents over the size limit are never read: the two sides of the limit are
-separate scans, and the large one selects no content.
+Contents over the size limit are never read.  A file tree's reader leaves them
+out by itself, so it is scanned once; of any other relation the two sides of the
+limit are separate scans, and the large one selects no content.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from ..functions.archive import zip_members
 from ..operators import findings, scoring
 from ..schemas import ISSUES, RESULT
 from ..sources.report import read_report
-from ..sources.tree import read_tree
+from ..sources.tree import is_mounted, read_files
 
 
 def file_columns(members: Column | None = None) -> findings.File:
@@ -25,41 +26,52 @@ def file_columns(members: Column | None = None) -> findings.File:
     return findings.File(name, C.suffix(name), C.magic_type(F.col("content")), F.col("length"), F.col("content"), members if given else F.col("members"))
 
 
-def _result(df: DataFrame, **values: Column) -> DataFrame:
-    return df.select(*(values[f.name].cast(f.dataType).alias(f.name) for f in RESULT))
+def _result(df: DataFrame) -> DataFrame:
+    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in RESULT))
 
 
-def scan_relation(df: DataFrame, options: TriageOptions = TriageOptions()) -> DataFrame:
-    """Results for any relation (path, length, content[, members][, error])."""
+def scan_relation(df: DataFrame, options: TriageOptions = TriageOptions(), limited: bool = False) -> DataFrame:
+    """Results for any relation (path, length, content[, members][, error]).
+
+    ``limited`` says that the relation has no contents over the size limit, so that one scan of it will do.
+    """
     if "error" not in df.columns:
         df = df.withColumn("error", F.lit(None).cast("string"))
-    failed, empty, null = F.col("error").isNotNull(), F.lit(""), F.lit(None)
-    large = F.coalesce(F.col("length") > options.max_file_size, F.lit(False)) & ~failed  # null contents are read, as nothing
+    failed = F.col("error").isNotNull()
+    aside = (F.coalesce(F.col("length") > options.max_file_size, F.lit(False)) | failed)  # null contents are read, as nothing
+    if limited:
+        return _result(_found(df.withColumn("aside", aside), options))
+    return _result(_found(df.where(~aside), options)).union(_result(_set_aside(df.where(aside).select("path", "length", "error"))))
+
+
+def _set_aside(df: DataFrame) -> DataFrame:
+    """Results of files that are too large or could not be read."""
+    return df.select("path", F.lit("").alias("sha256"), F.col("length").alias("size"), F.lit("unknown").alias("magic_type"), _aside_issues().alias("issues"), F.lit(0).alias("score"), F.lit("Safe").alias("severity"), _aside_reasons().alias("reasons"), "error")
+
+
+def _aside_issues() -> Column:
     skipped = findings.issue("skipped_large", findings.SKIPPED_LARGE)
-    no_reasons = F.array().cast("array<string>")
-    aside = df.where(large | failed).select("path", "length", "error")
-    aside = _result(
-        aside, path=F.col("path"), sha256=empty, size=F.col("length"), magic_type=F.lit("unknown"), issues=F.when(failed, F.array().cast(ISSUES)).otherwise(F.array(skipped)),
-        score=F.lit(0), severity=F.lit("Safe"), reasons=F.when(failed, no_reasons).otherwise(F.array(F.lit("skipped_large"))), error=F.col("error"),
-    )
-    read = df.where(~(large | failed))
+    return F.when(F.col("error").isNotNull(), F.array().cast(ISSUES)).otherwise(F.array(skipped))
+
+
+def _aside_reasons() -> Column:
+    return F.when(F.col("error").isNotNull(), F.array().cast("array<string>")).otherwise(F.array(F.lit("skipped_large")))
+
+
+def _found(df: DataFrame, options: TriageOptions) -> DataFrame:
+    """Results of files with contents; where there is a column ``aside``, of those that it marks as well."""
     if "members" not in df.columns:
-        gate = file_columns().needs_members()
-        read = read.withColumn("members", zip_members(F.when(gate, F.col("content"))))
+        df = df.withColumn("members", zip_members(F.when(file_columns().needs_members(), F.col("content"))))
     file = file_columns()
     if options.use_magic:
-        read = read.withColumn("magic_type", mime_type(F.col("content")))  # a label of its own; gates keep the sniffed type
-        magic = F.col("magic_type")
-    else:
-        magic = file.magic
+        df = df.withColumn("magic_type", mime_type(F.col("content")))  # a label of its own; gates keep the sniffed type
+    magic = F.col("magic_type") if options.use_magic else file.magic
+    marked = "aside" in df.columns
+    either = lambda there, own: F.when(F.col("aside"), there).otherwise(own) if marked else own
     # contents are dropped as soon as findings are there
-    found = read.select("path", "length", C.sha256(F.col("content")).alias("sha256"), magic.alias("magic_type"), findings.all_findings(file, options).alias("issues"))
-    found = found.withColumn("score", scoring.score(F.col("issues")))
-    done = _result(
-        found, path=F.col("path"), sha256=F.col("sha256"), size=F.col("length"), magic_type=F.col("magic_type"), issues=F.col("issues"),
-        score=F.col("score"), severity=scoring.severity(F.col("score")), reasons=scoring.reasons(F.col("issues")), error=null,
-    )
-    return done.union(aside)
+    out = df.select("path", F.col("length").alias("size"), either(F.lit(""), C.sha256(F.col("content"))).alias("sha256"), either(F.lit("unknown"), magic).alias("magic_type"), either(_aside_issues(), findings.all_findings(file, options)).alias("issues"), "error", *["aside"] * marked)
+    out = out.withColumn("score", either(F.lit(0), scoring.score(F.col("issues"))))
+    return out.withColumns({"severity": scoring.severity(F.col("score")), "reasons": either(_aside_reasons(), scoring.reasons(F.col("issues")))})
 
 
 def mime_type(content: Column) -> Column:
@@ -78,14 +90,18 @@ def mime_type(content: Column) -> Column:
     return F.pandas_udf(label, "string")(C.head(content, 4096))
 
 
+def scan_path(spark: SparkSession, path: str, options: TriageOptions) -> DataFrame:
+    return scan_relation(read_files(spark, path, options.max_file_size).drop("modificationTime"), options, is_mounted(path))
+
+
 def scan(spark: SparkSession, path: str, options: TriageOptions = TriageOptions()) -> DataFrame:
     """Results for every file under a folder, in order of path components."""
-    return in_path_order(scan_relation(read_tree(spark, path, options.max_file_size).drop("modificationTime"), options))
+    return in_path_order(scan_path(spark, path, options))
 
 
 def scan_targets(spark: SparkSession, paths: list[str], options: TriageOptions = TriageOptions()) -> DataFrame:
     """Results for several targets, one after the other; a file under two targets comes twice."""
-    parts = [scan_relation(read_tree(spark, p, options.max_file_size).drop("modificationTime"), options).withColumn("target_idx", F.lit(k)) for k, p in enumerate(paths)]
+    parts = [scan_path(spark, p, options).withColumn("target_idx", F.lit(k)) for k, p in enumerate(paths)]
     if not parts:
         return spark.createDataFrame([], RESULT)
     out = parts[0]

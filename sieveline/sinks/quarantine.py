@@ -1,41 +1,118 @@
-"""Moves files into a quarantine folder, read-only and with a note of where they came from."""
+"""Quarantine: files leave their place for a folder that keeps them read-only, each beside a note of its origin.
+
+A file is copied into the folder first, and only when the copy on disk has the
+expected SHA-256 does it get its name there and does the source go, so nothing
+is lost if a step fails.  The note takes the name: it is created only if no other
+file has it, so two files of one name never meet.  A second try of the same move
+finds its note and goes on from there, which is what a task that runs again needs.
+"""
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import itertools
 import json
 import os
-import shutil
-import stat
-from pathlib import Path
+import uuid
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .reports import utc_now
 
+READ_ONLY = 0o444
+BLOCK = 1 << 20
+BANDS = ("High",)
+MOVED = "path string, stored string, sha256 string, error string"
+
+
+def fingerprint(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def notes(folder: str, name: str, sha256: str) -> Iterator[tuple[str, str]]:
+    """Places for a file and its note, in the order in which they are tried: its own name, then names with a part of its hash."""
+    stem, dot, ending = name.partition(".")
+    for k in itertools.count():
+        own = name if k == 0 else f"{stem}-{sha256[:12]}{f'-{k}' if k > 1 else ''}{dot}{ending}"
+        yield os.path.join(folder, own), os.path.join(folder, f"{own}.meta.json")
+
+
+def reserve(folder: str, source: str, sha256: str) -> tuple[str, bool]:
+    """The place for a file, with its note written; and whether an earlier try had reserved it."""
+    for place, note in notes(folder, os.path.basename(source), sha256):
+        try:
+            with open(note, "x", encoding="utf-8") as f:
+                json.dump({"original_path": source, "quarantined_at": utc_now(), "sha256": sha256}, f, indent=2)
+            return place, False
+        except FileExistsError:
+            with open(note, encoding="utf-8") as f, contextlib.suppress(ValueError):
+                held = json.load(f)
+                if (held.get("original_path"), held.get("sha256")) == (source, sha256):
+                    return place, True
+    raise AssertionError("there is always another name")
 
-def move(source: Path, folder: Path, sha256: str | None = None) -> Path:
-    """Hash, move under a temporary name, rename, clear the write bits, write ``<name>.meta.json``."""
-    folder.mkdir(parents=True, exist_ok=True)
-    target, passing = folder / source.name, folder / f".{source.name}.tmp"
-    if sha256 is None:
-        with source.open("rb") as f:
-            sha256 = hashlib.file_digest(f, "sha256").hexdigest()
+
+def isolate(source: str, folder: str, expected: str | None = None) -> tuple[str, str]:
+    """Move one file; its new place and its hash.  ``expected`` is the hash that the scan found."""
+    os.makedirs(folder, exist_ok=True)
+    if expected and not os.path.exists(source):
+        place, again = reserve(folder, source, expected)
+        if again and os.path.exists(place):
+            return place, expected
+        os.unlink(f"{place}.meta.json")
+        raise FileNotFoundError(source)
+    sha256 = fingerprint(source)
+    if expected and sha256 != expected:
+        raise ValueError(f"{source} has changed since it was scanned")
+    incoming = os.path.join(folder, f".incoming-{uuid.uuid4().hex}")
     try:
-        os.rename(source, passing)
-    except OSError as e:  # another file system
-        shutil.copy2(source, passing)
-        if source.stat().st_size != passing.stat().st_size:
-            passing.unlink(missing_ok=True)
-            raise RuntimeError(f"the copy of {source} is incomplete") from e
-        source.unlink()
-    os.replace(passing, target)
-    target.chmod(stat.S_IMODE(target.stat().st_mode) & ~(stat.S_IWUSR | stat.S_IWGRP | stat.S_IWOTH))
-    note = {"original_path": str(source), "quarantined_at": utc_now(), "sha256": sha256}
-    (folder / f"{source.name}.meta.json").write_text(json.dumps(note, indent=2), encoding="utf-8")
-    return target
-
-
-def quarantine(path: Path, folder: Path) -> list[Path]:
-    """One file, or the files directly in a folder."""
-    if not path.exists():
+        with open(source, "rb") as f, open(incoming, "xb") as copy:
+            while block := f.read(BLOCK):
+                copy.write(block)
+            copy.flush()
+            os.fsync(copy.fileno())
+        if fingerprint(incoming) != sha256:
+            raise OSError(f"the copy of {source} differs from it")
+        os.chmod(incoming, READ_ONLY)
+        place, _ = reserve(folder, source, sha256)
+        os.rename(incoming, place)
+    finally:
+        with contextlib.suppress(FileNotFoundError):
+            os.unlink(incoming)
+    os.unlink(source)
+    return place, sha256
+
+
+def quarantine(path: str, folder: str) -> list[str]:
+    """One file, or the files directly in a folder; their new places."""
+    if not os.path.exists(path):
         raise FileNotFoundError(path)
-    return [move(p, folder) for p in (sorted(path.iterdir()) if path.is_dir() else [path]) if p.is_file()]
+    sources = sorted(e.path for e in os.scandir(path) if e.is_file()) if os.path.isdir(path) else [path]
+    return [isolate(s, folder)[0] for s in sources]
+
+
+def quarantine_results(results: DataFrame, folder: str, bands: Sequence[str] = BANDS) -> DataFrame:
+    """Move the files of results that have one of the bands, in tasks; a row per file with its place, or why it stayed.
+
+    Sources and folder must be reachable by all executors.  Evaluating the rows
+    again gives the same places.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, sha256 in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    rows.append((path, *isolate(path, folder, sha256), None))
+                except (OSError, ValueError) as e:
+                    rows.append((path, None, sha256, str(e)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["path", "stored", "sha256", "error"])
+
+    chosen = results.where(F.col("severity").isin(*bands) & (F.col("sha256") != "")).select("path", "sha256").distinct()
+    return chosen.mapInArrow(run, MOVED)

@@ -1,7 +1,8 @@
 """Reports of results: JSON, console table and HTML.
 
-A report is one document for people, so its rows pass through the driver one
-partition at a time; ``write_rows`` is the sink for results of any size.
+A report is one document for people: its rows pass through the driver one
+partition at a time and are written as they come, none is kept.  ``write_rows``
+is the sink for results of any size.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import html
 import json
 import shlex
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 
@@ -16,9 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HEADERS = ("Path", "Severity", "Score", "Issues")
-# Badge classes.
-FILE_BADGES = {"High": "badge-high", "Suspicious": "badge-medium", "Caution": "badge-medium", "Safe": "badge-low"}
-ISSUE_BADGES = {"high": "badge-high", "medium": "badge-medium", "low": "badge-low"}
+#: Shade of each band and of each finding's severity in the page; others are like the last.
+SHADES = {"High": "s3", "Suspicious": "s2", "Caution": "s1", "Safe": "s0", "high": "s3", "medium": "s2", "low": "s1"}
 
 
 def utc_now() -> str:
@@ -41,8 +42,14 @@ def write_rows(results: DataFrame, path: str) -> None:
 
 
 def write_json(results: Iterable[dict], path: str) -> None:
+    """One document, written row by row."""
     with open(path, "w", encoding="utf-8") as f:
-        json.dump({"generated_at": utc_now(), "files": list(results)}, f, indent=2)
+        f.write(f'{{\n  "generated_at": {json.dumps(utc_now())},\n  "files": [')
+        before = "\n"
+        for r in results:
+            f.write(before + json.dumps(r, indent=2))
+            before = ",\n"
+        f.write("\n  ]\n}\n")
 
 
 def console_columns(results: DataFrame) -> DataFrame:
@@ -65,52 +72,39 @@ def console_lines(results: DataFrame) -> Iterator[str]:
 
 
 STYLE = """
-body { font: 15px/1.5 system-ui, sans-serif; margin: 2rem auto; max-width: 70rem; color: #222; }
-table { border-collapse: collapse; width: 100%; } td, th { border-bottom: 1px solid #ddd; padding: .4rem .6rem; text-align: left; }
-.summary-row { cursor: pointer; } section { border-top: 2px solid #ddd; margin-top: 2rem; } code { word-break: break-all; }
-.badge-low, .badge-medium, .badge-high { border-radius: .3rem; padding: .1rem .4rem; }
-.badge-low { background: #dff0ea; } .badge-medium { background: #fdebcc; } .badge-high { background: #f9d4d4; }
-.next-steps { background: #f6f6f6; border-radius: .4rem; padding: .6rem 1rem; }
-"""
-SCRIPT = """
-for (const row of document.querySelectorAll('.summary-row'))
-  row.onclick = () => document.getElementById(row.dataset.target).scrollIntoView({ behavior: 'smooth' });
-for (const button of document.querySelectorAll('button[data-command]'))
-  button.onclick = async () => {
-    try { await navigator.clipboard.writeText(button.dataset.command); button.nextElementSibling.textContent = 'Copied.'; }
-    catch { window.prompt('Copy this command:', button.dataset.command); }
-  };
+:root { color-scheme: light dark; } main { display: flex; flex-direction: column; max-width: 76rem; margin: auto; font: 1rem/1.45 sans-serif; }
+#totals { order: -1; } table { border-spacing: 0; } tbody > tr:first-child > * { border-top: 1px solid gray; padding-top: .5rem; }
+th, td { text-align: start; vertical-align: top; padding: .15rem .8rem .15rem 0; } kbd, samp { overflow-wrap: anywhere; }
+.s0, .s1, .s2, .s3 { border-inline-start: .5rem solid; padding-inline-start: .4rem; } .s0 { border-color: seagreen; } .s1 { border-color: goldenrod; } .s2 { border-color: darkorange; } .s3 { border-color: crimson; }
 """
 
 
-def _badge(classes: dict[str, str], key: str, label: str) -> str:
-    return f'<span class="{classes.get(key, "badge-low")}">{html.escape(label)}</span>'
+def _shaded(label: str) -> str:
+    return f'<span class="{SHADES.get(label, "s0")}">{html.escape(label)}</span>'
 
 
-def _issue_html(issue: dict) -> str:
-    severity = (issue.get("severity") or "low").lower()
-    out = f"{_badge(ISSUE_BADGES, severity, severity.title())} <strong>{html.escape(issue.get('code', 'finding'))}</strong> {html.escape(issue.get('description', ''))}"
-    return out + (f" <code>{html.escape(issue['evidence'])}</code>" if issue.get("evidence") else "")
+def _finding(issue: dict) -> str:
+    evidence = f" <samp>{html.escape(issue['evidence'])}</samp>" if issue.get("evidence") else ""
+    return f"<tr><td>{_shaded(issue.get('severity') or 'low')}<td><b>{html.escape(issue.get('code', ''))}</b><td>{html.escape(issue.get('description', ''))}{evidence}\n"
 
 
-def html_parts(results: list[dict]) -> Iterator[str]:
-    """A standalone page: summary, a section for each file, evidence, next steps."""
-    yield f'<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>Triage report</title><style>{STYLE}</style></head><body>\n<h1>Triage report</h1>\n'
-    yield "<p>Findings come from static checks; nothing was opened or run.</p>\n<table><thead><tr><th>Path</th><th>Severity</th><th>Score</th></tr></thead><tbody>\n"
-    for k, r in enumerate(results, 1):
-        severity = r.get("severity") or "Safe"
-        yield f'<tr class="summary-row" data-target="file-{k}"><td><code>{html.escape(r.get("path", ""))}</code></td><td>{_badge(FILE_BADGES, severity, severity)}</td><td>{html.escape(str(r.get("score", 0)))}</td></tr>\n'
-    yield "</tbody></table>\n"
-    for k, r in enumerate(results, 1):
-        severity, path = r.get("severity") or "Safe", r.get("path", "")
-        items = [f"<li>{_issue_html(i)}</li>" for i in r.get("issues") or ()] or ["<li>No issues detected.</li>"]
-        command = html.escape(f"python -m sieveline quarantine {shlex.quote(path)} --dest ./quarantine")
-        yield f'<section id="file-{k}"><h2><code>{html.escape(path)}</code> {_badge(FILE_BADGES, severity, severity)}</h2><p>Score: {html.escape(str(r.get("score", 0)))}</p>\n'
-        yield f"<details open><summary>Evidence ({len(items)})</summary><ul>{''.join(items)}</ul></details>\n"
-        yield f'<div class="next-steps"><h3>Next steps</h3><p>Leave the file closed until someone in charge has looked at it.</p><button data-command="{command}">Copy the quarantine command</button> <span></span></div></section>\n'
-    yield f"<script>{SCRIPT}</script></body></html>\n"
+def html_parts(results: Iterable[dict]) -> Iterator[str]:
+    """A page with one table: a group of rows for each file (band, score and name, findings, what to run next), then how many files each band has."""
+    yield f'<!DOCTYPE html>\n<html lang="en"><meta charset="utf-8"><title>Findings by file</title><style>{STYLE}</style>\n<main><table>\n'
+    totals: Counter[str] = Counter()
+    for r in results:
+        band, path, issues = r.get("severity") or "Safe", r.get("path", ""), r.get("issues") or ()
+        totals[band] += 1
+        yield f"<tbody><tr><th>{_shaded(band)}<th>{html.escape(str(r.get('score', 0)))}<th>{html.escape(path)}\n"
+        if r.get("error"):
+            yield f"<tr><td><td>not read<td>{html.escape(r['error'])}\n"
+        yield "".join(map(_finding, issues)) or "<tr><td><td><td>nothing found\n"
+        if issues:
+            yield f"<tr><td><td>to set it aside<td><kbd>{html.escape(f'python -m sieveline quarantine {shlex.quote(path)} --dest quarantine')}</kbd>\n"
+    counts = ", ".join(f"{_shaded(band)} {n}" for band, n in sorted(totals.items()))
+    yield f"</table>\n<section id=totals><h1>Findings by file</h1><p>Contents were only inspected. Files: {counts or 'none'}</section></main>\n"
 
 
 def write_html(results: Iterable[dict], path: str) -> None:
     with open(path, "w", encoding="utf-8") as f:
-        f.writelines(html_parts(list(results)))
+        f.writelines(html_parts(results))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import REPORT
 
 
+def files_of(report: Column) -> Column:
+    """The files of a report's text, one result each; null for what is no report."""
+    return F.from_json(report, REPORT)["files"]
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """One row per file of a JSON report; fields that it lacks are null, and a report without files has no rows."""
-    return spark.read.schema(REPORT).option("multiLine", True).json(path).select(F.explode("files").alias("f")).select("f.*")
+    return spark.read.text(path, wholetext=True).select(F.explode(files_of(F.col("value"))).alias("f")).select("f.*")

@@ -1,9 +1,15 @@
-"""Sources of files: a tree reader that sees every file, and Spark's own reader where hidden names do not matter."""
+"""Sources of files: a tree reader that sees every file of a mounted folder, and Spark's own reader for any other store.
+
+``read_files`` takes the one or the other by the path's scheme.  A listing has the
+same rows without contents (a limit of -1), so nothing is opened for it.
+"""
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
 import pyarrow as pa
@@ -18,14 +24,43 @@ from ..schemas import FILE
 FILES_A_TASK, BYTES_A_TASK = 4096, 128 << 20
 
 
-def walk(root: str) -> Iterator[str]:
-    """All files under a folder, hidden ones too; linked folders are not entered, unreadable ones skipped.  A file is itself."""
+#: Folders that are listed at once.
+LISTERS = 16
+#: A limit under every size: files are listed and none is read.
+LIST_ONLY = -1
+
+
+def entries(folder: str) -> tuple[list[tuple[str, int]], list[str]]:
+    """The files of a folder with their sizes (0 where that cannot be told), and its folders; linked folders are not entered."""
+    files, folders = [], []
+    try:
+        with os.scandir(folder) as found:
+            for e in found:
+                if e.is_dir(follow_symlinks=False):
+                    folders.append(e.path)
+                elif not e.is_dir():
+                    try:
+                        files.append((e.path, e.stat().st_size))
+                    except OSError:
+                        files.append((e.path, 0))
+    except OSError:  # an unreadable folder is skipped
+        pass
+    return files, folders
+
+
+def listed(root: str) -> Iterator[tuple[str, int]]:
+    """(path, size) of all files under a folder, hidden ones too, several folders at a time.  A file is itself."""
     if os.path.isfile(root):
-        yield root
+        yield root, os.path.getsize(root)
         return
-    for folder, _, names in os.walk(root):
-        for name in names:
-            yield os.path.join(folder, name)
+    with ThreadPoolExecutor(LISTERS) as pool:
+        level = [root]
+        while level:
+            below: list[str] = []
+            for files, folders in pool.map(entries, level):
+                yield from files
+                below += folders
+            level = below
 
 
 class Paths(InputPartition):
@@ -41,13 +76,10 @@ class TreeReader(DataSourceReader):
 
     def partitions(self) -> list[Paths]:
         out: list[list[str]] = []
-        size = BYTES_A_TASK
-        for path in walk(self.root):
-            try:
-                own = min(os.stat(path).st_size, self.limit)
-            except OSError:
-                own = 0
-            if size + own > BYTES_A_TASK or len(out[-1]) >= FILES_A_TASK:
+        size = 0
+        for path, length in listed(self.root):
+            own = length if length <= self.limit else 0
+            if not out or size + own > BYTES_A_TASK or len(out[-1]) >= FILES_A_TASK:
                 out.append([])
                 size = 0
             out[-1].append(path)
@@ -55,19 +87,28 @@ class TreeReader(DataSourceReader):
         return [Paths(p) for p in out] or [Paths([])]
 
     def read(self, partition: Paths) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.timestamp("us", tz="UTC"), pa.int64(), pa.binary(), pa.string()]
         for path in partition.paths:  # a batch a file: contents may be large
-            row = (path, None, 0, None, None)
-            try:
-                stat = os.stat(path)
-                changed = datetime.fromtimestamp(stat.st_mtime, UTC)
-                row = (path, changed, stat.st_size, None, None)
-                if stat.st_size <= self.limit:  # a larger file is listed and never read
-                    with open(path, "rb") as f:
-                        row = (path, changed, stat.st_size, f.read(), None)
-            except OSError as e:
-                row = (path, row[1], 0, None, str(e))
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=FILE.names)
+            yield batch_of([file_row(path, self.limit)])
+
+
+def file_row(path: str, limit: int) -> tuple:
+    """One file's row; over the limit it is not opened, and what fails is told in ``error``."""
+    changed = None
+    try:
+        stat = os.stat(path)
+        changed = datetime.fromtimestamp(stat.st_mtime, UTC)
+        content = None
+        if stat.st_size <= limit:
+            with open(path, "rb") as f:
+                content = f.read()
+        return path, changed, stat.st_size, content, None
+    except OSError as e:
+        return path, changed, 0, None, str(e)
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.timestamp("us", tz="UTC"), pa.int64(), pa.binary(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names=FILE.names)
 
 
 class TreeSource(DataSource):
@@ -90,6 +131,43 @@ def read_tree(spark: SparkSession, path: str, max_file_size: int) -> DataFrame:
     return spark.read.format("file_tree").option("maxFileSize", str(max_file_size)).load(path)
 
 
-def read_binary(spark: SparkSession, path: str) -> DataFrame:
+def read_binary(spark: SparkSession, path: str, max_file_size: int = 1 << 62) -> DataFrame:
     """The same rows by Spark's reader, for any store; it skips names that begin with a dot or an underscore."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).withColumn("error", F.lit(None).cast("string"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    if max_file_size == LIST_ONLY:
+        files = files.withColumn("content", F.lit(None).cast("binary"))
+    return files.select("path", "modificationTime", "length", "content", F.lit(None).cast("string").alias("error"))
+
+
+def is_mounted(path: str) -> bool:
+    """Whether a path is of the local file tree, not of another store."""
+    return not re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", path) or path.startswith("file:/")
+
+
+def local_path(path: str) -> str:
+    return re.sub(r"\Afile:/+", "/", path)
+
+
+def read_files(spark: SparkSession, path: str, max_file_size: int) -> DataFrame:
+    """(path, modificationTime, length, content, error) of the files under a path of any scheme."""
+    return read_tree(spark, local_path(path), max_file_size) if is_mounted(path) else read_binary(spark, path, max_file_size)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    if is_mounted(path):
+        return os.path.exists(local_path(path))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where))
+
+
+def read_listed(listing: DataFrame, path: str, max_file_size: int) -> DataFrame:
+    """Rows with contents of the files of a listing (of ``read_files`` with ``LIST_ONLY``) under ``path``."""
+    if not is_mounted(path):
+        return read_binary(listing.sparkSession, path).join(listing.select("path"), "path", "left_semi").select(*FILE.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                yield batch_of([file_row(name, max_file_size)])
+
+    return listing.select("path").mapInArrow(run, FILE)

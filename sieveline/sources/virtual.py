@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +67,49 @@ def members(spark: SparkSession, sf_dir: str, ending: str = ".zip") -> DataFrame
     return listed.select("path", F.lit(0).cast("long").alias("length"), F.unhex(F.lit("504B0304")).alias("content"), F.transform("ms", lambda m: F.struct(m["name"].alias("name"), m["name"].alias("stored_name"))).alias("members"))
 
 
+def _zip_bytes(names: pa.Array) -> pa.Array:
+    def archive(own: list[str]) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name in own:
+                z.writestr(zipfile.ZipInfo(name), b"x")
+        return out.getvalue()
+
+    return pa.array([archive(own) for own in names.to_pylist()], pa.binary())
+
+
+_zip_bytes.__annotations__ = {"names": pa.Array, "return": pa.Array}
+
+
+def archives(spark: SparkSession, sf_dir: str, ending: str = ".zip") -> DataFrame:
+    """The archives of ``members`` as real ZIP files."""
+    content = F.arrow_udf(_zip_bytes, "binary")(F.transform("members", lambda m: m["name"]))
+    packed = members(spark, sf_dir, ending).select("path", content.alias("content"))
+    return packed.select("path", F.length("content").cast("long").alias("length"), "content")
+
+
+def unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document files, of which every one whose name ends in 5 could not be read."""
+    lost = F.col("path").rlike("5[.][^/]*$")
+    files = documents(spark, sf_dir)
+    return files.select("path", F.when(lost, F.lit(0).cast("long")).otherwise(F.col("length")).alias("length"), F.when(~lost, F.col("content")).alias("content"), F.when(lost, "unreadable").alias("error"))
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report in JSON for each customer's orders, with a file for each order; older ones have no reasons."""
+    orders = _table(spark, sf_dir, "orders")
+    issue = F.struct(F.col("o_orderpriority").alias("code"), F.lit("d").alias("description"))
+    file = F.struct(F.concat(F.lit("order/"), "o_orderkey").alias("path"), F.col("o_orderkey").alias("size"), F.array(issue).alias("issues"), (F.col("o_orderkey") % 101).alias("score"), F.when(F.col("o_custkey") % 2 == 0, F.array("o_orderstatus")).alias("reasons"))
+    return orders.groupBy("o_custkey").agg(F.collect_list(file).alias("files")).select("o_custkey", F.to_json(F.struct(F.lit("now").alias("generated_at"), "files")).alias("report"))
+
+
+def sized(spark: SparkSession, sf_dir: str, name: str, head: str, bound: int) -> DataFrame:
+    """A file for each nation, one byte under, at or over a bound: ``head`` (as hexadecimal) and then blanks."""
+    first, length = F.unhex(F.lit(head)), F.lit(bound - 1) + F.col("n_nationkey") % 3
+    rows = _table(spark, sf_dir, "nation").select(F.concat(F.lit("sized/"), "n_nationkey", F.lit(name)).alias("path"), length.cast("long").alias("length"), F.concat(first, F.encode(F.repeat(F.lit(" "), (length - F.length(first)).cast("int")), "UTF-8")).alias("content"))
+    return rows.repartition(8)  # the table is one small file, its files are large
+
+
 def _files(rows: DataFrame) -> DataFrame:
     content = F.encode("body", "UTF-8")
     return rows.select("path", F.octet_length("body").cast("long").alias("length"), content.alias("content"))

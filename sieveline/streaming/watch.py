@@ -1,11 +1,14 @@
-"""Watch mode: each tick lists the tree, scans what is new or changed and appends the results.
+"""Watch mode: each tick lists the tree, reads and scans what is new or changed and adds the results.
 
 Spark's file stream never gives a changed file again, so a clock drives the
 query and the known (path, modificationTime) are a table beside the results.
+Results of a tick are written under its number, before its state: a tick that
+was torn is run again and replaces what it had written.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import TriageOptions
 from ..operators import scoring
 from ..plans.triage import scan_relation
-from ..schemas import FILE
-from ..sources.tree import read_tree
+from ..schemas import FILE, RESULT
+from ..sources.tree import LIST_ONLY, read_files, read_listed
 
 INTERVAL = "10 seconds"
 
@@ -32,37 +35,46 @@ def merged(state: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 class Watcher:
-    """``folder`` holds results (JSON lines) and state (Parquet, one version per tick)."""
+    """``folder`` holds results (JSON lines, a folder per tick) and state (Parquet, the last two versions)."""
 
     def __init__(self, spark: SparkSession, target: str, folder: str, options: TriageOptions = TriageOptions(), on_results: Callable[[DataFrame], None] | None = None):
         self.spark, self.target, self.folder, self.options, self.on_results = spark, target, folder, options, on_results
         self.exit_code = 0
 
-    def _state(self) -> tuple[DataFrame, int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        done = [int(n[1:]) for n in names if n[:1] == "v" and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state/{n}/_SUCCESS"))]
-        if not done:
-            return self.spark.createDataFrame([], FILE).select("path", "modificationTime"), 0
-        return self.spark.read.parquet(f"{self.folder}/state/v{max(done)}"), max(done)
+    def _versions(self) -> list[tuple[int, str]]:
+        """Number and path of each whole state, in order."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state")
+        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+        whole = [n for n in names if n[:1] == "v" and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state/{n}/_SUCCESS"))]
+        return sorted((int(n[1:].partition("-")[0]), f"{self.folder}/state/{n}") for n in whole)
+
+    def _drop(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def tick(self) -> int:
         """Scan once; the number of changed files."""
-        state, version = self._state()
-        files = changed(read_tree(self.spark, self.target, self.options.max_file_size), state).persist()
+        versions = self._versions()
+        version, path = versions[-1] if versions else (0, None)
+        state = self.spark.read.parquet(path) if path else self.spark.createDataFrame([], FILE).select("path", "modificationTime")
+        seen = changed(read_files(self.spark, self.target, LIST_ONLY).select("path", "modificationTime"), state).persist()
         try:
-            n = files.count()
+            n = seen.count()
             if n:
-                results = scan_relation(files.drop("modificationTime"), self.options)
-                results.write.mode("append").json(f"{self.folder}/results")
+                store = f"{self.folder}/results/tick={version + 1}"
+                files = read_listed(seen, self.target, self.options.max_file_size)
+                scan_relation(files.drop("modificationTime"), self.options, True).write.mode("overwrite").json(store)
+                results = self.spark.read.schema(RESULT).json(store)
                 self.exit_code = max(self.exit_code, scoring.exit_code(results).first()[0])
                 if self.on_results:
                     self.on_results(results)
-                merged(state, files).write.parquet(f"{self.folder}/state/v{version + 1}")
+                merged(state, seen).write.parquet(f"{self.folder}/state/v{version + 1}-{uuid.uuid4().hex[:8]}")
+                for _, old in versions[:-1]:
+                    self._drop(old)
             return n
         finally:
-            files.unpersist()
+            seen.unpersist()
 
     def start(self, interval: str = INTERVAL, once: bool = False) -> StreamingQuery:
         clock = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()

@@ -113,6 +113,10 @@ def test_links(found):
 
 def test_modes(spark, found):
     assert codes(found["pdf/a.pdf"]) == ["url"]
+    own = {"a.txt": "http://a/\ufffd\ufdd0\ufdd2".encode() + b"\xff" + "\ufdd0\ufdd1z".encode()}
+    assert [i["evidence"] for i in results(spark, [*own.items()])["a.txt"]["issues"]] == []  # not text: invalid at the start
+    late = b" " * 4096 + own["a.txt"]
+    assert [i["evidence"] for i in results(spark, [("a.txt", late)])["a.txt"]["issues"]] == ["http://a/\ufffd\ufdd0\ufdd2\ufdd0\ufdd1z"]
     assert codes(results(spark, [("a.pdf", b"%PDF http://a")], pdf_rules="strict")["a.pdf"]) == ["url", "pdf_external_links"]
     everything = [("a.pdf", b"%PDF /JS"), ("b.png", PNG + b"IEND" + b"x" * 9), ("c.zip", archive("a.exe"))]
     got = results(spark, everything, pdf_rules="off", image_rules="off", zip_rules="off", office_rules="off")
@@ -149,6 +153,8 @@ def test_tree(spark, tmp_path):
     assert scan(spark, str(tmp_path / "a" / "b.txt")).count() == 1
     (tmp_path / "none").mkdir()
     assert scan(spark, str(tmp_path / "none")).count() == 0 and scan_targets(spark, []).count() == 0
+    plan = scan(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 1  # a tree is read once
     assert explode_issues(scan(spark, str(tmp_path / "_u.exe"))).select("code", "weight").collect() == [("pe_header", 50)]
 
 

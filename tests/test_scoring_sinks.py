@@ -68,22 +68,52 @@ def test_old_report(spark, tmp_path):
 
 
 def test_html():
-    page = "".join(reports.html_parts([{"path": '<a>"; rm x', "severity": "High", "score": 1, "issues": [{"code": "c", "description": "<d>", "evidence": "&", "severity": '"><b>'}]}, {"path": "p", "severity": "?"}]))
-    assert "<a>" not in page and "<b>" not in page and "&lt;d&gt;" in page and "Evidence (1)" in page and "No issues detected." in page
-    assert 'class="badge-high">High' in page and 'class="badge-low">?' in page
+    page = "".join(reports.html_parts(iter([{"path": '<a>"; rm x', "severity": "High", "score": 1, "issues": [{"code": "c", "description": "<d>", "evidence": "&", "severity": '"><b>'}]}, {"path": "p", "severity": "?", "error": "<e>"}])))
+    assert "<a>" not in page and "&lt;d&gt;" in page and "nothing found" in page and "&lt;e&gt;" in page and '&quot;&gt;&lt;b&gt;' in page
+    assert '<span class="s3">High</span> 1' in page and '<span class="s0">?</span> 1' in page and "quarantine &#x27;&lt;a&gt;&quot;; rm x&#x27;" in page
+    assert "Files: none" in "".join(reports.html_parts([]))
+
+
+def test_reports_are_streamed(tmp_path):
+    def rows():
+        yield {"path": "a"}
+        yield {"path": "b"}
+
+    reports.write_json(rows(), str(tmp_path / "r.json"))
+    assert [f["path"] for f in json.loads((tmp_path / "r.json").read_text())["files"]] == ["a", "b"]
+    reports.write_json([], str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text())["files"] == []
 
 
 def test_quarantine(tmp_path):
-    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "sub").mkdir(parents=True)
     (tmp_path / "in" / "a.txt").write_text("abc")
-    (tmp_path / "in" / "sub").mkdir()
-    moved = quarantine.quarantine(tmp_path / "in", tmp_path / "q")
-    assert [p.name for p in moved] == ["a.txt"] and not (tmp_path / "in" / "a.txt").exists()
-    assert not moved[0].stat().st_mode & (stat.S_IWUSR | stat.S_IWGRP | stat.S_IWOTH)
+    q = str(tmp_path / "q")
+    assert quarantine.quarantine(str(tmp_path / "in"), q) == [f"{q}/a.txt"] and not (tmp_path / "in" / "a.txt").exists()
+    assert not (tmp_path / "q" / "a.txt").stat().st_mode & (stat.S_IWUSR | stat.S_IWGRP | stat.S_IWOTH)
     note = json.loads((tmp_path / "q" / "a.txt.meta.json").read_text())
     assert note["sha256"].startswith("ba7816bf") and note["original_path"].endswith("in/a.txt") and note["quarantined_at"].endswith("Z")
+    (tmp_path / "in" / "a.txt").write_text("abcd")  # another file of this name does not replace the first
+    (second,) = quarantine.quarantine(str(tmp_path / "in" / "a.txt"), q)
+    assert second != f"{q}/a.txt" and second.endswith(".txt") and open(second).read() == "abcd" and (tmp_path / "q" / "a.txt").read_text() == "abc"
+    assert not [n for n in (tmp_path / "q").iterdir() if n.name.startswith(".incoming")]
     with pytest.raises(FileNotFoundError):
-        quarantine.quarantine(tmp_path / "no", tmp_path / "q")
+        quarantine.quarantine(str(tmp_path / "no"), q)
+
+
+def test_quarantine_of_results(spark, tmp_path):
+    for name, content in (("bad.pdf.exe", b"MZ powershell"), ("good.txt", b"x"), ("docs/sample.pdf", b"%PDF-1.4 /OpenAction /JavaScript")):
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_bytes(content)
+    rows = scan(spark, str(tmp_path / "t")).persist()
+    rows.count()
+    moved = quarantine.quarantine_results(rows, str(tmp_path / "q"), ["High", "Suspicious"])
+    first = {tuple(r) for r in moved.collect()}
+    assert {r[0].rsplit("/", 1)[1] for r in first} == {"bad.pdf.exe", "sample.pdf"} and all(r[1] and r[3] is None for r in first)
+    assert {tuple(r) for r in moved.collect()} == first and (tmp_path / "t" / "good.txt").exists()  # a task that runs again
+    changed = spark.createDataFrame([(str(tmp_path / "t" / "good.txt"), "0" * 64, "High"), (str(tmp_path / "gone"), "1" * 64, "High")], "path string, sha256 string, severity string")
+    again = {r["path"]: r for r in quarantine.quarantine_results(changed, str(tmp_path / "q")).collect()}
+    assert "changed" in again[str(tmp_path / "t" / "good.txt")]["error"] and again[str(tmp_path / "gone")]["stored"] is None and (tmp_path / "t" / "good.txt").exists()
 
 
 def test_watch(spark, tmp_path):
@@ -101,6 +131,13 @@ def test_watch(spark, tmp_path):
     assert again.tick() == 0 and watcher.exit_code == 1
     rows = spark.read.json(str(tmp_path / "store" / "results"))
     assert rows.count() == 4
+    (tree / "c.txt").write_text("MZ changed")
+    torn = tmp_path / "store" / "state" / "v3-torn"  # a state that was not written to its end
+    torn.mkdir()
+    (tmp_path / "store" / "results" / "tick=3").mkdir()
+    (tmp_path / "store" / "results" / "tick=3" / "part-0.json").write_text('{"path": "half"}\n')
+    assert again.tick() == 1 and again.tick() == 0
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in spark.read.json(str(tmp_path / "store" / "results")).where("tick = 3").collect()) == ["c.txt"]
     query = again.start(once=True)
     query.awaitTermination(60)
 
@@ -118,6 +155,38 @@ def test_cli(spark, tmp_path, capsys):
     assert main(["quarantine", str(tmp_path / "t"), "--dest", str(tmp_path / "q")]) == 0 and (tmp_path / "q" / "essay.pdf.exe").exists()
 
 
+def test_cli_quarantines_a_report(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "essay.pdf.exe").write_bytes(b"MZ")
+    assert main(["scan", str(tmp_path / "t"), "--report-json", str(tmp_path / "r.json")]) == 1
+    assert main(["quarantine", "--report", str(tmp_path / "r.json"), "--bands", "Suspicious", "--dest", str(tmp_path / "q")]) == 0
+    assert (tmp_path / "q" / "essay.pdf.exe").exists() and not (tmp_path / "t" / "essay.pdf.exe").exists()
+    with pytest.raises(SystemExit):
+        main(["quarantine", "--dest", str(tmp_path / "q")])
+
+
+def test_any_store(spark, tmp_path):
+    """A path with another scheme is read by Spark, one of the file scheme as a tree."""
+    (tmp_path / "a.exe").write_bytes(b"MZ")
+    (tmp_path / "big").write_bytes(b"x" * 100)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.files.link./in", f"file://{tmp_path}")
+    from sieveline import TriageOptions
+
+    for path in (f"file://{tmp_path}", "viewfs://files/in"):
+        rows = {r["path"].rsplit("/", 1)[1]: r for r in scan(spark, path, TriageOptions(max_file_size=99)).collect()}
+        assert [i["code"] for i in rows["a.exe"]["issues"]] == ["pe_header"] and [i["code"] for i in rows["big"]["issues"]] == ["skipped_large"] and len(rows) == 2, path
+    watcher = Watcher(spark, "viewfs://files/in", str(tmp_path / "store"))
+    assert watcher.tick() >= 2
+
+
+def test_mime_labels_are_optional(spark):
+    from sieveline import TriageOptions, scan_relation
+
+    df = spark.createDataFrame([("a.pdf", 4, bytearray(b"%PDF /JS"))], "path string, length long, content binary")
+    row = scan_relation(df, TriageOptions(use_magic=True)).first()
+    assert row["magic_type"] in ("pdf", "application/pdf", "text/plain") and [i["code"] for i in row["issues"]] == ["pdf_token", "pdf_javascript"]
+
+
 def test_content_is_not_read_over_the_limit(spark, tmp_path):
     (tmp_path / "big").write_bytes(b"x" * 100)
     from sieveline import TriageOptions
