@@ -5,11 +5,16 @@ the head close where the next element demands it), visibility rules drop what a
 page does not show, and the renderer walks the tree with an explicit stack:
 blocks are set apart by line breaks and blank lines, list items get markers and
 indents, table cells are aligned in columns, and preformatted text keeps its
-white space.  All visible text comes out.
+white space.  All visible text comes out, that of drawings and formulas and the
+fallback of objects as well.
 
 Defined results: null HTML gives null text; an empty page and one without
 visible text give an empty text; broken or unclosed markup is rendered as far
-as it goes; depth is limited by memory only, since nothing recurses.
+as it goes; depth is limited by memory only, since nothing recurses, and levels
+beyond ``MAX_LEVELS`` are not indented further; a very long page is rendered as a
+whole, in time in proportion to its length; repeated rows give repeated results;
+an input column that has the name of the result is replaced; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from .frames import append
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEAD_ONLY = frozenset("title meta link style script base template noscript".split())
-UNSEEN = frozenset("head title style script template noscript datalist audio video canvas iframe object svg math".split())
+UNSEEN = frozenset("head title style script template noscript datalist audio video canvas iframe desc defs metadata annotation annotation-xml".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr menu".split())
 BLOCKS = PARAGRAPHS | frozenset("html body div section article aside header footer nav main address fieldset form li dt dd details summary figcaption legend caption center dialog search hgroup tr option optgroup select textarea".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -43,6 +48,8 @@ NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.I)
 KEEPS_SPACE = re.compile(r"(?:^|;)\s*white-space\s*:\s*(?:pre|pre-wrap|break-spaces)\b", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
+#: Nested lists and quotes whose indents are printed.
+MAX_LEVELS = 64
 
 
 class Node:
@@ -59,33 +66,32 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
-        self.count: dict[str, int] = {}
+        self.places: dict[str, list[int]] = {}  # where elements of a tag are in ``open``
 
     def push(self, node: Node) -> None:
         self.open[-1].children.append(node)
+        self.places.setdefault(node.tag, []).append(len(self.open))
         self.open.append(node)
-        self.count[node.tag] = self.count.get(node.tag, 0) + 1
 
     def pop_to(self, at: int) -> None:
         while len(self.open) > at:
-            self.count[self.open.pop().tag] -= 1
+            self.places[self.open.pop().tag].pop()
 
+    def innermost(self, tags: set[str] | frozenset[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
     def close_open(self, tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> bool:
-        if not any(self.count.get(t) for t in tags):
+        """Close the innermost of the tags, if none of ``stop`` is open inside it."""
+        at = self.innermost(tags)
+        if not at or at < self.innermost(stop):
             return False
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag in tags:
-                self.pop_to(at)
-                return True
-            if self.open[at].tag in stop:
-                return False
-        return False
+        self.pop_to(at)
+        return True
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in ("html", "body") and self.count.get(tag):
+        if tag in ("html", "body") and self.places.get(tag):
             return
-        if self.count.get("head") and tag not in HEAD_ONLY:
+        if self.places.get("head") and tag not in HEAD_ONLY:
             self.close_open({"head"}, frozenset())
         if tag in CLOSES:
             self.close_open(*CLOSES[tag])
@@ -93,7 +99,7 @@ class Builder(HTMLParser):
             self.close_open({"p"}, SCOPE)
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
             self.pop_to(len(self.open) - 1)
-        if tag in CELLS and self.count.get("table") and self.open[-1].tag in TABLE_PARTS - {"tr"}:
+        if tag in CELLS and self.places.get("table") and self.open[-1].tag in TABLE_PARTS - {"tr"}:
             self.push(Node("tr", {}))
         node = Node(tag, dict(attrs))
         if tag in VOID:
@@ -107,7 +113,7 @@ class Builder(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             self.open[-1].children.append(Node("br", {}))
-        elif tag == "p" and not self.count.get("p"):
+        elif tag == "p" and not self.places.get("p"):
             self.open[-1].children.append(Node("p", {}))
         elif tag not in VOID and tag not in ("html", "body"):
             stop = {"table"} if tag in TABLE_PARTS | CELLS and tag != "table" else frozenset() if tag == "table" else SCOPE - {tag}
@@ -158,7 +164,7 @@ class Flow:
         if self.gap and self.lines:
             self.lines.extend([""] * self.gap)
         self.gap = 0
-        lead = "".join(self.indent)
+        lead = "".join(self.indent[:MAX_LEVELS])
         if self.marker is not None:
             lead, self.marker = lead[: len(lead) - len(self.marker)] + self.marker, None
         self.lines.append((lead + line).rstrip(" "))

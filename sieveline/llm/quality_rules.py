@@ -6,9 +6,11 @@ repeated windows never raise a score), and flattened into numpy node arrays,
 with which a batch is scored without a loop over documents or trees.
 
 Defined results: a null or empty text has no words and fails the base rules;
-repeated rows are scored alike; an empty table gives an empty result; input
-columns named as an output are replaced; with no usable labels the forest is
-empty, its score is 0.5 and the base rules alone decide.
+a very long text is judged whole, with about 100 bytes of arrays a word; repeated
+rows are scored alike; a score that equals the threshold is kept; an empty table
+gives an empty result; input columns named as an output are replaced (by
+``passed`` none is); with no usable labels the forest is empty, its score is 0.5
+and the base rules alone decide.
 """
 
 from __future__ import annotations

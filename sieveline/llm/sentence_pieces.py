@@ -15,7 +15,9 @@ words between can be encoded one by one, each distinct word once per batch.
 Defined results: a null text has null ids; an empty text has none, and decodes
 to an empty text; decoding gives back any text without U+2581 exactly (that
 character comes back as a space, as the format has it); null ids decode to
-null; bytes that are no UTF-8 decode to U+FFFD.
+null; bytes that are no UTF-8 decode to U+FFFD; a very long text is encoded whole,
+word by word; repeated rows give repeated results; an input column that has the
+name of a result is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -2,17 +2,32 @@
 
 Distinct fingerprints are compared in tiles with exclusive-or and bit counts in
 numpy; tile pairs whose population counts differ by more than the radius are
-skipped.  So that not all fingerprints meet, they are dealt by the values of
-``BLOCKS - RADIUS`` of ``BLOCKS`` bit blocks: two fingerprints that differ in at
-most ``RADIUS`` bits agree in some such choice of blocks, so no link is lost.  A
-group that exceeds ``TILE`` is dealt again into tiles by population count and a
-hash, and its tile pairs go to separate tasks.  A task gives links as stars, not
-as pairs, and components are joined up over the whole table.
+skipped.  So that not all fingerprints meet, they are dealt out first, in a way
+that loses no link:
+
+* ``component_ids`` links fingerprints within a small radius.  They are dealt by
+  the values of ``BLOCKS - RADIUS`` of ``BLOCKS`` bit blocks: two that differ in at
+  most ``RADIUS`` bits agree in some such choice.
+* ``one_of_each`` links texts by the Jaccard similarity of their shingles.  They
+  are dealt by the shingles that similar sets must share (see ``shingles``), and
+  fingerprints within ``REACH`` bits are candidates, which the sets themselves
+  confirm.  A similarity of 0.8 leaves about 10 of 64 bits different, with a
+  deviation of 3, so ``REACH`` is five deviations away; sets of under ``FEW``
+  shingles are candidates at any distance.  Each text is compared with one text of
+  every deal first, and then those that are not in one component yet with each
+  other.
+
+A group that exceeds ``TILE`` is dealt again into tiles by population count and a
+hash, and its tile pairs go to separate tasks.  Links become components over the
+whole table.
 
 Defined results: a null, empty or blank text has fingerprint zero and is linked
-like any other; fewer words than a shingle are one shingle; repeated rows share
-a component; a null id takes no part in the smallest id, and a component of
-null ids only has a null component_id; an empty table gives an empty result.
+like any other (its set is empty and equals itself only); fewer words than a
+shingle are one shingle; a very long text is taken whole, with about 80 bytes of
+arrays a word; repeated rows share a component, and one of them stays; a null id
+takes no part in the smallest id, and a component of null ids only has a null
+component_id; of ties the smallest fingerprint, or text hash, stays; input columns
+may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,13 +38,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shingles
 from .components import components, forest
 from .frames import append, cut
-from .textops import Words, flat, released
+from .textops import Words, flat, mixed, released, slices
 
 SHINGLE = 3
 SEED = 42
@@ -39,6 +56,8 @@ BLOCKS, BLOCK_BITS = 4, 16
 TILE = 4096
 #: Groups up to this size are compared along diagonals of the sorted table, larger ones as matrices.
 SMALL = 32
+#: Differing bits of candidates for a similarity, and the shingles under which bits say too little.
+REACH, FEW = 24, 32
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -57,10 +76,19 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE)
     last = begin + np.repeat(np.minimum(n_words[has], shingle), counts[has]) - 1
     text, hashed = joined.tobytes(), xxhash.xxh64_intdigest
     h = np.fromiter((hashed(text[a:b], SEED) for a, b in zip(at[begin].tolist(), ends[last].tolist(), strict=True)), np.uint64, len(begin))
+    out[has] = majority(h, first)
+    return out
+
+
+def majority(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The bits that over half of the hashes in each (not empty) [bounds[i], bounds[i + 1]) have."""
+    out = np.zeros(len(bounds) - 1, np.uint64)
+    if not len(out):
+        return out
     for k in range(0, 64, 8):  # eight bits at a time keep the table of bits small
         bits = np.unpackbits((h >> np.uint64(k)).astype(np.uint8)[:, None], axis=1, bitorder="little")
-        over = 2 * np.add.reduceat(bits, first[:-1], axis=0, dtype=np.int64) > counts[has][:, None]
-        out[has] |= np.packbits(over, axis=1, bitorder="little")[:, 0].astype(np.uint64) << np.uint64(k)
+        over = 2 * np.add.reduceat(bits, bounds[:-1], axis=0, dtype=np.int64) > np.diff(bounds)[:, None]
+        out |= np.packbits(over, axis=1, bitorder="little")[:, 0].astype(np.uint64) << np.uint64(k)
     return out
 
 
@@ -71,14 +99,15 @@ def annotate(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
 
 
 def tiled(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, tile: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within the radius, of two arrays or (b is None) within one."""
-    def sort(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs within the radius, of two arrays or (b is None) within one."""
+
+    def sort(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         counts = np.bitwise_count(x)
         order = np.argsort(counts, kind="stable")
-        return x[order], counts[order].astype(np.int64)
+        return x[order], counts[order].astype(np.int64), order
 
-    a, pa_ = sort(a)
-    other, pb = (a, pa_) if b is None else sort(b)
+    a, pa_, at = sort(a)
+    other, pb, at_other = (a, pa_, at) if b is None else sort(b)
     for i in range(0, len(a), tile):
         for j in range(i if b is None else 0, len(other), tile):
             low, high = pa_[i], pa_[min(i + tile, len(a)) - 1]
@@ -89,59 +118,88 @@ def tiled(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, tile: int =
                 near = np.triu(near, 1)
             u, v = np.nonzero(near)
             if len(u):
-                yield a[i + u], other[j + v]
+                yield at[i + u], at_other[j + v]
 
 
-def _links(radius: int):
-    """Links within sorted groups (bucket, pair), as stars; side 0 is one tile, 1 and 2 are two tiles to compare."""
-
-    def compare(group: np.ndarray, side: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        sizes = np.diff(np.append(cuts, len(group)))
-        small = np.repeat((sizes <= SMALL) & (np.add.reduceat(side, cuts) == 0), sizes)
-        key, value = group[small], fp[small]
-        for d in range(1, min(SMALL, int(sizes.max()))):
-            if len(key) <= d:
-                break
-            near = np.flatnonzero((key[d:] == key[:-d]) & (np.bitwise_count(value[d:] ^ value[:-d]) <= radius))
-            if len(near):
-                yield value[near], value[near + d]
-        for at, size in zip(cuts, sizes, strict=True):
-            if not small[at]:
-                own, s = fp[at : at + size], side[at : at + size]
-                yield from tiled(own, None, radius) if not s.any() else tiled(own[s == 1], own[s == 2], radius)
+def compare(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs within the radius, in rows in order of their group; side 0 is one tile, 1 and 2 are two tiles to compare."""
+    cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    sizes = np.diff(np.append(cuts, len(group)))
+    small = np.repeat((sizes <= SMALL) & (np.add.reduceat(side, cuts) == 0), sizes)
+    at = np.flatnonzero(small)
+    key, value = group[at], fp[at]
+    for d in range(1, min(SMALL, int(sizes.max()))):
+        if len(key) <= d:
+            break
+        near = np.flatnonzero((key[d:] == key[:-d]) & (np.bitwise_count(value[d:] ^ value[:-d]) <= radius))
+        if len(near):
+            yield at[near], at[near + d]
+    for begin, size in zip(cuts, sizes, strict=True):
+        if not small[begin]:
+            own, s = np.arange(begin, begin + size), side[begin : begin + size]
+            a, b = (own, None) if not s.any() else (own[s == 1], own[s == 2])
+            for u, v in tiled(fp[a], None if b is None else fp[b], radius):
+                yield a[u], (a if b is None else b)[v]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy()]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            if len(held[0]) < 1 << 16:
-                continue
-            change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
-            if not len(change):
-                continue
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: int, least: int = 1 << 16) -> Iterator[list[np.ndarray]]:
+    """Columns of whole groups, in rows in order of their first ``keys`` columns, at least so many rows at once."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        new = [c.to_numpy() for c in batch.columns]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        if len(held[0]) < least:
+            continue
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in held[:keys]], axis=0))
+        if len(change):
             end = change[-1] + 1
-            yield from stars([x[:end] for x in held])
+            yield [x[:end] for x in held]
             held = [x[end:] for x in held]
-        if held is not None and len(held[0]):
-            yield from stars(held)
-
-    def stars(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        bucket, pair, side, fp = rows
-        group = np.cumsum(np.append(0, (bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1])))
-        a = b = np.zeros(0, np.int64)
-        for u, v in compare(group, side.astype(np.int64), fp.view(np.uint64)):
-            a, b = np.concatenate([a, u.view(np.int64)]), np.concatenate([b, v.view(np.int64)])
-            if len(a) > 1 << 20:
+    if held is not None and len(held[0]):
+        yield held
+
+
+def numbered(*keys: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.append(0, np.any([k[1:] != k[:-1] for k in keys], axis=0)))
+
+
+def _links(radius: int):
+    """Links within groups (bucket, pair), as stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, pair, side, fp in by_group(batches, 2):
+            a = b = np.zeros(0, np.int64)
+            for u, v in compare(numbered(bucket, pair), side.astype(np.int64), fp.view(np.uint64), radius):
+                a, b = np.concatenate([a, fp[u]]), np.concatenate([b, fp[v]])
+                if len(a) > 1 << 20:
+                    a, b = forest(a, b)
+            if len(a):
                 a, b = forest(a, b)
-        if len(a):
-            a, b = forest(a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
 
     return released(run)
 
 
+def dealt(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Rows (bucket, pair, side, simhash, ...) of (bucket, simhash, ...): groups of two and more, those over ``tile`` as pairs of tiles."""
+    more = [c for c in keyed.columns if c not in ("bucket", "simhash")]
+    keyed = keyed.withColumn("pop", F.bit_count("simhash"))
+    sizes = cut(keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    sized = cut(keyed.join(sizes, "bucket"))
+    usual = sized.where(F.col("size") <= tile).select("bucket", F.lit(0).cast("long").alias("pair"), F.lit(0).cast("byte").alias("side"), "simhash", *more)
+
+    hot = sized.where(F.col("size") > tile)
+    tiles = hot.groupBy("bucket", "pop").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+    placed = hot.join(tiles, ["bucket", "pop"]).select("bucket", "simhash", *more, (F.col("pop") * 1_000_000 + F.pmod(F.xxhash64("simhash", *more), F.col("parts"))).cast("long").alias("t"))
+    each = tiles.select("bucket", "pop", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("bucket", "pop", (F.col("pop") * 1_000_000 + F.col("part")).cast("long").alias("t"))
+    # tiles of one group whose population counts are within the radius
+    other = each.select("bucket", F.col("t").alias("t2"), F.explode(F.sequence(F.col("pop") - radius, F.col("pop"))).alias("pop"))
+    pairs = each.join(other, ["bucket", "pop"]).where("t <= t2").select("bucket", "t", "t2", F.xxhash64("t", "t2").alias("pair"))
+    left = placed.join(pairs, ["bucket", "t"]).select("bucket", "pair", F.when(F.col("t") == F.col("t2"), 0).otherwise(1).cast("byte").alias("side"), "simhash", *more)
+    right = placed.join(pairs.where("t < t2").select("bucket", F.col("t2").alias("t"), "pair"), ["bucket", "t"]).select("bucket", "pair", F.lit(2).cast("byte").alias("side"), "simhash", *more)
+    return usual.union(left).union(right).repartition("bucket", "pair").sortWithinPartitions("bucket", "pair")
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Links (u, v) that span the components of distinct fingerprints (column simhash)."""
     if radius >= BLOCKS:
@@ -153,22 +211,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
         for k in chosen:
             key = F.shiftleft(key, BLOCK_BITS).bitwiseOR(block[k])
         keys.append(key)
-    keyed = distinct.select(F.explode(F.array(*keys)).alias("bucket"), "simhash", F.bit_count("simhash").alias("pop"))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    sized = cut(keyed.join(sizes, "bucket"))
-    usual = sized.where(F.col("n") <= tile).select("bucket", F.lit(0).cast("long").alias("pair"), F.lit(0).cast("byte").alias("side"), "simhash")
-
-    hot = sized.where(F.col("n") > tile)
-    tiles = hot.groupBy("bucket", "pop").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
-    placed = hot.join(tiles, ["bucket", "pop"]).select("bucket", "simhash", (F.col("pop") * 1_000_000 + F.pmod(F.xxhash64("simhash"), F.col("parts"))).cast("long").alias("t"))
-    each = tiles.select("bucket", "pop", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("bucket", "pop", (F.col("pop") * 1_000_000 + F.col("part")).cast("long").alias("t"))
-    # tiles of one group whose population counts are within the radius
-    other = each.select("bucket", F.col("t").alias("t2"), F.explode(F.sequence(F.col("pop") - radius, F.col("pop"))).alias("pop"))
-    pairs = each.join(other, ["bucket", "pop"]).where("t <= t2").select("bucket", "t", "t2", F.xxhash64("t", "t2").alias("pair"))
-    left = placed.join(pairs, ["bucket", "t"]).select("bucket", "pair", F.when(F.col("t") == F.col("t2"), 0).otherwise(1).cast("byte").alias("side"), "simhash")
-    right = placed.join(pairs.where("t < t2").select("bucket", F.col("t2").alias("t"), "pair"), ["bucket", "t"]).select("bucket", "pair", F.lit(2).cast("byte").alias("side"), "simhash")
-    dealt = usual.union(left).union(right)
-    return dealt.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(_links(radius), "u long, v long")
+    keyed = distinct.select(F.explode(F.array(*keys)).alias("bucket"), "simhash")
+    return dealt(keyed, radius, tile).mapInArrow(_links(radius), "u long, v long")
 
 
 def groups(marked: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -186,11 +230,112 @@ def component_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return marked.join(groups(marked, id_col, radius), "simhash").select(id_col, F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: one with the smallest id (null ids last)."""
+SETS = "key long, simhash long, n int, prefix array<long>"
+MEMBERS = "shingle long, key long, n int, pos int, simhash long, centre long, open boolean"
+
+
+def _sets(columns: int, shingle: int, common: tuple[np.ndarray, np.ndarray]):
+    """From (..., text): instead of the text the key, fingerprint and size of its set, and its first shingles (once in a batch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            h, bounds = shingles.shingle_sets(*flat(batch.column(columns)), shingle)
+            keys, n = shingles.set_keys(h, bounds), np.diff(bounds)
+            fp = np.zeros(len(n), np.uint64)
+            has = np.flatnonzero(n)
+            fp[has] = majority(mixed(h.copy()), np.append(bounds[has], bounds[-1]))
+            first, at = shingles.prefixes(h, bounds, common)
+            once = np.zeros(len(n), bool)
+            once[np.unique(keys, return_index=True)[1]] = True
+            prefix = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(first.view(np.int64)))
+            prefix = pa.array([p if o else None for p, o in zip(prefix, once.tolist(), strict=True)], pa.list_(pa.int64())) if not once.all() else prefix
+            yield pa.RecordBatch.from_arrays([*batch.columns[:columns], pa.array(keys.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32)), prefix], names=[*batch.schema.names[:columns], "key", "simhash", "n", "prefix"])
+
+    return released(run)
+
+
+def alike(fp: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return (np.bitwise_count(fp ^ other) <= REACH) | (np.minimum(n, m) < FEW)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of shingle and key: each set that shares a shingle with others; ``centre`` is the first of
+    them, if it may be similar, and ``open`` tells whether there are three or more.  Rows that say neither go."""
+    for rows in by_group(batches, 1):
+        shingle, key = rows[:2]
+        new = np.append(True, (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1]))
+        shingle, key, n, pos, fp = (x[new] for x in rows)
+        starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+        sizes = np.diff(np.append(starts, len(shingle)))
+        first, many = np.repeat(starts, sizes), np.repeat(sizes > 2, sizes)
+        a, b, bits = n.astype(np.int64), pos.astype(np.int64), fp.view(np.uint64)
+        linked = (first != np.arange(len(key))) & alike(bits, bits[first], a, a[first]) & shingles.near(a, a[first], b, b[first])
+        some = np.flatnonzero(linked | many)
+        columns = [pa.array(x[some]) for x in (shingle, key, n, pos, fp)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(key[first[some]], mask=~linked[some]), pa.array(many[some])], names=[f.split()[0] for f in MEMBERS.split(", ")])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (u, v) of different components, from rows dealt by shingle; each pair once for the rows of a step."""
+    for bucket, pair, side, fp, key, n, pos, label in by_group(batches, 2):
+        bits, n, pos = fp.view(np.uint64), n.astype(np.int64), pos.astype(np.int64)
+        found = [np.zeros((0, 2), np.int64)]
+        for u, v in compare(numbered(bucket, pair), side.astype(np.int64), bits, 64 if (n < FEW).any() else REACH):
+            near = (label[u] != label[v]) & alike(bits[u], bits[v], n[u], n[v])
+            u, v = u[near], v[near]
+            near = shingles.near(n[u], n[v], pos[u], pos[v])
+            found.append(np.unique(np.sort(np.column_stack([key[u[near]], key[v[near]]]), axis=1), axis=0))
+        u, v = np.unique(np.concatenate(found), axis=0).T
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
+def similar_links(marked: DataFrame, bodies_of, shingle: int, tile: int = TILE) -> DataFrame:
+    """Links (u, v) that span the components of the sets of ``marked`` (key, simhash, n, prefix); ``bodies_of`` gives (key, body) for a table of keys."""
+    rows = marked.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "shingle"), "key", "n", "simhash").select("shingle", "key", "n", "pos", "simhash")
+    members = cut(rows.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(released(_met), MEMBERS))
+    bodies = cut(bodies_of(members.select("key").union(members.where("centre is not null").select("centre")).distinct()))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        right = cut(pairs.join(bodies.select(F.col("key").alias("v"), F.col("body").alias("right")), "v"))
+        return cut(right.join(bodies.select(F.col("key").alias("u"), F.col("body").alias("left")), "u").select("u", "v", "left", "right").mapInArrow(shingles.similar(shingle), "u long, v long"))
+
+    star = cut(members.where("centre is not null").select(F.col("centre").alias("u"), F.col("key").alias("v")).distinct())
+    first = confirmed(star)
+    label = components(first).select(F.col("u").alias("key"), F.col("v").alias("label"))
+    labelled = cut(members.where("open").select("shingle", "key", "n", "pos", "simhash").join(label, "key", "left").withColumn("label", F.coalesce("label", "key")))
+    several = cut(labelled.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("shingle"))
+    left = labelled.join(several, "shingle").select(F.col("shingle").alias("bucket"), "simhash", "key", "n", "pos", "label")
+    across = dealt(left, 64, tile).mapInArrow(released(_across), "u long, v long").distinct()
+    tried = star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return first.union(confirmed(cut(across.join(tried, ["u", "v"], "left_anti"))))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = shingles.SHINGLE, tile: int = TILE) -> DataFrame:
+    """``docs`` with one row of each component under the similarity of shingles: one with the smallest id (null ids last)."""
     names = [f"_column{i}" for i in range(len(docs.columns))]
-    own_id, own_text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
-    marked = annotate(docs.toDF(*names), own_text)
-    winners = groups(cut(marked.select(own_id, "simhash")), own_id, radius).where("simhash = best_simhash").select(F.col("simhash").alias("_simhash"), F.col("component_id").alias("_winner"))
-    kept = marked.join(winners, F.col(own_id).eqNullSafe(F.col("_winner")) & (F.col("simhash") == F.col("_simhash")), "left_semi")
-    return kept.dropDuplicates(["simhash", own_id]).select(*names).toDF(*docs.columns)
+    own_id, text = F.col(names[docs.columns.index(id_col)]), F.col(names[docs.columns.index(text_col)])
+    # a row's name tells apart rows with one id by their text, so that one shuffle serves each join and the choice among repeated rows
+    name = lambda id_, hash_: F.concat(F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit("")), F.lit(" "), hash_.cast("string"))
+    named = docs.toDF(*names).withColumn("_row", name(own_id, F.xxhash64(text)))
+    common = shingles.common_shingles(docs.select(F.col(text_col).alias("text")), shingle)
+    whole = named.select(own_id.alias("_id"), "_row", text.alias("_text"))
+    schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_row", T.StringType()), *T.StructType.fromDDL(SETS).fields])
+    marked = cut(whole.mapInArrow(_sets(2, shingle, common), schema))
+    row = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")
+    nodes = cut(marked.groupBy("key").agg(F.min(row).alias("row")))
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False).compress
+        for batch in slices(batches, "_text"):
+            data, offsets = flat(batch.column(1))
+            text, at = data.tobytes(), offsets.tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(text[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["_row", "body"])
+
+    def bodies_of(keys: DataFrame) -> DataFrame:
+        wanted = cut(nodes.join(keys, "key").select("key", F.col("row._row").alias("_row")))
+        return whole.select("_row", "_text").mapInArrow(released(compress), "_row string, body binary").join(wanted, "_row").dropDuplicates(["key"]).select("key", "body")
+
+    label = components(similar_links(marked.select("key", "simhash", "n", "prefix"), bodies_of, shingle, tile)).select(F.col("u").alias("key"), F.col("v").alias("label"))
+    best = nodes.join(label, "key", "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("row").alias("best"))
+    winners = cut(best.select(F.col("best._row").alias("_row")))
+    return named.join(winners, "_row", "left_semi").dropDuplicates(["_row"]).select(*names).toDF(*docs.columns)

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from sieveline.llm import components, near_copies, queries, repeats, simhash, substring_dedup, suffix_dedup
+from sieveline.llm import components, queries, repeats, shingles, simhash, substring_dedup, suffix_dedup
 from sieveline.llm.textops import Prefix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -98,6 +98,57 @@ def test_whole_tables(spark):
     assert Counter(map(tuple, queries.op7_suffix_dedup(spark, d).collect())) == brute_bytes(docs, 200)
 
 
+def test_longer_than_a_block(spark):
+    """Texts that are looked at in several rounds."""
+    r = random.Random(9)
+    shared = [f"s{r.randrange(10**6)}" for _ in range(90)]
+    long_words = [f"w{r.randrange(10**6)}" for _ in range(repeats.BLOCK + 60)]
+    long_words[repeats.BLOCK - 40 : repeats.BLOCK + 50] = shared
+    docs = [(1, " ".join(shared)), (2, " ".join(long_words)), (3, "z" * (repeats.BLOCK + 700)), (4, "q" * 150 + "z" * 250)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    words = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.shorten(df).collect()}
+    assert words == {1: (90, 0), 2: (repeats.BLOCK + 60, 90), 3: (1, 0), 4: (1, 0)}
+    rows = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.shorten(df).collect()}
+    assert rows == {1: (len(docs[0][1]), 1), 2: (len(docs[0][1]) + (docs[1][1][: docs[1][1].index(docs[0][1])][-1:] == "") , 1), 3: (repeats.BLOCK + 700, 1), 4: (250, 1)}
+
+
+def test_many_contents_around_one_passage(spark):
+    """A group that is parted again and again, down to whole windows."""
+    r = random.Random(11)
+    line = "".join(r.choice("abcdefgh ") for _ in range(230))
+    docs = [(i, "".join(r.choice("ijklm") for _ in range(r.randint(0, 60))) + line + "".join(r.choice("nopqr") for _ in range(r.randint(0, 60)))) for i in range(120)]
+    for bound in (1 << 15, 200, 1):
+        assert Counter(map(tuple, suffix_dedup.shorten(spark.createDataFrame(docs, SCHEMA), bound=bound).collect())) == brute_bytes(docs, 200)
+
+
+def test_spans_are_verified_at_their_source():
+    text = b"some words of a text"
+    repeats.verified(text, [0, 5], [4, 10], [repeats.digest(b"some"), None])
+    with pytest.raises(ValueError, match="seed"):
+        repeats.verified(text, [0], [4], [repeats.digest(b"sums")])
+
+
+def test_paths_are_compacted(spark):
+    """Walks that share a stretch become paths that begin and end where they part."""
+    walks = [(1, 1, b"a b c d e f g"), (1, 2, b"x b c d e f y"), (1, 3, b"c d e")]
+    got = substring_dedup.nonbranching_paths(spark.createDataFrame(walks, "m long, c long, content binary"), 3).collect()
+    paths = {(r.c, r.place): r.n for r in got}
+    # windows of three words: abc bcd cde def efg; xbc bcd cde def efy; cde
+    assert paths == {(1, 0): 1, (1, 1): 1, (1, 2): 1, (1, 3): 1, (1, 4): 1, (2, 0): 1, (2, 1): 1, (2, 2): 1, (2, 3): 1, (2, 4): 1, (3, 0): 1}
+    two = substring_dedup.nonbranching_paths(spark.createDataFrame(walks[:2], "m long, c long, content binary"), 3).collect()
+    assert {(r.c, r.place): r.n for r in two} == {(1, 0): 1, (1, 1): 3, (1, 4): 1, (2, 0): 1, (2, 1): 3, (2, 4): 1}
+    assert len({r.edge for r in two if r.n == 3}) == 1
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("a", "x" * 300, 1), (None, "x" * 300, 2), ("b", "short", 3)], "doc_id string, text string, body int")
+    got = {(r.doc_id, r.body): r.text for r in suffix_dedup.deduplicated(docs).collect()}
+    assert got == {("a", 1): "", (None, 2): "", ("b", 3): "short"}
+    for run in (substring_dedup.shorten, suffix_dedup.shorten):
+        with pytest.raises(TypeError):
+            run(docs)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA + ", spans int, id string")
     assert substring_dedup.shorten(empty).count() == suffix_dedup.shorten(empty).count() == simhash.component_ids(empty).count() == 0
@@ -162,8 +213,6 @@ def test_op10(spark):
     want = Counter(zip([i for i, _ in docs], [f"{v:016x}" for v in values], joined_up(values, [i for i, _ in docs]), strict=True))
     df = spark.createDataFrame(docs, SCHEMA)
     assert Counter(map(tuple, simhash.component_ids(df).collect())) == want
-    kept = simhash.one_of_each(df.selectExpr("*", "1 as simhash")).collect()
-    assert len(kept) == len({(c if c is not None else "null", f if c is None else "") for _, f, c in want}) and {r.doc_id for r in kept} == {c for _, _, c in want}
 
 
 @pytest.mark.parametrize("tile", [8, 4096])
@@ -210,7 +259,7 @@ def similar_groups(docs):
 @pytest.mark.parametrize("common", [1, 4])
 def test_near_copies_against_brute_force(spark, common, monkeypatch):
     """Copies with edits, chains of them, one line that all share, empty texts and repeated rows, through the pipeline's stage."""
-    monkeypatch.setattr(near_copies, "COMMON", common)
+    monkeypatch.setattr(shingles, "COMMON", common)
     r = random.Random(common)
     line = "this very line stands in all of the texts".split()
     docs = []

@@ -1,7 +1,10 @@
 """Transport streams, HTML text, SentencePiece and packing."""
 
+import hashlib
 import html
+import random
 import re
+import time
 import zlib
 from functools import cache
 
@@ -47,9 +50,45 @@ def test_damaged_stream():
     assert media_ts.section_crc(b"123456789") == 0x0376E6E7
 
 
+def test_no_damage_is_fatal():
+    r = random.Random(5)
+    whole = [media_ts.mux(media_ts.payload_of(r.randbytes(n))) for n in (1, 500, 40_000)]
+    for _ in range(4000):
+        own = bytearray(r.choice(whole))
+        for _ in range(r.randint(1, 6)):
+            own[r.randrange(min(len(own), 188 * 4))] = r.choice([0, 0x47, 0xFF, 0xB7, 0x40, r.randrange(256)])
+        if r.random() < 0.3:
+            del own[: r.randrange(400)]
+        assert isinstance(media_ts.demux(bytes(own)).feature(), str)
+    media = bytearray(whole[1])
+    media[188 * 2 + 1] &= 0xBF  # no unit begins
+    assert media_ts.demux(bytes(media)).table_errors and not media_ts.demux(bytes(media)).payload
+    media = bytearray(whole[1])
+    media[188 + 3], media[188 + 4] = 0x30, 183  # an adaptation field that fills a table's packet
+    assert media_ts.demux(bytes(media)).table_errors
+    media = bytearray(whole[0])
+    at = media.index(b"\0\0\1\xbd", 376)
+    media[at + 8] = 255  # a header that is longer than its packet
+    assert media_ts.demux(bytes(media)).table_errors
+    spark_rows = [media_ts.demux(b) for b in (b"", b"G" * 188, b"\0" * 1000)]
+    assert all(d.table_errors for d in spark_rows)
+
+
 def test_op6(spark):
-    rows = queries.op6_media_ts(spark, "/root/testdata/sf0.001").collect()
-    assert len(rows) == 200
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    long_text = "ä" * 300_000
+    rows = queries.op6_media_ts(spark, d).collect() + media_ts.digest(spark.createDataFrame([(-1, long_text)], "doc_id long, text string"), keep=["doc_id"]).collect()
+    texts[-1] = long_text.encode()
+    assert len(rows) == len(texts)
+    for r in rows:
+        payload = texts[r.doc_id] + bytes(-len(texts[r.doc_id]) % 64 if texts[r.doc_id] else 64)
+        # sizes from the format: a unit of 32,768 bytes has a header of 14, every eighth one a clock of 8, and packets carry 184 bytes
+        units = [min(32_768, len(payload) - at) + 14 + 8 * (at // 32_768 % 8 == 0) for at in range(0, len(payload), 32_768)]
+        packets = 2 + sum(-(-u // 184) for u in units)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert r.media_bytes == 188 * packets and r.media_sha256 == hashlib.sha256(media_ts.mux(payload)).hexdigest()
+        assert r.feature == f"packets={packets};streams=1;pes={len(units)};pts=0-{3600 * (len(units) - 1)};access={-(-len(units) // 8)};errors=0"
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "é" * 50), (3, "é" * 50)], "doc_id long, text string")
     got = media_ts.digest(docs, keep=["doc_id"]).orderBy("doc_id").collect()
     assert got[0][1:] == got[1][1:] and got[2] == got[3] and got[0].payload_bytes == 64 and got[2].payload_bytes == 128
@@ -64,6 +103,7 @@ def test_op6(spark):
     ("<ul><li>a<li>b<ol start=3><li>c<li>d</ol><li>e</ul>f", "- a\n- b\n  3. c\n  4. d\n- e\n\nf"), ("<div hidden>a</div><div style='color:red; display: none'>b</div>c", "c"),
     ("<p style='visibility:hidden'>a<span style='visibility:visible'>b</span></p>", "b"), ("<!-- a -->&lt;b&gt;&amp;", "<b>&"), ("<pre>\n a\n  b</pre>", " a\n  b"),
     ("<table><tr><th>n<th>count<tr><td>apples<td>3</table>", "n       count\napples  3"), ("<table><td>a<td>b<tr><td>c", "a  b\nc"), ("<table><tr><td rowspan=2>x<td>1<tr><td>2</table>", "x  1\n   2"),
+    ("<svg><title>t</title><text>a</text><desc>d</desc></svg> <math><mi>x</mi><annotation>n</annotation></math> <object>o</object>", "a x o"), ("<p><button>a</p>b", "ab"),
     ("<dl><dt>t<dd>d</dl>", "t\n    d"), ("<details><summary>s</summary>hidden</details>", "s"), ("<select><option>1<option selected>2</select>", "2"), ("a<br>b<br><br>c", "a\nb\n\nc"),
     ("<h1>a</h1>b<hr>c", "a\n\nb\n\n---\n\nc"), ("</p>a</div></b>", "a"), ("<p>a<table><tr><td>b</table>c", "a\n\nb\n\nc"), ("<template>a</template><noscript>b</noscript>c", "c"), ("<blockquote>q</blockquote>", "> q"),
 ])
@@ -85,10 +125,18 @@ def test_html_keeps_every_visible_word(spark):
         assert re.sub(r"[^\w|]+", "", r.text.replace("\n- ", "\n")) == re.sub(r"[^\w|]+", "", html.unescape(body))
 
 
+def test_hostile_pages():
+    began = time.process_time()
+    assert len(html_text.render("<blockquote>x" * 4000)) < 4000 * 200
+    assert html_text.render("<p><button>" + "<i>" * 8000 + "</p>" * 8000 + "x") == "x"
+    assert time.process_time() - began < 5
+
+
 def test_html_deep_and_null(spark):
     assert html_text.render("<div>" * 20_000 + "x") == "x" and html_text.render("<table><td>" * 500 + "x") == "x"
     pages = spark.createDataFrame([(1, None, "a"), (2, "<p>x", "b")], "page_id long, html string, text string")
     assert [tuple(r) for r in html_text.extract(pages).orderBy("page_id").collect()] == [(1, None, None), (2, "<p>x", "x")]
+    assert html_text.extract(pages.limit(0)).collect() == [] and html_text.extract(pages.union(pages)).count() == 4
 
 
 def unigram_mode(path):
@@ -100,16 +148,25 @@ def unigram_mode(path):
     return sentencepiece.SentencePieceProcessor(model_proto=raw[: at + 1] + b"\x01" + raw[at + 2 :])
 
 
-def brute(codec, text):
+@cache
+def normal_pieces(codec):
     v = codec.vocabulary
-    table = {p: (i, s) for i, (p, s, k) in enumerate(zip(v.pieces, v.scores, v.kinds, strict=True)) if k == sentence_pieces.NORMAL}
-    best = [(0.0, [])]
+    return {p: (i, s) for i, (p, s, k) in enumerate(zip(v.pieces, v.scores, v.kinds, strict=True)) if k == sentence_pieces.NORMAL}
+
+
+def brute(codec, text):
+    table = normal_pieces(codec)
+    best = [(0.0, 0, [])]
     for end in range(1, len(text) + 1):
-        found = [(best[a][0] + table[text[a:end]][1], best[a][1] + [table[text[a:end]][0]]) for a in range(max(0, end - 16), end) if text[a:end] in table]
+        found = [(best[a][0] + table[text[a:end]][1], a, [table[text[a:end]][0]]) for a in range(max(0, end - 16), end) if text[a:end] in table]
         if text[end - 1] not in table:
-            found.append((best[-1][0] + codec.lowest, best[-1][1] + [codec.bytes[b] for b in text[end - 1].encode()]))
+            found.append((best[-1][0] + codec.lowest, end - 1, [codec.bytes[b] for b in text[end - 1].encode()]))
         best.append(max(found, key=lambda x: x[0]))
-    return best[-1][1]
+    at, ids = len(text), []
+    while at:
+        ids[:0] = best[at][2]
+        at = best[at][1]
+    return ids
 
 
 @settings(max_examples=300, deadline=None)
@@ -140,7 +197,14 @@ def test_pieces_score_as_in_library(spark):
 
 def test_op8(spark):
     got = queries.op8_sentence_pieces(spark, "/root/testdata/sf0.001").collect()
-    assert len(got) == 200 and all(r.round_trip for r in got)
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(got) == len(texts) and all(r.round_trip for r in got)
+    codec = sentence_pieces.codec(PIECES)
+    words: dict[str, list[int]] = {}
+    for r in got:  # a best segmentation cuts before each space that follows something else
+        parts = re.findall(r" *[^ ]+| +$", " " + texts[r.doc_id]) if texts[r.doc_id] else []
+        ids = [i for w in parts for i in words.setdefault(w, brute(codec, w.replace(" ", "▁")))]
+        assert (r.n_pieces, r.ids_crc32, r.decoded_sha256) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a  b\n"), (4, "x" * 5000)], "doc_id long, text string")
     encoded = sentence_pieces.encode(docs, PIECES)
     assert [r.decoded for r in sentence_pieces.decode(encoded, PIECES).orderBy("doc_id").collect()] == [None, "", "a  b\n", "x" * 5000]
@@ -149,9 +213,7 @@ def test_op8(spark):
 
 @cache
 def bpe():
-    library = Tokenizer.from_file(BPE)
-    library.encode_special_tokens = True
-    return library, packing.tokenizer_encoder(BPE)
+    return Tokenizer.from_file(BPE), packing.tokenizer_encoder(BPE)
 
 
 @settings(max_examples=300, deadline=None)
@@ -162,6 +224,14 @@ def test_ids_are_the_tokenizers(texts):
     assert [g.tolist() for g in got][: len(texts)] == [x.ids + [1] for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_special_tokens():
+    texts = ["hello <|endoftext|> world", "<|endoftext", "|>", "a<|endoftext|>", None]
+    flat = textops.flat(pa.array(texts))
+    assert [g.tolist() for g in packing.document_ids(bpe()[1], *flat)][0] == [31373, 220, 50256, 995, 1]
+    plain = [g.tolist() for g in packing.document_ids(packing.tokenizer_encoder(BPE, special_as_text=True), *flat)]
+    assert 50256 not in plain[0] and plain[1:3] == [g.tolist() for g in packing.document_ids(bpe()[1], *flat)][1:3]
+
+
 def check_packed(rows, ids):
     """rows: (doc, start, length, crc, total, sequence, offset)"""
     pieces, sequences = {}, {}
