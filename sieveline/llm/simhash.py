@@ -13,9 +13,13 @@ that loses no link:
   fingerprints within ``REACH`` bits are candidates, which the sets themselves
   confirm.  A similarity of 0.8 leaves about 10 of 64 bits different, with a
   deviation of 3, so ``REACH`` is five deviations away; sets of under ``FEW``
-  shingles are candidates at any distance.  Each text is compared with one text of
-  every deal first, and then those that are not in one component yet with each
-  other.
+  shingles are candidates at any distance.  A second fingerprint of ``ODD_BITS``
+  bits, each of which tells whether an odd number of shingles falls on it, differs
+  in no more bits than the sets do in shingles, and so rules out most other pairs
+  for certain.  Each text is compared with one text of
+  every deal first, then with the ``CENTRES`` of them that are closest to the
+  majority of their fingerprints, and at last those that are not in one component
+  yet with each other; so edited copies of one text are not all compared.
 
 A group that exceeds ``TILE`` is dealt again into tiles by population count and a
 hash, and its tile pairs go to separate tasks.  Links become components over the
@@ -58,6 +62,10 @@ TILE = 4096
 SMALL = 32
 #: Differing bits of candidates for a similarity, and the shingles under which bits say too little.
 REACH, FEW = 24, 32
+#: Bits of the fingerprint by odd counts.
+ODD_BITS = 512
+#: Texts of a deal that all others are compared with before any two are.
+CENTRES = 8
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -146,7 +154,7 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: int, least: int = 1 << 16)
     """Columns of whole groups, in rows in order of their first ``keys`` columns, at least so many rows at once."""
     held: list[np.ndarray] | None = None
     for batch in batches:
-        new = [c.to_numpy() for c in batch.columns]
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
         if len(held[0]) < least:
             continue
@@ -230,7 +238,7 @@ def component_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return marked.join(groups(marked, id_col, radius), "simhash").select(id_col, F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-SETS = "key long, simhash long, n int, prefix array<long>"
+SETS = "key long, simhash long, odd binary, n int, prefix array<long>"
 MEMBERS = "shingle long, key long, n int, pos int, simhash long, centre long, open boolean"
 
 
@@ -244,18 +252,21 @@ def _sets(columns: int, shingle: int, common: tuple[np.ndarray, np.ndarray]):
             fp = np.zeros(len(n), np.uint64)
             has = np.flatnonzero(n)
             fp[has] = majority(mixed(h.copy()), np.append(bounds[has], bounds[-1]))
+            counts = np.bincount(np.repeat(np.arange(len(n)), n) * ODD_BITS + (h % np.uint64(ODD_BITS)).astype(np.int64), minlength=len(n) * ODD_BITS)
+            odd = np.packbits((counts & 1).astype(np.uint8).reshape(len(n), ODD_BITS), axis=1)
             first, at = shingles.prefixes(h, bounds, common)
             once = np.zeros(len(n), bool)
             once[np.unique(keys, return_index=True)[1]] = True
             prefix = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(first.view(np.int64)))
             prefix = pa.array([p if o else None for p, o in zip(prefix, once.tolist(), strict=True)], pa.list_(pa.int64())) if not once.all() else prefix
-            yield pa.RecordBatch.from_arrays([*batch.columns[:columns], pa.array(keys.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32)), prefix], names=[*batch.schema.names[:columns], "key", "simhash", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:columns], pa.array(keys.view(np.int64)), pa.array(fp.view(np.int64)), pa.array([x.tobytes() for x in odd], pa.binary()), pa.array(n.astype(np.int32)), prefix], names=[*batch.schema.names[:columns], "key", "simhash", "odd", "n", "prefix"])
 
     return released(run)
 
 
-def alike(fp: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return (np.bitwise_count(fp ^ other) <= REACH) | (np.minimum(n, m) < FEW)
+def alike(fp: np.ndarray, n: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which pairs of places may be similar by their fingerprints."""
+    return (np.bitwise_count(fp[u] ^ fp[v]) <= REACH) | (np.minimum(n[u], n[v]) < FEW)
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,29 +279,67 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
         sizes = np.diff(np.append(starts, len(shingle)))
         first, many = np.repeat(starts, sizes), np.repeat(sizes > 2, sizes)
-        a, b, bits = n.astype(np.int64), pos.astype(np.int64), fp.view(np.uint64)
-        linked = (first != np.arange(len(key))) & alike(bits, bits[first], a, a[first]) & shingles.near(a, a[first], b, b[first])
+        a, b, every = n.astype(np.int64), pos.astype(np.int64), np.arange(len(key))
+        linked = (first != every) & alike(fp.view(np.uint64), a, first, every) & shingles.near(a, a[first], b, b[first])
         some = np.flatnonzero(linked | many)
         columns = [pa.array(x[some]) for x in (shingle, key, n, pos, fp)]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(key[first[some]], mask=~linked[some]), pa.array(many[some])], names=[f.split()[0] for f in MEMBERS.split(", ")])
 
 
+def _pairs(key: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Pairs of keys, the smaller one first, each once."""
+    found = [np.zeros((0, 2), np.int64), *(np.sort(np.column_stack([key[u], key[v]]), axis=1) for u, v in parts)]
+    u, v = np.unique(np.concatenate(found), axis=0).T
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
+class Deal:
+    """Rows of deals, for looking at pairs of places."""
+
+    def __init__(self, fp: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray, odd: np.ndarray):
+        self.fp, self.key, self.label = fp.view(np.uint64), key, label
+        self.n, self.pos = n.astype(np.int64), pos.astype(np.int64)
+        self.odd = np.frombuffer(b"".join(odd), np.uint64).reshape(len(key), ODD_BITS // 64)
+
+    def open(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those pairs that are of different components and may be similar."""
+        n = self.n
+        may = (self.label[u] != self.label[v]) & alike(self.fp, n, u, v)
+        u, v = u[may], v[may]
+        may = shingles.near(n[u], n[v], self.pos[u], self.pos[v])
+        u, v = u[may], v[may]
+        bits = np.zeros(len(u), np.int64)
+        for k in range(ODD_BITS // 64):
+            bits += np.bitwise_count(self.odd[u, k] ^ self.odd[v, k])
+        may = bits * (shingles.NUMERATOR + shingles.DENOMINATOR) <= (n[u] + n[v]) * (shingles.DENOMINATOR - shingles.NUMERATOR)
+        return u[may], v[may]
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (u, v) of different components, from rows in order of shingle: the texts of each deal that are closest to
+    its majority (what edited copies were made from comes first), and all others."""
+    for shingle, *rows in by_group(batches, 1):
+        group, fp = numbered(shingle), rows[0].view(np.uint64)
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        far = np.bitwise_count(fp ^ majority(fp, np.append(starts, len(group)))[group])
+        order = np.lexsort((mixed(rows[1].view(np.uint64).copy()), far, group))
+        group, deal = group[order], Deal(*(x[order] for x in rows))
+        first = np.searchsorted(group, group)
+        rank = np.arange(len(group)) - first
+        later = [np.flatnonzero(rank > c) for c in range(min(CENTRES, int(rank.max())))]
+        yield _pairs(deal.key, [deal.open(first[v] + c, v) for c, v in enumerate(later)])
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates (u, v) of different components, from rows dealt by shingle; each pair once for the rows of a step."""
-    for bucket, pair, side, fp, key, n, pos, label in by_group(batches, 2):
-        bits, n, pos = fp.view(np.uint64), n.astype(np.int64), pos.astype(np.int64)
-        found = [np.zeros((0, 2), np.int64)]
-        for u, v in compare(numbered(bucket, pair), side.astype(np.int64), bits, 64 if (n < FEW).any() else REACH):
-            near = (label[u] != label[v]) & alike(bits[u], bits[v], n[u], n[v])
-            u, v = u[near], v[near]
-            near = shingles.near(n[u], n[v], pos[u], pos[v])
-            found.append(np.unique(np.sort(np.column_stack([key[u[near]], key[v[near]]]), axis=1), axis=0))
-        u, v = np.unique(np.concatenate(found), axis=0).T
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-
-def similar_links(marked: DataFrame, bodies_of, shingle: int, tile: int = TILE) -> DataFrame:
-    """Links (u, v) that span the components of the sets of ``marked`` (key, simhash, n, prefix); ``bodies_of`` gives (key, body) for a table of keys."""
+    for bucket, pair, side, *rows in by_group(batches, 2):
+        deal = Deal(*rows)
+        near = compare(numbered(bucket, pair), side.astype(np.int64), deal.fp, 64 if (deal.n < FEW).any() else REACH)
+        yield _pairs(deal.key, [deal.open(u, v) for u, v in near])
+
+
+def similar_links(marked: DataFrame, nodes: DataFrame, bodies_of, shingle: int, tile: int = TILE) -> DataFrame:
+    """Links (u, v) that span the components of the sets of ``marked`` (key, simhash, n, prefix) and ``nodes`` (key, odd); ``bodies_of`` gives (key, body) for a table of keys."""
     rows = marked.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "shingle"), "key", "n", "simhash").select("shingle", "key", "n", "pos", "simhash")
     members = cut(rows.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(released(_met), MEMBERS))
     bodies = cut(bodies_of(members.select("key").union(members.where("centre is not null").select("centre")).distinct()))
@@ -299,15 +348,18 @@ def similar_links(marked: DataFrame, bodies_of, shingle: int, tile: int = TILE)
         right = cut(pairs.join(bodies.select(F.col("key").alias("v"), F.col("body").alias("right")), "v"))
         return cut(right.join(bodies.select(F.col("key").alias("u"), F.col("body").alias("left")), "u").select("u", "v", "left", "right").mapInArrow(shingles.similar(shingle), "u long, v long"))
 
-    star = cut(members.where("centre is not null").select(F.col("centre").alias("u"), F.col("key").alias("v")).distinct())
-    first = confirmed(star)
-    label = components(first).select(F.col("u").alias("key"), F.col("v").alias("label"))
-    labelled = cut(members.where("open").select("shingle", "key", "n", "pos", "simhash").join(label, "key", "left").withColumn("label", F.coalesce("label", "key")))
-    several = cut(labelled.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("shingle"))
-    left = labelled.join(several, "shingle").select(F.col("shingle").alias("bucket"), "simhash", "key", "n", "pos", "label")
-    across = dealt(left, 64, tile).mapInArrow(released(_across), "u long, v long").distinct()
-    tried = star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return first.union(confirmed(cut(across.join(tried, ["u", "v"], "left_anti"))))
+    tried = cut(members.where("centre is not null").select(F.least("centre", "key").alias("u"), F.greatest("centre", "key").alias("v")).distinct())
+    found = confirmed(tried)
+    for step in (_around, _across):
+        label = components(found).select(F.col("u").alias("key"), F.col("v").alias("label"))
+        labelled = cut(members.where("open").select("shingle", "simhash", "key", "n", "pos").join(label, "key", "left").withColumn("label", F.coalesce("label", "key")))
+        several = cut(labelled.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("shingle"))
+        left = labelled.join(several, "shingle").join(nodes.select("key", "odd"), "key").select(F.col("shingle").alias("bucket"), "simhash", "key", "n", "pos", "label", "odd")
+        rows = left.repartition("bucket").sortWithinPartitions("bucket") if step is _around else dealt(left, 64, tile)
+        pairs = cut(rows.mapInArrow(released(step), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti"))
+        found = cut(found.union(confirmed(pairs)))
+        tried = tried.union(pairs)
+    return found
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = shingles.SHINGLE, tile: int = TILE) -> DataFrame:
@@ -322,7 +374,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_row", T.StringType()), *T.StructType.fromDDL(SETS).fields])
     marked = cut(whole.mapInArrow(_sets(2, shingle, common), schema))
     row = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")
-    nodes = cut(marked.groupBy("key").agg(F.min(row).alias("row")))
+    nodes = cut(marked.groupBy("key").agg(F.min(row).alias("row"), F.min("odd").alias("odd")))
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False).compress
@@ -335,7 +387,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         wanted = cut(nodes.join(keys, "key").select("key", F.col("row._row").alias("_row")))
         return whole.select("_row", "_text").mapInArrow(released(compress), "_row string, body binary").join(wanted, "_row").dropDuplicates(["key"]).select("key", "body")
 
-    label = components(similar_links(marked.select("key", "simhash", "n", "prefix"), bodies_of, shingle, tile)).select(F.col("u").alias("key"), F.col("v").alias("label"))
+    label = components(similar_links(marked.select("key", "simhash", "n", "prefix"), nodes, bodies_of, shingle, tile)).select(F.col("u").alias("key"), F.col("v").alias("label"))
     best = nodes.join(label, "key", "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("row").alias("best"))
     winners = cut(best.select(F.col("best._row").alias("_row")))
     return named.join(winners, "_row", "left_semi").dropDuplicates(["_row"]).select(*names).toDF(*docs.columns)
