@@ -69,9 +69,33 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_ids(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: A window is repeated if its words also start in a document with a smaller id; removed words are those of the last 50 starts.
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+spots AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM w),
+windows AS (SELECT doc_id, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS s, n FROM spots),
+marked AS (SELECT doc_id, i, i <= n - 49 AND min(doc_id) OVER (PARTITION BY i <= n - 49, s) < doc_id AS again FROM windows),
+gone AS (SELECT doc_id, i, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM marked)
+SELECT documents.doc_id, count(word)::BIGINT AS n_words, count(CASE WHEN gone THEN 1 END)::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM documents LEFT JOIN (SELECT * FROM spots JOIN gone USING (doc_id, i)) USING (doc_id) GROUP BY documents.doc_id
+"""
+#: Windows of 200 bytes in hexadecimal, those that occur twice, and the runs that they cover.
+OP7_SQL = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, i, substr(h, 2 * i + 1, 400) AS s FROM (SELECT doc_id, h, unnest(range(strlen(h) // 2 - 199)) AS i FROM b WHERE strlen(h) >= 400)),
+again AS (SELECT doc_id, i FROM windows SEMI JOIN (SELECT md5(s) AS m FROM windows GROUP BY 1 HAVING count(*) > 1) ON md5(s) = m),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM again)) GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends FROM runs GROUP BY doc_id)
+SELECT b.doc_id, (strlen(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN starts IS NULL THEN h ELSE array_to_string([substr(h, CASE WHEN k = 0 THEN 1 ELSE 2 * ends[k] + 1 END, CASE WHEN k = len(starts) THEN strlen(h) ELSE 2 * starts[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE 2 * ends[k] END) FOR k IN range(0, len(starts) + 1)], '') END)) AS kept_sha256
+FROM b LEFT JOIN cuts USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_html_text, op2_quality_rules, op3_quality_classifier, op4_substring_dedup, op5_language_id, op6_media_ts, op7_suffix_dedup, op8_sentence_pieces, op9_packing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that SQL can express."""
+    return {"op4_substring_dedup": OP4_SQL, "op7_suffix_dedup": OP7_SQL}

@@ -136,7 +136,7 @@ def compare(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) ->
     small = np.repeat((sizes <= SMALL) & (np.add.reduceat(side, cuts) == 0), sizes)
     at = np.flatnonzero(small)
     key, value = group[at], fp[at]
-    for d in range(1, min(SMALL, int(sizes.max()))):
+    for d in range(1, min(SMALL, int(sizes.max(initial=1)))):
         if len(key) <= d:
             break
         near = np.flatnonzero((key[d:] == key[:-d]) & (np.bitwise_count(value[d:] ^ value[:-d]) <= radius))
@@ -189,14 +189,16 @@ def _links(radius: int):
 
 
 def dealt(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
-    """Rows (bucket, pair, side, simhash, ...) of (bucket, simhash, ...): groups of two and more, those over ``tile`` as pairs of tiles."""
+    """Rows (bucket, pair, side, simhash, ...) of (bucket, simhash, ...), in order of their group; groups over ``tile`` become pairs of tiles."""
     more = [c for c in keyed.columns if c not in ("bucket", "simhash")]
     keyed = keyed.withColumn("pop", F.bit_count("simhash"))
-    sizes = cut(keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    sized = cut(keyed.join(sizes, "bucket"))
-    usual = sized.where(F.col("size") <= tile).select("bucket", F.lit(0).cast("long").alias("pair"), F.lit(0).cast("byte").alias("side"), "simhash", *more)
-
-    hot = sized.where(F.col("size") > tile)
+    as_one = lambda df: df.select("bucket", F.lit(0).cast("long").alias("pair"), F.lit(0).cast("byte").alias("side"), "simhash", *more)
+    together = lambda df: df.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair")
+    over = cut(keyed.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > tile).select("bucket"))
+    if over.isEmpty():
+        return together(as_one(keyed))
+    usual = as_one(keyed.join(over, "bucket", "left_anti"))
+    hot = cut(keyed.join(over, "bucket"))
     tiles = hot.groupBy("bucket", "pop").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     placed = hot.join(tiles, ["bucket", "pop"]).select("bucket", "simhash", *more, (F.col("pop") * 1_000_000 + F.pmod(F.xxhash64("simhash", *more), F.col("parts"))).cast("long").alias("t"))
     each = tiles.select("bucket", "pop", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("bucket", "pop", (F.col("pop") * 1_000_000 + F.col("part")).cast("long").alias("t"))
@@ -205,7 +207,7 @@ def dealt(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
     pairs = each.join(other, ["bucket", "pop"]).where("t <= t2").select("bucket", "t", "t2", F.xxhash64("t", "t2").alias("pair"))
     left = placed.join(pairs, ["bucket", "t"]).select("bucket", "pair", F.when(F.col("t") == F.col("t2"), 0).otherwise(1).cast("byte").alias("side"), "simhash", *more)
     right = placed.join(pairs.where("t < t2").select("bucket", F.col("t2").alias("t"), "pair"), ["bucket", "t"]).select("bucket", "pair", F.lit(2).cast("byte").alias("side"), "simhash", *more)
-    return usual.union(left).union(right).repartition("bucket", "pair").sortWithinPartitions("bucket", "pair")
+    return together(usual.union(left).union(right))
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -239,7 +241,9 @@ def component_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 SETS = "key long, simhash long, odd binary, n int, prefix array<long>"
-MEMBERS = "shingle long, key long, n int, pos int, simhash long, centre long, open boolean"
+MEMBERS = "shingle long, key long, n int, pos int, centre long, open boolean"
+#: Bits of the map that tells which rows' texts may be wanted; what it lets through in vain is dropped by the join.
+MAP_BITS = 24
 
 
 def _sets(columns: int, shingle: int, common: tuple[np.ndarray, np.ndarray]):
@@ -269,23 +273,49 @@ def alike(fp: np.ndarray, n: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.nda
     return (np.bitwise_count(fp[u] ^ fp[v]) <= REACH) | (np.minimum(n[u], n[v]) < FEW)
 
 
+def close(fp: np.ndarray, odd: np.ndarray, n: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``alike``, and what the fingerprints by odd counts allow."""
+    out = alike(fp, n, u, v)
+    at = np.flatnonzero(out)
+    u, v = u[at], v[at]
+    bits = np.zeros(len(at), np.int64)
+    for k in range(ODD_BITS // 64):
+        bits += np.bitwise_count(odd[u, k] ^ odd[v, k])
+    out[at] = bits * (shingles.NUMERATOR + shingles.DENOMINATOR) <= (n[u] + n[v]) * (shingles.DENOMINATOR - shingles.NUMERATOR)
+    return out
+
+
+def words_of(odd: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(odd), np.uint64).reshape(len(odd), ODD_BITS // 64)
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in order of shingle and key: each set that shares a shingle with others; ``centre`` is the first of
     them, if it may be similar, and ``open`` tells whether there are three or more.  Rows that say neither go."""
     for rows in by_group(batches, 1):
         shingle, key = rows[:2]
         new = np.append(True, (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1]))
-        shingle, key, n, pos, fp = (x[new] for x in rows)
+        shingle, key, n, pos = (x[new] for x in rows)
         starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
         sizes = np.diff(np.append(starts, len(shingle)))
         first, many = np.repeat(starts, sizes), np.repeat(sizes > 2, sizes)
-        a, b, every = n.astype(np.int64), pos.astype(np.int64), np.arange(len(key))
-        linked = (first != every) & alike(fp.view(np.uint64), a, first, every) & shingles.near(a, a[first], b, b[first])
+        a, b = n.astype(np.int64), pos.astype(np.int64)
+        linked = (first != np.arange(len(key))) & shingles.near(a, a[first], b, b[first])
         some = np.flatnonzero(linked | many)
-        columns = [pa.array(x[some]) for x in (shingle, key, n, pos, fp)]
+        columns = [pa.array(x[some]) for x in (shingle, key, n, pos)]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(key[first[some]], mask=~linked[some]), pa.array(many[some])], names=[f.split()[0] for f in MEMBERS.split(", ")])
 
 
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (u, v) with the fingerprints and sizes of both, those that may be similar."""
+    for batch in batches:
+        if batch.num_rows:
+            u, v = np.arange(batch.num_rows), np.arange(batch.num_rows) + batch.num_rows
+            fp, n = (np.concatenate([batch.column(i).to_numpy(), batch.column(i + 3).to_numpy()]) for i in (2, 3))
+            odd = np.concatenate([words_of(batch.column(i).to_numpy(zero_copy_only=False)) for i in (4, 7)])
+            yield batch.select([0, 1]).filter(pa.array(close(fp.view(np.uint64), odd, n.astype(np.int64), u, v)))
+
+
 def _pairs(key: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """Pairs of keys, the smaller one first, each once."""
     found = [np.zeros((0, 2), np.int64), *(np.sort(np.column_stack([key[u], key[v]]), axis=1) for u, v in parts)]
@@ -299,19 +329,16 @@ class Deal:
     def __init__(self, fp: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray, odd: np.ndarray):
         self.fp, self.key, self.label = fp.view(np.uint64), key, label
         self.n, self.pos = n.astype(np.int64), pos.astype(np.int64)
-        self.odd = np.frombuffer(b"".join(odd), np.uint64).reshape(len(key), ODD_BITS // 64)
+        self.odd = words_of(odd)
 
     def open(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those pairs that are of different components and may be similar."""
         n = self.n
-        may = (self.label[u] != self.label[v]) & alike(self.fp, n, u, v)
+        may = self.label[u] != self.label[v]
         u, v = u[may], v[may]
         may = shingles.near(n[u], n[v], self.pos[u], self.pos[v])
         u, v = u[may], v[may]
-        bits = np.zeros(len(u), np.int64)
-        for k in range(ODD_BITS // 64):
-            bits += np.bitwise_count(self.odd[u, k] ^ self.odd[v, k])
-        may = bits * (shingles.NUMERATOR + shingles.DENOMINATOR) <= (n[u] + n[v]) * (shingles.DENOMINATOR - shingles.NUMERATOR)
+        may = close(self.fp, self.odd, n, u, v)
         return u[may], v[may]
 
 
@@ -339,22 +366,28 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_links(marked: DataFrame, nodes: DataFrame, bodies_of, shingle: int, tile: int = TILE) -> DataFrame:
-    """Links (u, v) that span the components of the sets of ``marked`` (key, simhash, n, prefix) and ``nodes`` (key, odd); ``bodies_of`` gives (key, body) for a table of keys."""
-    rows = marked.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "shingle"), "key", "n", "simhash").select("shingle", "key", "n", "pos", "simhash")
+    """Links (u, v) that span the components of the sets of ``marked`` (key, n, prefix) and ``nodes`` (key, simhash, n, odd);
+    ``bodies_of`` gives (key, body) for a table of keys."""
+    rows = marked.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "shingle"), "key", "n").select("shingle", "key", "n", "pos")
     members = cut(rows.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(released(_met), MEMBERS))
-    bodies = cut(bodies_of(members.select("key").union(members.where("centre is not null").select("centre")).distinct()))
+    side = lambda c: nodes.select(F.col("key").alias(c), F.col("simhash").alias(f"{c}_fp"), F.col("n").alias(f"{c}_n"), F.col("odd").alias(f"{c}_odd"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        if pairs.isEmpty():
+            return pairs
+        bodies = cut(bodies_of(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "key")))
         right = cut(pairs.join(bodies.select(F.col("key").alias("v"), F.col("body").alias("right")), "v"))
         return cut(right.join(bodies.select(F.col("key").alias("u"), F.col("body").alias("left")), "u").select("u", "v", "left", "right").mapInArrow(shingles.similar(shingle), "u long, v long"))
 
-    tried = cut(members.where("centre is not null").select(F.least("centre", "key").alias("u"), F.greatest("centre", "key").alias("v")).distinct())
+    star = cut(members.where("centre is not null").select(F.least("centre", "key").alias("u"), F.greatest("centre", "key").alias("v")).distinct())
+    star = star.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_fp", "u_n", "u_odd", "v_fp", "v_n", "v_odd")
+    tried = cut(star.mapInArrow(_close, "u long, v long"))
     found = confirmed(tried)
     for step in (_around, _across):
         label = components(found).select(F.col("u").alias("key"), F.col("v").alias("label"))
-        labelled = cut(members.where("open").select("shingle", "simhash", "key", "n", "pos").join(label, "key", "left").withColumn("label", F.coalesce("label", "key")))
+        labelled = cut(members.where("open").select("shingle", "key", "n", "pos").join(label, "key", "left").withColumn("label", F.coalesce("label", "key")))
         several = cut(labelled.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("shingle"))
-        left = labelled.join(several, "shingle").join(nodes.select("key", "odd"), "key").select(F.col("shingle").alias("bucket"), "simhash", "key", "n", "pos", "label", "odd")
+        left = labelled.join(several, "shingle").join(nodes.select("key", "simhash", "odd"), "key").select(F.col("shingle").alias("bucket"), "simhash", "key", "n", "pos", "label", "odd")
         rows = left.repartition("bucket").sortWithinPartitions("bucket") if step is _around else dealt(left, 64, tile)
         pairs = cut(rows.mapInArrow(released(step), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti"))
         found = cut(found.union(confirmed(pairs)))
@@ -362,6 +395,22 @@ def similar_links(marked: DataFrame, nodes: DataFrame, bodies_of, shingle: int,
     return found
 
 
+def row_map(names: DataFrame) -> np.ndarray:
+    """A bit for each value of the low bits of the hashes of names: whether a name has it.  Its size is fixed."""
+    size = 1 << MAP_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy()] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(size // 8, np.uint8)
+    for row in names.coalesce(8).mapInArrow(released(run), "bits binary").collect():
+        out |= np.frombuffer(row.bits, np.uint8)
+    return out
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = shingles.SHINGLE, tile: int = TILE) -> DataFrame:
     """``docs`` with one row of each component under the similarity of shingles: one with the smallest id (null ids last)."""
     names = [f"_column{i}" for i in range(len(docs.columns))]
@@ -374,20 +423,26 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_row", T.StringType()), *T.StructType.fromDDL(SETS).fields])
     marked = cut(whole.mapInArrow(_sets(2, shingle, common), schema))
     row = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")
-    nodes = cut(marked.groupBy("key").agg(F.min(row).alias("row"), F.min("odd").alias("odd")))
+    nodes = cut(marked.groupBy("key").agg(F.min(row).alias("row"), F.first("simhash").alias("simhash"), F.first("n").alias("n"), F.min("odd").alias("odd")))
 
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False).compress
-        for batch in slices(batches, "_text"):
-            data, offsets = flat(batch.column(1))
-            text, at = data.tobytes(), offsets.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(text[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["_row", "body"])
+    place = F.pmod(F.xxhash64("_row"), F.lit(1 << MAP_BITS)).cast("int")
 
     def bodies_of(keys: DataFrame) -> DataFrame:
         wanted = cut(nodes.join(keys, "key").select("key", F.col("row._row").alias("_row")))
-        return whole.select("_row", "_text").mapInArrow(released(compress), "_row string, body binary").join(wanted, "_row").dropDuplicates(["key"]).select("key", "body")
+        sent = docs.sparkSession.sparkContext.broadcast(row_map(wanted.select(place)))
+
+        def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            squeeze, bits = zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False).compress, sent.value
+            for batch in slices(batches, "_text"):
+                at = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+                data, offsets = flat(batch.column(1))
+                text, at = data.tobytes(), offsets.tolist()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(text[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["_row", "body"])
+
+        return whole.select("_row", "_text", place).mapInArrow(released(compress), "_row string, body binary").join(wanted, "_row").dropDuplicates(["key"]).select("key", "body")
 
-    label = components(similar_links(marked.select("key", "simhash", "n", "prefix"), nodes, bodies_of, shingle, tile)).select(F.col("u").alias("key"), F.col("v").alias("label"))
+    label = components(similar_links(marked.select("key", "n", "prefix"), nodes, bodies_of, shingle, tile)).select(F.col("u").alias("key"), F.col("v").alias("label"))
     best = nodes.join(label, "key", "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("row").alias("best"))
     winners = cut(best.select(F.col("best._row").alias("_row")))
     return named.join(winners, "_row", "left_semi").dropDuplicates(["_row"]).select(*names).toDF(*docs.columns)
