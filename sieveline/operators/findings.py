@@ -151,13 +151,11 @@ def zip_contents(f: File, _: TriageOptions) -> Column:
     return gated(f.lists_zip(), F.flatten(F.transform(f.members, legacy_member_issues)))
 
 
-def pdf_token_pattern(token: str) -> str:
-    return f"(?i){token}"
-
-
 def pdf_tokens(f: File, _: TriageOptions) -> Column:
-    text = C.latin1(f.content)
-    return gated(f.is_pdf(), joined(*(one_if(text.rlike(pdf_token_pattern(t)), issue("pdf_token", PDF_TOKEN + t, F.lit(t))) for t in PDF_TOKENS)))
+    """One pass over the content: no token can overlap another, as each has its only slash in front."""
+    found = F.regexp_extract_all(C.latin1(f.content), F.lit(f"(?i)({'|'.join(PDF_TOKENS)})"), F.lit(1))
+    held = F.array_intersect(F.array(*map(F.lit, PDF_TOKENS)), F.coalesce(F.transform(found, F.upper), F.array().cast("array<string>")))
+    return gated(f.is_pdf(), F.transform(held, lambda t: issue("pdf_token", F.concat(F.lit(PDF_TOKEN), t), t)))
 
 
 def image_trailing(f: File, _: TriageOptions) -> Column:
