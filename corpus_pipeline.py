@@ -4,9 +4,11 @@ Each stage is a function of (spark, docs, sf_dir) that gets the rows which the
 one before it kept, as a table read back from Parquet.  All but the last return
 the columns of ``documents``.
 
-Defined results: a null or empty text fails the quality rules; of repeated rows
-one stays; columns beside those of ``documents`` are carried along; an empty
-table gives an empty result.
+Defined results: a null or empty text fails the quality rules; a very long text
+goes through every stage whole; of repeated rows one stays, of similar rows the
+one with the smallest id, of ties the one with the smallest hash of its text;
+columns beside those of ``documents`` are carried along, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -60,10 +62,15 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what passes between them is written to the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            written = f"{folder}/{k}-{name}"
+            docs.write.parquet(written)
+            docs = spark.read.parquet(written)
+            if before:  # nothing reads the table before the last one any more
+                place = spark._jvm.org.apache.hadoop.fs.Path(before)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            before = written
     return docs
