@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one round of array operations handles.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 #: The white space that ends a word, `[\x20\x09-\x0D]`.
 WHITE_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
