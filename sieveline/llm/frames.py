@@ -73,3 +73,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
         named = tempfile.mkdtemp(prefix="checkpoints-")
     context.setCheckpointDir(named)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder of this application."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
