@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections import Counter, OrderedDict
 from collections.abc import Iterator
+from functools import partial
 from itertools import permutations
 
 import numpy as np
@@ -66,7 +67,7 @@ def spread(n: int | None) -> int:
     return xxhash.xxh64_intdigest(str(n).encode())
 
 
-def combined(rows: Iterator[tuple]) -> Iterator[tuple]:
+def combined(rows: Iterator[tuple], cache_bytes: int = CACHE_BYTES) -> Iterator[tuple]:
     """From (id, text, part) to ((route, id or 0), (text or None, id, mask, counts by part)).
 
     A record with a text is to be decided by its chain, one without is decided.
@@ -88,7 +89,7 @@ def combined(rows: Iterator[tuple]) -> Iterator[tuple]:
         elif entry is None:
             cache[body] = [i, text_mask(body), Counter({part: 1})]
             held += len(body)
-            while held > CACHE_BYTES and len(cache) > 1:
+            while held > cache_bytes and len(cache) > 1:
                 old, gone = cache.popitem(last=False)
                 held -= len(old)
                 yield chained(old, gone)
@@ -130,7 +131,7 @@ def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
     whole_number(docs, id_col)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"), F.col(part_col).cast("string")).rdd
     n = max(rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.mapPartitions(combined).repartitionAndSortWithinPartitions(n, partitionFunc=lambda key: key[0]).mapPartitions(decided)
+    return rows.mapPartitions(partial(combined, cache_bytes=CACHE_BYTES)).repartitionAndSortWithinPartitions(n, partitionFunc=lambda key: key[0]).mapPartitions(decided)
 
 
 def non_minimum_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

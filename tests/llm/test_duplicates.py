@@ -1,12 +1,14 @@
 """Substring, suffix-array and SimHash dedup, components, the pipeline."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -14,7 +16,7 @@ from hypothesis import strategies as st
 
 import corpus_pipeline
 from sieveline.llm import components, queries, repeats, shingles, simhash, substring_dedup, suffix_dedup
-from sieveline.llm.textops import Prefix
+from sieveline.llm.textops import Prefix, flat, mixed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string"
@@ -260,11 +262,11 @@ def similar_groups(docs):
     return Counter(min((i for i in ids if i is not None), default=None) for ids in groups.values())
 
 
-@pytest.mark.parametrize("common", [1, 4])
-def test_near_copies_against_brute_force(spark, common, monkeypatch):
+@pytest.mark.parametrize("bits", [1, 18])
+def test_near_copies_against_brute_force(spark, bits, monkeypatch):
     """Copies with edits, chains of them, one line that all share, empty texts and repeated rows, through the pipeline's stage."""
-    monkeypatch.setattr(shingles, "COMMON", common)
-    r = random.Random(common)
+    monkeypatch.setattr(shingles, "SKETCH_BITS", bits)
+    r = random.Random(bits)
     line = "this very line stands in all of the texts".split()
     docs = []
     for base in range(12):
@@ -278,6 +280,57 @@ def test_near_copies_against_brute_force(spark, common, monkeypatch):
     assert Counter(x.doc_id for x in got) == similar_groups(docs)
 
 
+def votes(texts):
+    """The bits of each five-word text's one shingle, as votes of one or minus one."""
+    h, _ = shingles.shingle_sets(*flat(pa.array(texts)))
+    return np.unpackbits(mixed(h.copy())[:, None].view(np.uint8), axis=1).astype(int) * 2 - 1
+
+
+def far_pair(r, shared=40, own=5):
+    """Two texts of a similarity of 0.8 with fingerprints as far apart as a greedy choice of words makes them."""
+    words, total = [f"s{r.randrange(10**9)}" for _ in range(4)], np.zeros(64, int)
+    for _ in range(shared):  # keep the votes of what is shared even
+        some = [f"c{r.randrange(10**9)}" for _ in range(300)]
+        cast = votes([" ".join([*words[-4:], w]) for w in some])
+        k = int(((total + cast) ** 2).sum(1).argmin())
+        total += cast[k]
+        words.append(some[k])
+    texts, marks = [], []
+    for sign in (1, -1):
+        text, mine = list(words), total.copy()
+        for _ in range(own):
+            some = [f"o{r.randrange(10**9)}" for _ in range(300)]
+            cast = votes([" ".join([*text[-4:], w]) for w in some])
+            k = int((sign * np.sign(mine + cast)).sum(1).argmax())
+            mine += cast[k]
+            text.append(some[k])
+        texts.append(" ".join(text))
+        marks.append(mine > 0)
+    return texts, int((marks[0] != marks[1]).sum())
+
+
+@pytest.mark.parametrize("tile", [3, 4096])
+def test_near_copies_whose_fingerprints_are_far(spark, tile):
+    """Sets of a similarity of just 0.8 and just under it; some with fingerprints over 24 bits apart; in tiles as well."""
+    r = random.Random(7)
+    word = iter(f"v{k}" for k in itertools.count())
+    texts, bits = [], []
+    for _ in range(6):
+        pair, differ = far_pair(r)
+        texts += pair
+        bits.append(differ)
+    assert min(bits) > 24
+    for _ in range(40):
+        n = r.choice([27, 36, 45, 450])  # shingles of each; a ninth of them are its own
+        for less in (0, 1):
+            shared = " ".join(next(word) for _ in range(n * 8 // 9 - less + 4))
+            texts += [f"{shared} {' '.join(next(word) for _ in range(n // 9 + less))}" for _ in range(2)]
+    docs = list(enumerate(texts))
+    got = simhash.one_of_each(spark.createDataFrame(docs, SCHEMA).repartition(3), tile=tile).collect()
+    want = similar_groups(docs)
+    assert Counter(x.doc_id for x in got) == want and not [i for i in want if i < 12 and i % 2]
+
+
 def test_near_copies_of_a_table(spark):
     docs = [tuple(x) for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, SCHEMA), "").collect()
