@@ -2,9 +2,9 @@
 
 Two sets of sizes n and m with a similarity of at least NUMERATOR / DENOMINATOR
 share, in any fixed order of shingles, one among the first n - ceil(n * similarity)
-+ 1 of the one and as many of the other.  The order used here puts those last
-that a sample finds common, so that what very many texts have in common deals out
-hardly any; the sample decides nothing else.
++ 1 of the one and as many of the other.  The order used here goes by a sketch of
+how many texts have a shingle, counted over all texts in a table of fixed size, so
+that what very many texts have in common comes last and deals out hardly any.
 """
 
 from __future__ import annotations
@@ -21,10 +21,8 @@ from .textops import Prefix, Words, flat, mixed, offsets_of, released, slices
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
-#: Rows sampled for the order of shingles, and common shingles that are sent to the executors, at most.
-MAX_SAMPLE, MAX_COMMON = 4096, 1 << 16
-#: A shingle that so many sampled rows have is common.
-COMMON = 4
+#: Bits of a shingle's hash that choose its counter in the sketch.
+SKETCH_BITS = 18
 #: Bits of a shingle's hash; the rest of a word tells the texts of a batch apart while they are sorted.
 HASH_BITS = 48
 HASH_MASK = np.uint64((1 << HASH_BITS) - 1)
@@ -60,32 +58,31 @@ def set_keys(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mixed(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64))
 
 
-def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many texts of a sample have, in order, and how many; of ``texts`` (text)."""
+def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
+    """For each value of the first bits of a shingle's hash, in how many texts such shingles are, of ``texts`` (text).
+
+    Tasks send one table each, and tables are added up as a tree.
+    """
+    bits = SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.int64)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(*flat(batch.column(0)), shingle)[0].view(np.int64))], names=["shingle"])
+            h, _ = shingle_sets(*flat(batch.column(0)), shingle)
+            counts += np.bincount((h >> np.uint64(HASH_BITS - bits)).astype(np.int64), minlength=len(counts))
+        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["counts"])
 
-    rate = min(1.0, MAX_SAMPLE / max(1, texts.count()))
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 32)) < int(rate * (1 << 32))).dropDuplicates(["text"])
-    found = sample.mapInArrow(released(run), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(MAX_COMMON).toPandas()
-    shingles = found["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(shingles)
-    return shingles[order], found["n"].to_numpy(np.int64)[order]
+    tables = texts.mapInArrow(released(run), "counts binary").rdd.map(lambda row: np.frombuffer(row[0], np.int64))
+    return tables.treeAggregate(np.zeros(1 << bits, np.int64), np.add, np.add, depth=3)
 
 
-def prefixes(h: np.ndarray, bounds: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def prefixes(h: np.ndarray, bounds: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first shingles of each set, in their order, and n + 1 offsets into them."""
-    known, times = common
     n = np.diff(bounds)
-    rank = np.zeros(len(h), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        rank = np.where(known[at] == h, times[at], 0)
+    rank = counts[(h >> np.uint64(HASH_BITS - int(len(counts)).bit_length() + 1)).astype(np.int64)]
     taken = np.where(n > 0, n - (n * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + 1, 0)
     text = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((rank, text)) if rank.any() else np.arange(len(h))  # hashes are in order within a set already
+    order = np.lexsort((rank, text))  # hashes are in order within a set already
     return h[order[np.arange(len(h)) - bounds[text] < taken[text]]], offsets_of(taken)
 
 

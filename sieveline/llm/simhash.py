@@ -9,20 +9,18 @@ that loses no link:
   the values of ``BLOCKS - RADIUS`` of ``BLOCKS`` bit blocks: two that differ in at
   most ``RADIUS`` bits agree in some such choice.
 * ``one_of_each`` links texts by the Jaccard similarity of their shingles.  They
-  are dealt by the shingles that similar sets must share (see ``shingles``), and
-  fingerprints within ``REACH`` bits are candidates, which the sets themselves
-  confirm.  A similarity of 0.8 leaves about 10 of 64 bits different, with a
-  deviation of 3, so ``REACH`` is five deviations away; sets of under ``FEW``
-  shingles are candidates at any distance.  A second fingerprint of ``ODD_BITS``
-  bits, each of which tells whether an odd number of shingles falls on it, differs
-  in no more bits than the sets do in shingles, and so rules out most other pairs
-  for certain.  Each text is compared with one text of
-  every deal first, then with the ``CENTRES`` of them that are closest to the
-  majority of their fingerprints, and at last those that are not in one component
-  yet with each other; so edited copies of one text are not all compared.
-
-A group that exceeds ``TILE`` is dealt again into tiles by population count and a
-hash, and its tile pairs go to separate tasks.  Links become components over the
+  are dealt by the shingles that similar sets must share (see ``shingles``).  A
+  fingerprint of ``ODD_BITS`` bits, each of which tells whether an odd number of
+  shingles falls on it, differs in no more bits than the sets do in shingles, so
+  that pairs beyond what their sizes allow are ruled out for certain; the sets
+  confirm the others.  Each text is compared with one text of every deal first,
+  then with the ``CENTRES`` of them that are closest to the majority of their
+  64-bit fingerprints, and at last those that are not in one component yet with
+  each other; so edited copies of one text are not all compared.
+
+A group that exceeds ``TILE`` is dealt again into tiles by population count (by
+size for the similarity of sets) and a hash, and its tile pairs go to separate
+tasks.  Links become components over the
 whole table.
 
 Defined results: a null, empty or blank text has fingerprint zero and is linked
@@ -36,6 +34,7 @@ may have any name; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -43,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,8 +60,8 @@ BLOCKS, BLOCK_BITS = 4, 16
 TILE = 4096
 #: Groups up to this size are compared along diagonals of the sorted table, larger ones as matrices.
 SMALL = 32
-#: Differing bits of candidates for a similarity, and the shingles under which bits say too little.
-REACH, FEW = 24, 32
+#: Sizes of similar sets are in one class or in neighbouring ones (a little over the largest quotient of two).
+SIZE_STEP = 1.26
 #: Bits of the fingerprint by odd counts.
 ODD_BITS = 512
 #: Texts of a deal that all others are compared with before any two are.
@@ -106,48 +106,53 @@ def annotate(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
     return append(docs, text_col, fields, lambda batch: [pa.array(fingerprints(*flat(batch.column(batch.schema.get_field_index(text_col))), shingle).view(np.int64))], keep)
 
 
-def tiled(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, tile: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs within the radius, of two arrays or (b is None) within one."""
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which fingerprints of one or more words differ; the last axis of both are the words."""
+    out = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16)
+    for k in range(1, a.shape[-1]):
+        out += np.bitwise_count(a[..., k] ^ b[..., k])
+    return out
 
-    def sort(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        counts = np.bitwise_count(x)
-        order = np.argsort(counts, kind="stable")
-        return x[order], counts[order].astype(np.int64), order
 
-    a, pa_, at = sort(a)
-    other, pb, at_other = (a, pa_, at) if b is None else sort(b)
+def tiled(words: np.ndarray, allow: np.ndarray, a: np.ndarray, b: np.ndarray | None, tile: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of ``a`` and ``b``, or (b is None) within ``a``, that differ in at most the sum of what both allow."""
+    counts = np.bitwise_count(words).sum(1, dtype=np.int64)
+    sort = lambda x: x[np.argsort(counts[x], kind="stable")]
+    a = sort(a)
+    other = a if b is None else sort(b)
     for i in range(0, len(a), tile):
+        u = a[i : i + tile]
         for j in range(i if b is None else 0, len(other), tile):
-            low, high = pa_[i], pa_[min(i + tile, len(a)) - 1]
-            if pb[j] - high > radius or low - pb[min(j + tile, len(other)) - 1] > radius:
+            v = other[j : j + tile]
+            if max(counts[v[0]] - counts[u[-1]], counts[u[0]] - counts[v[-1]]) > allow[u].max() + allow[v].max():
                 continue
-            near = np.bitwise_count(a[i : i + tile, None] ^ other[None, j : j + tile]) <= radius
+            near = differing(words[u, None], words[None, v]) <= allow[u, None] + allow[None, v]
             if b is None and i == j:
                 near = np.triu(near, 1)
-            u, v = np.nonzero(near)
-            if len(u):
-                yield at[i + u], at_other[j + v]
+            x, y = np.nonzero(near)
+            if len(x):
+                yield u[x], v[y]
 
 
-def compare(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs within the radius, in rows in order of their group; side 0 is one tile, 1 and 2 are two tiles to compare."""
+def compare(group: np.ndarray, side: np.ndarray, words: np.ndarray, allow: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs that differ in at most the sum of what both allow, in rows in order of their group; side 0 is one tile, 1 and 2 are two tiles to compare."""
     cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     sizes = np.diff(np.append(cuts, len(group)))
     small = np.repeat((sizes <= SMALL) & (np.add.reduceat(side, cuts) == 0), sizes)
     at = np.flatnonzero(small)
-    key, value = group[at], fp[at]
     for d in range(1, min(SMALL, int(sizes.max(initial=1)))):
-        if len(key) <= d:
+        if len(at) <= d:
             break
-        near = np.flatnonzero((key[d:] == key[:-d]) & (np.bitwise_count(value[d:] ^ value[:-d]) <= radius))
-        if len(near):
-            yield at[near], at[near + d]
+        u, v = at[:-d], at[d:]
+        same = group[u] == group[v]
+        u, v = u[same], v[same]
+        near = differing(words[u], words[v]) <= allow[u] + allow[v]
+        if near.any():
+            yield u[near], v[near]
     for begin, size in zip(cuts, sizes, strict=True):
         if not small[begin]:
             own, s = np.arange(begin, begin + size), side[begin : begin + size]
-            a, b = (own, None) if not s.any() else (own[s == 1], own[s == 2])
-            for u, v in tiled(fp[a], None if b is None else fp[b], radius):
-                yield a[u], (a if b is None else b)[v]
+            yield from tiled(words, allow, *((own, None) if not s.any() else (own[s == 1], own[s == 2])))
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: int, least: int = 1 << 16) -> Iterator[list[np.ndarray]]:
@@ -177,7 +182,7 @@ def _links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, pair, side, fp in by_group(batches, 2):
             a = b = np.zeros(0, np.int64)
-            for u, v in compare(numbered(bucket, pair), side.astype(np.int64), fp.view(np.uint64), radius):
+            for u, v in compare(numbered(bucket, pair), side.astype(np.int64), fp.view(np.uint64)[:, None], np.full(len(fp), radius / 2)):
                 a, b = np.concatenate([a, fp[u]]), np.concatenate([b, fp[v]])
                 if len(a) > 1 << 20:
                     a, b = forest(a, b)
@@ -188,10 +193,11 @@ def _links(radius: int):
     return released(run)
 
 
-def dealt(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
-    """Rows (bucket, pair, side, simhash, ...) of (bucket, simhash, ...), in order of their group; groups over ``tile`` become pairs of tiles."""
+def dealt(keyed: DataFrame, radius: int, tile: int, pop: F.Column | None = None) -> DataFrame:
+    """Rows (bucket, pair, side, simhash, ...) of (bucket, simhash, ...), in order of their group; groups over ``tile`` become pairs of tiles
+    whose ``pop`` (population count, if it isn't given) differ by at most ``radius``."""
     more = [c for c in keyed.columns if c not in ("bucket", "simhash")]
-    keyed = keyed.withColumn("pop", F.bit_count("simhash"))
+    keyed = keyed.withColumn("pop", F.bit_count("simhash") if pop is None else pop.cast("int"))
     as_one = lambda df: df.select("bucket", F.lit(0).cast("long").alias("pair"), F.lit(0).cast("byte").alias("side"), "simhash", *more)
     together = lambda df: df.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair")
     over = cut(keyed.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > tile).select("bucket"))
@@ -202,7 +208,7 @@ def dealt(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
     tiles = hot.groupBy("bucket", "pop").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     placed = hot.join(tiles, ["bucket", "pop"]).select("bucket", "simhash", *more, (F.col("pop") * 1_000_000 + F.pmod(F.xxhash64("simhash", *more), F.col("parts"))).cast("long").alias("t"))
     each = tiles.select("bucket", "pop", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("bucket", "pop", (F.col("pop") * 1_000_000 + F.col("part")).cast("long").alias("t"))
-    # tiles of one group whose population counts are within the radius
+    # tiles of one group that are within the radius
     other = each.select("bucket", F.col("t").alias("t2"), F.explode(F.sequence(F.col("pop") - radius, F.col("pop"))).alias("pop"))
     pairs = each.join(other, ["bucket", "pop"]).where("t <= t2").select("bucket", "t", "t2", F.xxhash64("t", "t2").alias("pair"))
     left = placed.join(pairs, ["bucket", "t"]).select("bucket", "pair", F.when(F.col("t") == F.col("t2"), 0).otherwise(1).cast("byte").alias("side"), "simhash", *more)
@@ -246,7 +252,7 @@ MEMBERS = "shingle long, key long, n int, pos int, centre long, open boolean"
 MAP_BITS = 24
 
 
-def _sets(columns: int, shingle: int, common: tuple[np.ndarray, np.ndarray]):
+def _sets(columns: int, shingle: int, counts: Broadcast):
     """From (..., text): instead of the text the key, fingerprint and size of its set, and its first shingles (once in a batch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,9 +262,9 @@ def _sets(columns: int, shingle: int, common: tuple[np.ndarray, np.ndarray]):
             fp = np.zeros(len(n), np.uint64)
             has = np.flatnonzero(n)
             fp[has] = majority(mixed(h.copy()), np.append(bounds[has], bounds[-1]))
-            counts = np.bincount(np.repeat(np.arange(len(n)), n) * ODD_BITS + (h % np.uint64(ODD_BITS)).astype(np.int64), minlength=len(n) * ODD_BITS)
-            odd = np.packbits((counts & 1).astype(np.uint8).reshape(len(n), ODD_BITS), axis=1)
-            first, at = shingles.prefixes(h, bounds, common)
+            times = np.bincount(np.repeat(np.arange(len(n)), n) * ODD_BITS + (h % np.uint64(ODD_BITS)).astype(np.int64), minlength=len(n) * ODD_BITS)
+            odd = np.packbits((times & 1).astype(np.uint8).reshape(len(n), ODD_BITS), axis=1)
+            first, at = shingles.prefixes(h, bounds, counts.value)
             once = np.zeros(len(n), bool)
             once[np.unique(keys, return_index=True)[1]] = True
             prefix = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(first.view(np.int64)))
@@ -268,21 +274,9 @@ def _sets(columns: int, shingle: int, common: tuple[np.ndarray, np.ndarray]):
     return released(run)
 
 
-def alike(fp: np.ndarray, n: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Which pairs of places may be similar by their fingerprints."""
-    return (np.bitwise_count(fp[u] ^ fp[v]) <= REACH) | (np.minimum(n[u], n[v]) < FEW)
-
-
-def close(fp: np.ndarray, odd: np.ndarray, n: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """``alike``, and what the fingerprints by odd counts allow."""
-    out = alike(fp, n, u, v)
-    at = np.flatnonzero(out)
-    u, v = u[at], v[at]
-    bits = np.zeros(len(at), np.int64)
-    for k in range(ODD_BITS // 64):
-        bits += np.bitwise_count(odd[u, k] ^ odd[v, k])
-    out[at] = bits * (shingles.NUMERATOR + shingles.DENOMINATOR) <= (n[u] + n[v]) * (shingles.DENOMINATOR - shingles.NUMERATOR)
-    return out
+def allowed(n: np.ndarray) -> np.ndarray:
+    """A set's part of the shingles, and so of the odd counts, in which two similar sets can differ (with room for rounding)."""
+    return n * ((shingles.DENOMINATOR - shingles.NUMERATOR) / (shingles.DENOMINATOR + shingles.NUMERATOR)) + 1e-6
 
 
 def words_of(odd: np.ndarray) -> np.ndarray:
@@ -307,13 +301,12 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs (u, v) with the fingerprints and sizes of both, those that may be similar."""
+    """Of pairs (u, v) with the sizes and odd counts of both, those that may be similar."""
     for batch in batches:
         if batch.num_rows:
-            u, v = np.arange(batch.num_rows), np.arange(batch.num_rows) + batch.num_rows
-            fp, n = (np.concatenate([batch.column(i).to_numpy(), batch.column(i + 3).to_numpy()]) for i in (2, 3))
-            odd = np.concatenate([words_of(batch.column(i).to_numpy(zero_copy_only=False)) for i in (4, 7)])
-            yield batch.select([0, 1]).filter(pa.array(close(fp.view(np.uint64), odd, n.astype(np.int64), u, v)))
+            n = allowed(batch.column(2).to_numpy()) + allowed(batch.column(4).to_numpy())
+            odd = (words_of(batch.column(i).to_numpy(zero_copy_only=False)) for i in (3, 5))
+            yield batch.select([0, 1]).filter(pa.array(differing(*odd) <= n))
 
 
 def _pairs(key: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -329,7 +322,7 @@ class Deal:
     def __init__(self, fp: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray, odd: np.ndarray):
         self.fp, self.key, self.label = fp.view(np.uint64), key, label
         self.n, self.pos = n.astype(np.int64), pos.astype(np.int64)
-        self.odd = words_of(odd)
+        self.odd, self.allow = words_of(odd), allowed(self.n)
 
     def open(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those pairs that are of different components and may be similar."""
@@ -338,7 +331,7 @@ class Deal:
         u, v = u[may], v[may]
         may = shingles.near(n[u], n[v], self.pos[u], self.pos[v])
         u, v = u[may], v[may]
-        may = close(self.fp, self.odd, n, u, v)
+        may = differing(self.odd[u], self.odd[v]) <= self.allow[u] + self.allow[v]
         return u[may], v[may]
 
 
@@ -361,7 +354,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates (u, v) of different components, from rows dealt by shingle; each pair once for the rows of a step."""
     for bucket, pair, side, *rows in by_group(batches, 2):
         deal = Deal(*rows)
-        near = compare(numbered(bucket, pair), side.astype(np.int64), deal.fp, 64 if (deal.n < FEW).any() else REACH)
+        near = compare(numbered(bucket, pair), side.astype(np.int64), deal.odd, deal.allow)
         yield _pairs(deal.key, [deal.open(u, v) for u, v in near])
 
 
@@ -370,7 +363,7 @@ def similar_links(marked: DataFrame, nodes: DataFrame, bodies_of, shingle: int,
     ``bodies_of`` gives (key, body) for a table of keys."""
     rows = marked.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "shingle"), "key", "n").select("shingle", "key", "n", "pos")
     members = cut(rows.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(released(_met), MEMBERS))
-    side = lambda c: nodes.select(F.col("key").alias(c), F.col("simhash").alias(f"{c}_fp"), F.col("n").alias(f"{c}_n"), F.col("odd").alias(f"{c}_odd"))
+    side = lambda c: nodes.select(F.col("key").alias(c), F.col("n").alias(f"{c}_n"), F.col("odd").alias(f"{c}_odd"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         if pairs.isEmpty():
@@ -380,7 +373,7 @@ def similar_links(marked: DataFrame, nodes: DataFrame, bodies_of, shingle: int,
         return cut(right.join(bodies.select(F.col("key").alias("u"), F.col("body").alias("left")), "u").select("u", "v", "left", "right").mapInArrow(shingles.similar(shingle), "u long, v long"))
 
     star = cut(members.where("centre is not null").select(F.least("centre", "key").alias("u"), F.greatest("centre", "key").alias("v")).distinct())
-    star = star.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_fp", "u_n", "u_odd", "v_fp", "v_n", "v_odd")
+    star = star.join(side("u"), "u").join(side("v"), "v").select("u", "v", "u_n", "u_odd", "v_n", "v_odd")
     tried = cut(star.mapInArrow(_close, "u long, v long"))
     found = confirmed(tried)
     for step in (_around, _across):
@@ -388,7 +381,7 @@ def similar_links(marked: DataFrame, nodes: DataFrame, bodies_of, shingle: int,
         labelled = cut(members.where("open").select("shingle", "key", "n", "pos").join(label, "key", "left").withColumn("label", F.coalesce("label", "key")))
         several = cut(labelled.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("shingle"))
         left = labelled.join(several, "shingle").join(nodes.select("key", "simhash", "odd"), "key").select(F.col("shingle").alias("bucket"), "simhash", "key", "n", "pos", "label", "odd")
-        rows = left.repartition("bucket").sortWithinPartitions("bucket") if step is _around else dealt(left, 64, tile)
+        rows = left.repartition("bucket").sortWithinPartitions("bucket") if step is _around else dealt(left, 1, tile, F.floor(F.log("n") / math.log(SIZE_STEP)))
         pairs = cut(rows.mapInArrow(released(step), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti"))
         found = cut(found.union(confirmed(pairs)))
         tried = tried.union(pairs)
@@ -418,10 +411,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a row's name tells apart rows with one id by their text, so that one shuffle serves each join and the choice among repeated rows
     name = lambda id_, hash_: F.concat(F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit("")), F.lit(" "), hash_.cast("string"))
     named = docs.toDF(*names).withColumn("_row", name(own_id, F.xxhash64(text)))
-    common = shingles.common_shingles(docs.select(F.col(text_col).alias("text")), shingle)
+    counts = docs.sparkSession.sparkContext.broadcast(shingles.shingle_counts(docs.select(F.col(text_col).alias("text")), shingle))  # of a fixed size
     whole = named.select(own_id.alias("_id"), "_row", text.alias("_text"))
     schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_row", T.StringType()), *T.StructType.fromDDL(SETS).fields])
-    marked = cut(whole.mapInArrow(_sets(2, shingle, common), schema))
+    marked = cut(whole.mapInArrow(_sets(2, shingle, counts), schema))
     row = F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")
     nodes = cut(marked.groupBy("key").agg(F.min(row).alias("row"), F.first("simhash").alias("simhash"), F.first("n").alias("n"), F.min("odd").alias("odd")))
 
