@@ -187,8 +187,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> For
         _, x = statistics(*flat(batch.column(batch.schema.get_field_index("text"))))
         return [pa.array(list(x), pa.list_(pa.float64()))]
 
-    rows = append(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "text", fields, make, ["quality", "doc_id"]).toPandas()
-    rows = rows.sort_values(["doc_id", "quality"], kind="stable")
+    sampled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # one row an id, so that the sample stays within its bound: of several, the one with the smallest hash
+    choice = F.struct(F.xxhash64("text", "quality").alias("hash"), F.coalesce("text", F.lit("")).alias("text"), "quality")
+    once = sampled.groupBy("doc_id").agg(F.min(choice).alias("choice")).select("doc_id", "choice.text", "choice.quality")
+    rows = append(once, "text", fields, make, ["quality", "doc_id"]).toPandas().sort_values("doc_id", kind="stable")
     x = np.array(rows["features"].tolist(), float).reshape(-1, len(FEATURES))
     return fit_forest(x, rows["quality"].to_numpy(float), list(FEATURES.values()))
 

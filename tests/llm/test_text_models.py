@@ -178,3 +178,16 @@ def test_hard_rows(spark):
         assert language_id.identified(table, model).columns == table.columns
     # nulls first: de (null id), null text, empty, empty, no letter
     assert [f[0] for f in found] == [] and [r[0] for r in language_id.annotate(docs, language_id.fit(docs), ["doc_id"]).orderBy("doc_id").select("lang_pred").collect()][1:5] == ["und"] * 4
+
+
+def test_op2_sample_is_bounded_by_ids(spark, monkeypatch):
+    """Repeated ids and labels neither widen the sample nor change with the order of rows."""
+    texts = [" ".join(["word", "other", "#"][i % 3] for i in range(n)) for n in range(12, 52)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(7, texts[k % 40] + " more") for k in range(300)] + [(None, "a b c")]
+    labels = [(i, i % 2) for i in range(40)] + [(7, 0), (7, 1), (None, 1)]
+    seen = []
+    monkeypatch.setattr(quality_rules, "fit_forest", lambda x, y, signs: seen.append((x, y)))
+    for turn in (1, -1):
+        quality_rules.fit(spark.createDataFrame(docs[::turn], "doc_id long, text string").repartition(3), spark.createDataFrame(labels[::turn], "doc_id long, quality int"), max_sample=30)
+    (x, y), (x2, y2) = seen
+    assert len(x) <= 30 and np.array_equal(x, x2) and np.array_equal(y, y2)
