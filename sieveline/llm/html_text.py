@@ -11,8 +11,11 @@ fallback of objects as well.
 Defined results: null HTML gives null text; an empty page and one without
 visible text give an empty text; broken or unclosed markup is rendered as far
 as it goes; depth is limited by memory only, since nothing recurses, and levels
-beyond ``MAX_LEVELS`` are not indented further; a very long page is rendered as a
-whole, in time in proportion to its length; repeated rows give repeated results;
+beyond ``MAX_LEVELS`` are not indented further; a column of a table is padded to
+``MAX_WIDTH`` at most, and a line to ``MAX_PLACE``, beyond which cells stand two
+spaces apart, and cells from ``MAX_COLUMNS`` on take no part in spans; so a very
+long page is rendered as a whole, in time and into text in proportion to its
+length; repeated rows give repeated results;
 an input column that has the name of the result is replaced; an empty table gives
 an empty result.
 """
@@ -50,6 +53,10 @@ KEEPS_SPACE = re.compile(r"(?:^|;)\s*white-space\s*:\s*(?:pre|pre-wrap|break-spa
 SPACES = re.compile(r"[ \t\n\r\f]+")
 #: Nested lists and quotes whose indents are printed.
 MAX_LEVELS = 64
+#: Padded width of a column and of a line, and columns of a table that spans are kept for.
+MAX_WIDTH, MAX_PLACE, MAX_COLUMNS = 128, 320, 1000
+#: Elements of drawings and formulas end at once where they close themselves; inside these they are HTML again.
+FOREIGN, HTML_AGAIN = frozenset(("svg", "math")), frozenset(("foreignobject", "annotation-xml"))
 
 
 class Node:
@@ -109,6 +116,8 @@ class Builder(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        if tag not in VOID and self.open[-1].tag == tag and self.innermost(FOREIGN) > self.innermost(HTML_AGAIN - {tag}):
+            self.pop_to(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -187,45 +196,49 @@ def width(text: str) -> int:
 class Table:
     def __init__(self) -> None:
         self.rows: list[dict[int, list[str]]] = []
-        self.spans: dict[int, int] = {}  # column -> rows that a cell above still covers
+        #: First column, the one after the last, and the row before which it ends, of what cells above cover, in order.
+        self.spans: list[tuple[int, int, int]] = []
+        self.new: list[tuple[int, int, int]] = []  # those that begin in this row
         self.wide: set[tuple[int, int]] = set()
-        self.column = 0
+        self.column = self.passed = 0
 
     def row(self) -> None:
-        if self.rows:
-            self.spans = {c: n - 1 for c, n in self.spans.items() if n > 1}
+        self.spans = sorted(s for s in self.spans + self.new if s[2] > len(self.rows))
         self.rows.append({})
-        self.column = 0
+        self.new, self.column, self.passed = [], 0, 0
 
     def cell(self, lines: list[str], columns: int, rows: int) -> None:
-        while self.spans.get(self.column, 0) and self.column in self.spans:
-            self.column += 1
-        self.rows[-1][self.column] = lines
+        while self.passed < len(self.spans) and self.spans[self.passed][0] <= self.column:
+            self.column = max(self.column, self.spans[self.passed][1])
+            self.passed += 1
+        at, self.column = self.column, self.column + columns
+        self.rows[-1][at] = lines
         if columns > 1:
-            self.wide.add((len(self.rows) - 1, self.column))
-        if rows > 1:
-            for c in range(self.column, self.column + columns):
-                self.spans[c] = rows
-        self.column += columns
+            self.wide.add((len(self.rows) - 1, at))
+        if rows > 1 and at < MAX_COLUMNS:
+            self.new.append((at, min(self.column, MAX_COLUMNS), len(self.rows) - 1 + rows))
 
     def lines(self) -> list[str]:
         widths: dict[int, int] = {}
         for r, row in enumerate(self.rows):
             for c, lines in row.items():
-                if (r, c) not in self.wide:
-                    widths[c] = max([widths.get(c, 0), *map(width, lines)])
-                else:
-                    widths.setdefault(c, 0)
-        columns, out = sorted(widths), []
+                own = 0 if (r, c) in self.wide else max(map(width, lines), default=0)
+                widths[c] = max(widths.get(c, 0), min(own, MAX_WIDTH))
+        place, places, out = 0, {}, []
+        for c in sorted(widths):
+            places[c] = place
+            place = min(place + widths[c] + 2 * bool(widths[c]), MAX_PLACE)
         for row in self.rows:
+            left = sorted(row)
             for k in range(max(map(len, row.values()), default=0)):
-                line, place = "", 0
-                for c in columns:
-                    text = row[c][k] if c in row and k < len(row[c]) else ""
-                    if text:
-                        line += " " * (place - width(line)) + ("  " if line and width(line) >= place and place else "") + text
-                    place = place + widths[c] + 2 * bool(widths[c])
-                out.append(line.rstrip(" "))
+                left = [c for c in left if k < len(row[c])]
+                parts, at = [], 0
+                for c in left:
+                    if text := row[c][k]:
+                        gap = places[c] - at if at < places[c] else 2 * bool(parts and places[c])
+                        parts.append(" " * gap + text)
+                        at += gap + width(text)
+                out.append("".join(parts).rstrip(" "))
         return out
 
 

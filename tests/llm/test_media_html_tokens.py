@@ -284,3 +284,31 @@ def test_packing_hard_rows(spark):
     assert sum(r.length for r in rows if r.doc_id in (1, 2)) == 3 and all(r.ids == [1] for r in rows if r.doc_id in (1, 2))
     assert sum(r.length for r in rows if r.doc_id == 4) == [r.doc_tokens for r in rows if r.doc_id == 4][0]
     assert packing.pack(docs.limit(0), BPE).count() == 0
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<svg><defs/><text>visible</text></svg>", "visible"), ("<svg><metadata/><title/><text>v</text></svg>", "v"), ("<svg><desc/><style/><g><text>v</text></g></svg>x", "vx"), ("<math><mi>a</mi><annotation/><mo>b</mo></math>", "ab"),
+    ("<svg/>y", "y"), ("<svg><foreignObject><div/>in</div></foreignObject></svg>z", "in\nz"), ("<p/>a<p/>b", "a\n\nb"), ("<defs/>gone", ""),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<td>d</table>", "a  b\n   c  d"), ("<table><tr><td>a<td rowspan=3>b<td>c<tr><td colspan=2>d<td>e<tr><td>f<td>g</table>", "a  b  c\nd     e\nf     g"),
+    ("<table><tr><td>a<br>b<td>c<tr><td><td>d</table>", "a  c\nb\n   d"), ("<table><tr><td>" + "w" * 130 + "<td>r<tr><td>s<td>t</table>", "w" * 130 + "  r\ns" + " " * 129 + "t"),
+])
+def test_html_leaves_and_spans(page, text):
+    assert html_text.render(page) == text
+
+
+@pytest.mark.parametrize("page", [
+    lambda n: "<table><tr><td>" + "x" * 10 * n + "<td>y" + "<tr><td>a<td>b" * n + "</table>",
+    lambda n: "<table>" + "<tr><td colspan=1000 rowspan=65534>a" * n + "</table>",
+    lambda n: "<table><tr>" + "<td>a" * n + "<tr><td>b" * n + "</table>",
+    lambda n: "<table><tr>" + "<td>a" * n + "<td>" + "b<br>" * n + "</table>",
+    lambda n: "<table>" + "<tr><td rowspan=65534>a<td>b" * n + "</table>",
+])
+def test_html_tables_take_time_and_text_in_proportion(page):
+    html_text.render(page(100))
+    took = []
+    for n in (1000, 4000):
+        began = time.process_time()
+        out = html_text.render(page(n))
+        took.append(time.process_time() - began)
+        assert len(out) < 100 * len(page(n))
+    assert took[1] < 10 * took[0] + 0.5
