@@ -16,7 +16,7 @@ from .config import MODES, TriageOptions
 from .operators import scoring
 from .plans.triage import report_results, scan_targets
 from .sinks import quarantine, reports
-from .sources.tree import exists
+from .sources.files import exists
 from .streaming.watch import Watcher
 
 LOG = logging.getLogger("sieveline")

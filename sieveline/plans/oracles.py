@@ -178,6 +178,11 @@ def _with(select: str, ctes: str = ISSUES) -> str:
     return f"WITH {ctes} {select}"
 
 
+#: Four listings of users by the events so far, and the rows of each that the one before it did not have.
+LISTINGS = """WITH listings AS (SELECT k, 'user_' || user_id AS path, max(ts) AS t, count(*) AS length FROM events, (SELECT unnest(range(4)) AS k) WHERE event_id % 4 <= k GROUP BY ALL),
+    changes AS (SELECT path, t, length, k + 1 AS generation FROM listings l WHERE NOT EXISTS (SELECT 1 FROM listings b WHERE b.path = l.path AND b.k = l.k - 1 AND b.t = l.t))"""
+
+
 def oracle_sql() -> dict[str, str]:
     skipped = "size > 4000"
     vc_issues = _links("vc")
@@ -238,5 +243,7 @@ def oracle_sql() -> dict[str, str]:
         "markers_by_option": _with(f"SELECT evidence, count(*)::BIGINT AS n, (count(*) * {S.DEFAULT_WEIGHT})::BIGINT AS points FROM ({MARKED}) GROUP BY evidence", FILES),
         "rules_off": _with("SELECT code, count(*)::BIGINT AS n FROM (SELECT code FROM issues WHERE place < 8000000 UNION ALL SELECT 'image_trailing_data' FROM vi WHERE data) GROUP BY code", f"{ISSUES}, {IMAGES}"),
         "watch_state": "SELECT 'user_' || user_id AS path, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS known_at FROM events WHERE event_id % 3 < 2 GROUP BY user_id",
+        "watch_log": f"{LISTINGS} SELECT path, strftime(max(t), '%Y-%m-%d %H:%M:%S.%f') AS known_at, max(generation) AS generation FROM changes GROUP BY path",
+        "watch_stream": f"{LISTINGS} SELECT path, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS changed_at, length, generation FROM changes",
         "genuine_replacement_characters": "SELECT 'pages/' || page_id || '.html' AS path, 'url' AS code, 'http://a.b/x' || chr(65533) || 'y' || chr(64976) AS evidence FROM pages",
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +15,8 @@ from ..operators import findings, scoring
 from ..sinks import reports
 from ..sources import virtual
 from ..sources.report import files_of
-from ..streaming.watch import changed, merged
+from ..sources.files import shared_folder
+from ..streaming.changes import CHANGES, ChangeLog, changed, merged
 from .triage import explode_issues, file_columns, scan, scan_relation
 
 STRICT = TriageOptions(pdf_rules="strict", office_rules="strict", zip_rules="strict", image_rules="strict")
@@ -265,6 +267,36 @@ def watch_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("path", F.date_format("modificationTime", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("known_at"))
 
 
+def _event_log(spark: SparkSession, sf_dir: str, ticks: int = 4) -> ChangeLog:
+    """A log of as many listings: users as files, the time of the latest event so far as their time."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    log = ChangeLog(spark, f"{shared_folder(spark)}/events-{uuid.uuid4().hex}")
+    for k in range(ticks):
+        seen = events.where(F.col("event_id") % ticks <= k).groupBy(F.concat(F.lit("user_"), "user_id").alias("path"))
+        log.record(seen.agg(F.max("ts").alias("modificationTime"), F.count("*").alias("length")))
+    return log
+
+
+def _changes(rows: DataFrame) -> DataFrame:
+    return rows.select("path", F.date_format("modificationTime", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("changed_at"), "length", "generation")
+
+
+def watch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the log knows of each path after four listings."""
+    known = _event_log(spark, sf_dir).state()
+    return known.select("path", F.date_format("modificationTime", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("known_at"), "generation")
+
+
+def watch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All changes of four listings, through the streaming source, in a first run of the query and a second one that goes on from its checkpoint."""
+    log = _event_log(spark, sf_dir)
+    out = f"{log.folder}/out"
+    for _ in range(2):
+        query = log.stream().writeStream.format("parquet").option("checkpointLocation", f"{log.folder}/checkpoint").option("path", out).trigger(availableNow=True).start()
+        query.awaitTermination()
+    return _changes(spark.read.schema(CHANGES).parquet(out))
+
+
 def genuine_replacement_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links with a U+FFFD of their own and with invalid bytes, which go."""
     own = virtual.pages(spark, sf_dir).select("path", "length", F.concat(F.encode(F.lit("http://a.b/x\ufffdy"), "UTF-8"), F.unhex(F.lit("C3")), F.encode(F.lit("\ufdd0 "), "UTF-8")).alias("link"))
@@ -277,5 +309,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         triage_full, fingerprint_docs, is_text_docs, head_and_tail, size_gate, double_extension, pe_header, pdf_tokens, pdf_rules_normal, pdf_rules_strict, url_extract, url_hosts_pages,
         zip_member_legacy, zip_member_rules, zip_member_rules_strict, office_rules_members, office_macro_docs, image_trailing, image_rules, marker_strings, issues_dedup, weighted_score, weighted_score_join,
         severity_bands, severity_summary, issue_counts, exit_code, path_sort_rank, console_rows, console_widths, watch_delta, targets_union, target_paths, json_issue, scan_tree,
-        archive_members, archives_scanned, office_archives_scanned, error_rows, error_exit_code, empty_exit_code, report_files, large_exif, url_size_limit, markers_by_option, rules_off, watch_state, genuine_replacement_characters,
+        archive_members, archives_scanned, office_archives_scanned, error_rows, error_exit_code, empty_exit_code, report_files, large_exif, url_size_limit, markers_by_option, rules_off, watch_state, watch_log, watch_stream, genuine_replacement_characters,
     )}

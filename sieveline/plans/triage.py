@@ -1,8 +1,7 @@
 """The triage plan: files -> fingerprints -> findings -> score, all narrow until results are sorted.
 
-Contents over the size limit are never read.  A file tree's reader leaves them
-out by itself, so it is scanned once; of any other relation the two sides of the
-limit are separate scans, and the large one selects no content.
+Contents over the size limit are never read: the reader of files leaves them out.
+Any relation is scanned once.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from ..functions.archive import zip_members
 from ..operators import findings, scoring
 from ..schemas import ISSUES, RESULT
 from ..sources.report import read_report
-from ..sources.tree import is_mounted, read_files
+from ..sources.tree import read_files
 
 
 def file_columns(members: Column | None = None) -> findings.File:
@@ -30,23 +29,25 @@ def _result(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in RESULT))
 
 
-def scan_relation(df: DataFrame, options: TriageOptions = TriageOptions(), limited: bool = False) -> DataFrame:
-    """Results for any relation (path, length, content[, members][, error]).
+def scan_relation(df: DataFrame, options: TriageOptions = TriageOptions()) -> DataFrame:
+    """Results for any relation (path, length, content[, members][, error]), scanned once.
 
-    ``limited`` says that the relation has no contents over the size limit, so that one scan of it will do.
+    Contents of rows over the size limit, or with an error, are not looked at; null contents are scanned as nothing.
     """
     if "error" not in df.columns:
         df = df.withColumn("error", F.lit(None).cast("string"))
-    failed = F.col("error").isNotNull()
-    aside = (F.coalesce(F.col("length") > options.max_file_size, F.lit(False)) | failed)  # null contents are read, as nothing
-    if limited:
-        return _result(_found(df.withColumn("aside", aside), options))
-    return _result(_found(df.where(~aside), options)).union(_result(_set_aside(df.where(aside).select("path", "length", "error"))))
-
-
-def _set_aside(df: DataFrame) -> DataFrame:
-    """Results of files that are too large or could not be read."""
-    return df.select("path", F.lit("").alias("sha256"), F.col("length").alias("size"), F.lit("unknown").alias("magic_type"), _aside_issues().alias("issues"), F.lit(0).alias("score"), F.lit("Safe").alias("severity"), _aside_reasons().alias("reasons"), "error")
+    df = df.withColumn("aside", F.coalesce(F.col("length") > options.max_file_size, F.lit(False)) | F.col("error").isNotNull())
+    if "members" not in df.columns:
+        df = df.withColumn("members", zip_members(F.when(file_columns().needs_members() & ~F.col("aside"), F.col("content"))))
+    file = file_columns()
+    if options.use_magic:
+        df = df.withColumn("magic_type", mime_type(F.when(~F.col("aside"), F.col("content"))))  # a label of its own; gates keep the sniffed type
+    magic = F.col("magic_type") if options.use_magic else file.magic
+    either = lambda there, own: F.when(F.col("aside"), there).otherwise(own)
+    # contents are dropped as soon as findings are there
+    out = df.select("path", F.col("length").alias("size"), either(F.lit(""), C.sha256(F.col("content"))).alias("sha256"), either(F.lit("unknown"), magic).alias("magic_type"), either(_aside_issues(), findings.all_findings(file, options)).alias("issues"), "error", "aside")
+    out = out.withColumn("score", either(F.lit(0), scoring.score(F.col("issues"))))
+    return _result(out.withColumns({"severity": scoring.severity(F.col("score")), "reasons": either(_aside_reasons(), scoring.reasons(F.col("issues")))}))
 
 
 def _aside_issues() -> Column:
@@ -58,22 +59,6 @@ def _aside_reasons() -> Column:
     return F.when(F.col("error").isNotNull(), F.array().cast("array<string>")).otherwise(F.array(F.lit("skipped_large")))
 
 
-def _found(df: DataFrame, options: TriageOptions) -> DataFrame:
-    """Results of files with contents; where there is a column ``aside``, of those that it marks as well."""
-    if "members" not in df.columns:
-        df = df.withColumn("members", zip_members(F.when(file_columns().needs_members(), F.col("content"))))
-    file = file_columns()
-    if options.use_magic:
-        df = df.withColumn("magic_type", mime_type(F.col("content")))  # a label of its own; gates keep the sniffed type
-    magic = F.col("magic_type") if options.use_magic else file.magic
-    marked = "aside" in df.columns
-    either = lambda there, own: F.when(F.col("aside"), there).otherwise(own) if marked else own
-    # contents are dropped as soon as findings are there
-    out = df.select("path", F.col("length").alias("size"), either(F.lit(""), C.sha256(F.col("content"))).alias("sha256"), either(F.lit("unknown"), magic).alias("magic_type"), either(_aside_issues(), findings.all_findings(file, options)).alias("issues"), "error", *["aside"] * marked)
-    out = out.withColumn("score", either(F.lit(0), scoring.score(F.col("issues"))))
-    return out.withColumns({"severity": scoring.severity(F.col("score")), "reasons": either(_aside_reasons(), scoring.reasons(F.col("issues")))})
-
-
 def mime_type(content: Column) -> Column:
     """A MIME label by libmagic where its Python binding is installed, else the sniffed type."""
     try:
@@ -85,13 +70,13 @@ def mime_type(content: Column) -> Column:
     def label(heads: pd.Series) -> pd.Series:
         import magic
 
-        return heads.map(lambda b: magic.from_buffer(bytes(b), mime=True))
+        return heads.map(lambda b: magic.from_buffer(bytes(b or b""), mime=True))
 
     return F.pandas_udf(label, "string")(C.head(content, 4096))
 
 
 def scan_path(spark: SparkSession, path: str, options: TriageOptions) -> DataFrame:
-    return scan_relation(read_files(spark, path, options.max_file_size).drop("modificationTime"), options, is_mounted(path))
+    return scan_relation(read_files(spark, path, options.max_file_size).drop("modificationTime"), options)
 
 
 def scan(spark: SparkSession, path: str, options: TriageOptions = TriageOptions()) -> DataFrame:

@@ -1,14 +1,16 @@
-"""Watch mode: each tick lists the tree, reads and scans what is new or changed and adds the results.
+"""Watch mode: a folder is listed again and again, and what is new or changed is scanned as a stream.
 
-Spark's file stream never gives a changed file again, so a clock drives the
-query and the known (path, modificationTime) are a table beside the results.
-Results of a tick are written under its number, before its state: a tick that
-was torn is run again and replaces what it had written.
+Each listing becomes a generation of a ``ChangeLog``; a streaming query over the log
+reads the files of its generations and writes their results under the number of the
+batch.  Its checkpoint says which generations a batch has, and they stay until the
+batch is committed: a batch that was torn runs again over the same files and replaces
+what it had written, so no change is lost and none is reported twice.
 """
 
 from __future__ import annotations
 
-import uuid
+import logging
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,65 +20,63 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import TriageOptions
 from ..operators import scoring
 from ..plans.triage import scan_relation
-from ..schemas import FILE, RESULT
-from ..sources.tree import LIST_ONLY, read_files, read_listed
+from ..schemas import RESULT
+from ..sources.tree import list_files, read_listed
+from .changes import ChangeLog
 
-INTERVAL = "10 seconds"
-
-
-def changed(listing: DataFrame, state: DataFrame) -> DataFrame:
-    """Rows of a listing whose (path, modificationTime) the state does not have."""
-    return listing.join(state.select("path", "modificationTime"), ["path", "modificationTime"], "left_anti")
-
-
-def merged(state: DataFrame, seen: DataFrame) -> DataFrame:
-    """The state with the newest time of each path; paths that are gone stay."""
-    return state.unionByName(seen.select("path", "modificationTime")).groupBy("path").agg(F.max("modificationTime").alias("modificationTime"))
+LOG = logging.getLogger("sieveline")
+#: Seconds between two listings.
+INTERVAL = 10.0
 
 
 class Watcher:
-    """``folder`` holds results (JSON lines, a folder per tick) and state (Parquet, the last two versions)."""
+    """``folder`` holds the log of changes, the stream's checkpoint, and results (JSON lines, a folder per batch)."""
 
     def __init__(self, spark: SparkSession, target: str, folder: str, options: TriageOptions = TriageOptions(), on_results: Callable[[DataFrame], None] | None = None):
         self.spark, self.target, self.folder, self.options, self.on_results = spark, target, folder, options, on_results
+        self.log = ChangeLog(spark, f"{folder}/log")
         self.exit_code = 0
 
-    def _versions(self) -> list[tuple[int, str]]:
-        """Number and path of each whole state, in order."""
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state")
-        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
-        whole = [n for n in names if n[:1] == "v" and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state/{n}/_SUCCESS"))]
-        return sorted((int(n[1:].partition("-")[0]), f"{self.folder}/state/{n}") for n in whole)
-
-    def _drop(self, path: str) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+    def record(self) -> int:
+        """List once; the number of new and changed files."""
+        return self.log.record(list_files(self.spark, self.target))
+
+    def _scan(self, changes: DataFrame, batch: int) -> None:
+        """Scan the files of a batch, each once."""
+        files = read_listed(changes.groupBy("path").agg(F.max_by("length", "generation").alias("length")), self.target, self.options.max_file_size)
+        store = f"{self.folder}/results/batch={batch}"
+        scan_relation(files.drop("modificationTime"), self.options).write.mode("overwrite").json(store)
+        results = self.spark.read.schema(RESULT).json(store)
+        self.exit_code = max(self.exit_code, scoring.exit_code(results).first()[0])
+        if self.on_results:
+            self.on_results(results)
+
+    def _query(self, **trigger) -> StreamingQuery:
+        writer = self.log.stream().writeStream.foreachBatch(self._scan).option("checkpointLocation", f"{self.folder}/checkpoint")
+        return writer.trigger(**trigger).start()
+
+    def drain(self) -> None:
+        """Scan all changes that are recorded and not scanned yet."""
+        query = self._query(availableNow=True)
+        query.awaitTermination()
 
     def tick(self) -> int:
-        """Scan once; the number of changed files."""
-        versions = self._versions()
-        version, path = versions[-1] if versions else (0, None)
-        state = self.spark.read.parquet(path) if path else self.spark.createDataFrame([], FILE).select("path", "modificationTime")
-        seen = changed(read_files(self.spark, self.target, LIST_ONLY).select("path", "modificationTime"), state).persist()
-        try:
-            n = seen.count()
-            if n:
-                store = f"{self.folder}/results/tick={version + 1}"
-                files = read_listed(seen, self.target, self.options.max_file_size)
-                scan_relation(files.drop("modificationTime"), self.options, True).write.mode("overwrite").json(store)
-                results = self.spark.read.schema(RESULT).json(store)
-                self.exit_code = max(self.exit_code, scoring.exit_code(results).first()[0])
-                if self.on_results:
-                    self.on_results(results)
-                merged(state, seen).write.parquet(f"{self.folder}/state/v{version + 1}-{uuid.uuid4().hex[:8]}")
-                for _, old in versions[:-1]:
-                    self._drop(old)
-            return n
-        finally:
-            seen.unpersist()
-
-    def start(self, interval: str = INTERVAL, once: bool = False) -> StreamingQuery:
-        clock = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-        writer = clock.writeStream.foreachBatch(lambda _, __: self.tick() and None).option("checkpointLocation", f"{self.folder}/clock")
-        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+        """List and scan once; the number of new and changed files."""
+        n = self.record()
+        self.drain()
+        return n
+
+    def start(self, interval: float = INTERVAL) -> StreamingQuery:
+        """Scan as a running query, while a thread lists the folder every ``interval`` seconds until the query ends."""
+        query = self._query(processingTime=f"{interval} seconds")
+
+        def list_again() -> None:
+            while query.isActive:
+                try:
+                    self.record()
+                except Exception:  # what cannot be listed now is listed next time
+                    LOG.exception("%s could not be listed", self.target)
+                query.awaitTermination(interval)
+
+        threading.Thread(target=list_again, daemon=True).start()
+        return query

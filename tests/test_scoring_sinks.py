@@ -13,7 +13,6 @@ from sieveline.operators import scoring
 from sieveline.schemas import ISSUES, RESULT
 from sieveline.sinks import quarantine, reports
 from sieveline.sources.report import read_report
-from sieveline.streaming.watch import Watcher
 
 
 def scored(spark, codes):
@@ -116,32 +115,6 @@ def test_quarantine_of_results(spark, tmp_path):
     assert "changed" in again[str(tmp_path / "t" / "good.txt")]["error"] and again[str(tmp_path / "gone")]["stored"] is None and (tmp_path / "t" / "good.txt").exists()
 
 
-def test_watch(spark, tmp_path):
-    tree = tmp_path / "tree"
-    tree.mkdir()
-    (tree / "a.exe").write_bytes(b"MZ")
-    (tree / "b.txt").write_text("b")
-    watcher = Watcher(spark, str(tree), str(tmp_path / "store"))
-    assert watcher.tick() == 2 and watcher.tick() == 0
-    (tree / "b.txt").write_text("http://a")
-    (tree / "c.txt").write_text("new")
-    (tree / "a.exe").unlink()
-    assert watcher.tick() == 2
-    again = Watcher(spark, str(tree), str(tmp_path / "store"))  # a restart goes on from the stored state
-    assert again.tick() == 0 and watcher.exit_code == 1
-    rows = spark.read.json(str(tmp_path / "store" / "results"))
-    assert rows.count() == 4
-    (tree / "c.txt").write_text("MZ changed")
-    torn = tmp_path / "store" / "state" / "v3-torn"  # a state that was not written to its end
-    torn.mkdir()
-    (tmp_path / "store" / "results" / "tick=3").mkdir()
-    (tmp_path / "store" / "results" / "tick=3" / "part-0.json").write_text('{"path": "half"}\n')
-    assert again.tick() == 1 and again.tick() == 0
-    assert sorted(r["path"].rsplit("/", 1)[1] for r in spark.read.json(str(tmp_path / "store" / "results")).where("tick = 3").collect()) == ["c.txt"]
-    query = again.start(once=True)
-    query.awaitTermination(60)
-
-
 def test_cli(spark, tmp_path, capsys):
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "essay.pdf.exe").write_bytes(b"MZ")
@@ -165,20 +138,6 @@ def test_cli_quarantines_a_report(spark, tmp_path):
         main(["quarantine", "--dest", str(tmp_path / "q")])
 
 
-def test_any_store(spark, tmp_path):
-    """A path with another scheme is read by Spark, one of the file scheme as a tree."""
-    (tmp_path / "a.exe").write_bytes(b"MZ")
-    (tmp_path / "big").write_bytes(b"x" * 100)
-    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.files.link./in", f"file://{tmp_path}")
-    from sieveline import TriageOptions
-
-    for path in (f"file://{tmp_path}", "viewfs://files/in"):
-        rows = {r["path"].rsplit("/", 1)[1]: r for r in scan(spark, path, TriageOptions(max_file_size=99)).collect()}
-        assert [i["code"] for i in rows["a.exe"]["issues"]] == ["pe_header"] and [i["code"] for i in rows["big"]["issues"]] == ["skipped_large"] and len(rows) == 2, path
-    watcher = Watcher(spark, "viewfs://files/in", str(tmp_path / "store"))
-    assert watcher.tick() >= 2
-
-
 def test_mime_labels_are_optional(spark):
     from sieveline import TriageOptions, scan_relation
 
