@@ -19,12 +19,12 @@ from ..schemas import MEMBERS
 MEMBER = pa.struct([("name", pa.string()), ("stored_name", pa.string())])
 
 
-def list_members(content: bytes | None) -> list[tuple[str, str]]:
-    """(name, name as stored) in the directory's order; what is no ZIP file has none."""
+def list_members(content: bytes | io.IOBase | None) -> list[tuple[str, str]]:
+    """(name, name as stored) in the directory's order; what is no ZIP file has none.  Of an open file only the directory is read."""
     if not content:
         return []
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        with zipfile.ZipFile(content if isinstance(content, io.IOBase) else io.BytesIO(content)) as archive:
             found = [(i.filename, i.orig_filename) for i in archive.infolist()]
     except Exception:  # hostile input: any failure means that there is no usable directory
         return []

@@ -60,13 +60,16 @@ MARKER_STRINGS = "Content holds a marker string"
 
 @dataclass(frozen=True)
 class File:
-    """The columns of a file that detectors read."""
+    """The columns of a file that detectors read: facts about its content, of which ``body`` is there for small files only."""
 
     name: Column
     suffix: Column
     magic: Column
     length: Column
-    content: Column
+    head: Column
+    tail: Column
+    hits: Column
+    body: Column
     members: Column
 
     # Gates.
@@ -110,6 +113,36 @@ def joined(*arrays: Column) -> Column:
     return F.concat(*arrays)
 
 
+# What contents are searched for, once each: one pattern for each kind of file, in the syntax that Java and Python share.
+# No match can hide another one: slashes stand in front only, and a link's second slash is looked at but not taken.
+PDF_HITS = (*PDF_TOKENS, "/FILESPEC")
+LINK_HITS = "https?:/(?=/)"
+IMAGE_HITS = ("IEND", "Exif")
+#: Bytes that a match may span, what is looked at behind it included.
+LONGEST_HIT = max(map(len, (*PDF_HITS, *MARKERS, "https://")))
+
+
+def search_patterns(o: TriageOptions) -> dict[str, str]:
+    """The pattern for each kind of file; ``any`` is for all files."""
+    out = {"pdf": f"(?i:{'|'.join(PDF_HITS)}{f'|{LINK_HITS}' if o.pdf_rules == 'strict' else ''})", "image": "|".join(IMAGE_HITS)}
+    return out | ({"any": "|".join(MARKERS)} if o.use_markers else {})
+
+
+def searched(content: Column, is_pdf: Column, is_image: Column, o: TriageOptions) -> Column:
+    """Each different string that a file's patterns find in it, in one search."""
+    patterns = search_patterns(o)
+
+    def find(*kinds: str) -> Column:
+        own = [patterns[k] for k in (*kinds, "any") if k in patterns]
+        return F.array_distinct(F.regexp_extract_all(C.latin1(content), F.lit(f"({'|'.join(own)})"), F.lit(1))) if own else F.array().cast("array<string>")
+
+    return F.when(is_pdf & is_image, find("pdf", "image")).when(is_pdf, find("pdf")).when(is_image, find("image")).otherwise(find())
+
+
+def hit(f: File, *words: str) -> Column:
+    return F.coalesce(F.arrays_overlap(f.hits, F.array(*map(F.lit, words))), F.lit(False))
+
+
 def double_extension_kind(name: Column) -> Column:
     """The description of a double extension in a name, or null."""
     before, last = C.last_two_suffixes(name)
@@ -122,7 +155,7 @@ def double_extension(f: File, _: TriageOptions) -> Column:
 
 
 def pe_header(f: File, _: TriageOptions) -> Column:
-    return one_if(F.startswith(f.content, C.binary("4D5A")), issue("pe_header", PE_HEADER))
+    return one_if(F.startswith(f.head, C.binary("4D5A")), issue("pe_header", PE_HEADER))
 
 
 def member_base(name: Column) -> Column:
@@ -152,14 +185,12 @@ def zip_contents(f: File, _: TriageOptions) -> Column:
 
 
 def pdf_tokens(f: File, _: TriageOptions) -> Column:
-    """One pass over the content: no token can overlap another, as each has its only slash in front."""
-    found = F.regexp_extract_all(C.latin1(f.content), F.lit(f"(?i)({'|'.join(PDF_TOKENS)})"), F.lit(1))
-    held = F.array_intersect(F.array(*map(F.lit, PDF_TOKENS)), F.coalesce(F.transform(found, F.upper), F.array().cast("array<string>")))
+    held = F.array_intersect(F.array(*map(F.lit, PDF_TOKENS)), F.coalesce(F.transform(f.hits, F.upper), F.array().cast("array<string>")))
     return gated(f.is_pdf(), F.transform(held, lambda t: issue("pdf_token", F.concat(F.lit(PDF_TOKEN), t), t)))
 
 
 def image_trailing(f: File, _: TriageOptions) -> Column:
-    last = C.latin1(C.tail(f.content, IMAGE_TAIL))
+    last = C.latin1(f.tail)
     after = lambda marker: F.contains(last, F.lit(marker)) & F.substring_index(last, marker, -1).rlike("[^\\x00]")
     png = one_if((f.suffix == ".png") & after("IEND"), issue("image_trailing_data", PNG_TRAILING))
     jpeg = one_if(f.suffix.isin(".jpg", ".jpeg") & after("\xff\xd9"), issue("image_trailing_data", JPEG_TRAILING))
@@ -182,24 +213,17 @@ def links(f: File, _: TriageOptions) -> Column:
         bad = C.suspicious_host(C.host(url))
         return issue(F.when(bad, "url_suspicious").otherwise("url"), F.when(bad, URL_SUSPICIOUS).otherwise(URL_FOUND), url)
 
-    return gated((f.length <= URL_LIMIT) & C.is_text(f.content), F.transform(C.urls(C.text_of(f.content)), found))
-
-
-def holds(content: Column, *words: str) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(content, C.binary(w.encode().hex()))
-    return out
+    return gated((f.length <= URL_LIMIT) & C.is_text(f.head), F.transform(C.urls(C.text_of(f.body)), found))
 
 
 def pdf_rules(f: File, o: TriageOptions) -> Column:
     found = [
-        one_if(holds(f.content, "/OpenAction", "/AA"), issue("pdf_auto_actions", PDF_ACTIONS, severity="high")),
-        one_if(holds(f.content, "/JavaScript", "/JS"), issue("pdf_javascript", PDF_JAVASCRIPT, severity="high")),
-        one_if(holds(f.content, "/EmbeddedFile", "/Filespec"), issue("pdf_embedded_files", PDF_FILES, severity="medium")),
+        one_if(hit(f, "/OpenAction", "/AA"), issue("pdf_auto_actions", PDF_ACTIONS, severity="high")),
+        one_if(hit(f, "/JavaScript", "/JS"), issue("pdf_javascript", PDF_JAVASCRIPT, severity="high")),
+        one_if(hit(f, "/EmbeddedFile", "/Filespec"), issue("pdf_embedded_files", PDF_FILES, severity="medium")),
     ]
     if o.pdf_rules == "strict":
-        found.append(one_if(holds(f.content, "http://", "https://"), issue("pdf_external_links", PDF_LINKS, severity="low")))
+        found.append(one_if(hit(f, "http:/", "https:/"), issue("pdf_external_links", PDF_LINKS, severity="low")))
     return gated(f.is_pdf(), joined(*found))
 
 
@@ -231,17 +255,18 @@ def zip_rules(f: File, o: TriageOptions) -> Column:
 
 
 def image_rules(f: File, o: TriageOptions) -> Column:
-    text = C.latin1(f.content)
-    png = F.startswith(f.content, C.binary("89504E470D0A1A0A")) & F.contains(text, F.lit("IEND")) & (F.length(F.substring_index(text, "IEND", -1)) > 8)
-    jpeg = F.startswith(f.content, C.binary("FFD8FF")) & ~F.endswith(f.content, C.binary("FFD9"))
+    last = C.latin1(f.tail)  # where the last chunk marker is not in the last bytes, there is more than 8 behind it
+    behind = ~F.contains(last, F.lit("IEND")) | (F.length(F.substring_index(last, "IEND", -1)) > 8)
+    png = F.startswith(f.head, C.binary("89504E470D0A1A0A")) & hit(f, "IEND") & behind
+    jpeg = F.startswith(f.head, C.binary("FFD8FF")) & ~F.endswith(f.tail, C.binary("FFD9"))
     found = [one_if(png, issue("png_appended_data", PNG_APPENDED, severity="medium")), one_if(jpeg, issue("jpeg_appended_data", JPEG_APPENDED, severity="medium"))]
     if o.image_rules == "strict":
-        found.append(one_if(holds(f.content, "Exif") & (F.length(f.content) > LARGE_EXIF), issue("image_large_exif", LARGE_IMAGE, severity="low")))
+        found.append(one_if(hit(f, "Exif") & (f.length > LARGE_EXIF), issue("image_large_exif", LARGE_IMAGE, severity="low")))
     return gated(f.is_image(), joined(*found))
 
 
 def marker_strings(f: File, _: TriageOptions) -> Column:
-    found = F.array_compact(F.array(*(F.when(holds(f.content, m), m) for m in MARKERS)))
+    found = F.array_intersect(F.array(*map(F.lit, MARKERS)), F.coalesce(f.hits, F.array().cast("array<string>")))
     return one_if(F.size(found) > 0, issue("marker_strings", MARKER_STRINGS, F.array_join(found, ",")))
 
 

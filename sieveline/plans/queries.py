@@ -32,7 +32,7 @@ def _detected(files: DataFrame, detector: findings.Detector, options: TriageOpti
     """One row per distinct finding of a single detector."""
     if "members" not in files.columns:
         files = files.withColumn("members", F.array().cast("array<struct<name:string,stored_name:string>>"))
-    found = files.select("path", F.explode_outer(F.array_distinct(detector(file_columns(), options))).alias("i")).where("i is not null")
+    found = files.select("path", F.explode_outer(F.array_distinct(detector(file_columns(options=options), options))).alias("i")).where("i is not null")
     return found.select("path", *(F.coalesce(F.col(f"i.{c}"), F.lit("")).alias(c) for c in ISSUE_FIELDS))
 
 
@@ -113,7 +113,7 @@ def image_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marker_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _detected(virtual.documents(spark, sf_dir), findings.marker_strings).select("path", "code", "evidence")
+    return _detected(virtual.documents(spark, sf_dir), findings.marker_strings, TriageOptions(use_markers=True)).select("path", "code", "evidence")
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:

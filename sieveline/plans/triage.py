@@ -1,11 +1,15 @@
-"""The triage plan: files -> fingerprints -> findings -> score, all narrow until results are sorted.
+"""The triage plan: files -> facts -> findings -> score, all narrow until results are sorted.
 
-Contents over the size limit are never read: the reader of files leaves them out.
-Any relation is scanned once.
+Facts are all that detectors look at: hash, first and last bytes, what one search for
+all patterns finds, archive members, and the content of small files.  Of a relation
+they are columns over its contents; files are read block by block, so that no content
+is held whole.  Contents over the size limit are never read.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,37 +19,60 @@ from ..functions.archive import zip_members
 from ..operators import findings, scoring
 from ..schemas import ISSUES, RESULT
 from ..sources.report import read_report
-from ..sources.tree import read_files
+from ..sources.facts import read_facts
+from ..sources.tree import list_files
 
 
-def file_columns(members: Column | None = None) -> findings.File:
+def file_columns(members: Column | None = None, options: TriageOptions = TriageOptions()) -> findings.File:
     """The detectors' view of a relation (path, length, content); ``members`` are taken as given where a relation has them."""
+    content, name = F.col("content"), C.file_name(F.col("path"))
+    file = findings.File(name, C.suffix(name), C.magic_type(content), F.col("length"), C.head(content, C.TEXT_WINDOW), C.tail(content, findings.IMAGE_TAIL), None, content, F.col("members") if members is None else members)
+    return replace(file, hits=findings.searched(content, file.is_pdf(), file.is_image(), options))
+
+
+def fact_columns() -> findings.File:
+    """The detectors' view of facts."""
     name = C.file_name(F.col("path"))
-    given = members is not None
-    return findings.File(name, C.suffix(name), C.magic_type(F.col("content")), F.col("length"), F.col("content"), members if given else F.col("members"))
+    return findings.File(name, C.suffix(name), C.magic_type(F.col("head")), *map(F.col, ("length", "head", "tail", "hits", "body", "members")))
 
 
 def _result(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in RESULT))
 
 
-def scan_relation(df: DataFrame, options: TriageOptions = TriageOptions()) -> DataFrame:
-    """Results for any relation (path, length, content[, members][, error]), scanned once.
-
-    Contents of rows over the size limit, or with an error, are not looked at; null contents are scanned as nothing.
-    """
+def facts_of(df: DataFrame, options: TriageOptions = TriageOptions()) -> DataFrame:
+    """Facts of any relation (path, length, content[, members][, error]); contents of rows over the size limit, or with an error, are not looked at."""
     if "error" not in df.columns:
         df = df.withColumn("error", F.lit(None).cast("string"))
-    df = df.withColumn("aside", F.coalesce(F.col("length") > options.max_file_size, F.lit(False)) | F.col("error").isNotNull())
+    df = df.withColumn("content", F.when(~_aside(options), F.col("content")))
+    file = file_columns(options=options)
     if "members" not in df.columns:
-        df = df.withColumn("members", zip_members(F.when(file_columns().needs_members() & ~F.col("aside"), F.col("content"))))
-    file = file_columns()
+        df = df.withColumn("members", zip_members(F.when(file.needs_members(), F.col("content"))))
+    body = F.when(F.col("length") <= findings.URL_LIMIT, F.col("content"))
+    return df.select("path", "length", "error", C.sha256(F.col("content")).alias("sha256"), file.head.alias("head"), file.tail.alias("tail"), file.hits.alias("hits"), body.alias("body"), "members")
+
+
+def scan_relation(df: DataFrame, options: TriageOptions = TriageOptions()) -> DataFrame:
+    """Results for any relation (path, length, content[, members][, error]), scanned once; null contents are scanned as nothing."""
+    return scan_facts(facts_of(df, options), options)
+
+
+def _aside(options: TriageOptions) -> Column:
+    """Whether a file is too large, or could not be read."""
+    return F.coalesce(F.col("length") > options.max_file_size, F.lit(False)) | F.col("error").isNotNull()
+
+
+def scan_facts(df: DataFrame, options: TriageOptions = TriageOptions()) -> DataFrame:
+    """Results for facts."""
+    file = fact_columns()
+    magic = file.magic
     if options.use_magic:
-        df = df.withColumn("magic_type", mime_type(F.when(~F.col("aside"), F.col("content"))))  # a label of its own; gates keep the sniffed type
-    magic = F.col("magic_type") if options.use_magic else file.magic
+        df = df.withColumn("magic_type", mime_type(F.col("head")))  # a label of its own; gates keep the sniffed type
+        magic = F.col("magic_type")
+    df = df.withColumn("aside", _aside(options))
     either = lambda there, own: F.when(F.col("aside"), there).otherwise(own)
     # contents are dropped as soon as findings are there
-    out = df.select("path", F.col("length").alias("size"), either(F.lit(""), C.sha256(F.col("content"))).alias("sha256"), either(F.lit("unknown"), magic).alias("magic_type"), either(_aside_issues(), findings.all_findings(file, options)).alias("issues"), "error", "aside")
+    out = df.select("path", F.col("length").alias("size"), either(F.lit(""), F.col("sha256")).alias("sha256"), either(F.lit("unknown"), magic).alias("magic_type"), either(_aside_issues(), findings.all_findings(file, options)).alias("issues"), "error", "aside")
     out = out.withColumn("score", either(F.lit(0), scoring.score(F.col("issues"))))
     return _result(out.withColumns({"severity": scoring.severity(F.col("score")), "reasons": either(_aside_reasons(), scoring.reasons(F.col("issues")))}))
 
@@ -59,12 +86,12 @@ def _aside_reasons() -> Column:
     return F.when(F.col("error").isNotNull(), F.array().cast("array<string>")).otherwise(F.array(F.lit("skipped_large")))
 
 
-def mime_type(content: Column) -> Column:
+def mime_type(head: Column) -> Column:
     """A MIME label by libmagic where its Python binding is installed, else the sniffed type."""
     try:
         import magic  # noqa: F401
     except ImportError:
-        return C.magic_type(content)
+        return C.magic_type(head)
     import pandas as pd
 
     def label(heads: pd.Series) -> pd.Series:
@@ -72,11 +99,11 @@ def mime_type(content: Column) -> Column:
 
         return heads.map(lambda b: magic.from_buffer(bytes(b or b""), mime=True))
 
-    return F.pandas_udf(label, "string")(C.head(content, 4096))
+    return F.pandas_udf(label, "string")(head)
 
 
 def scan_path(spark: SparkSession, path: str, options: TriageOptions) -> DataFrame:
-    return scan_relation(read_files(spark, path, options.max_file_size).drop("modificationTime"), options)
+    return scan_facts(read_facts(list_files(spark, path), path, options), options)
 
 
 def scan(spark: SparkSession, path: str, options: TriageOptions = TriageOptions()) -> DataFrame:

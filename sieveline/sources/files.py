@@ -12,6 +12,7 @@ from __future__ import annotations
 import contextlib
 import functools
 import glob
+import io
 import os
 import re
 import stat as modes
@@ -64,6 +65,10 @@ class Mounted:
         with open(path, "rb") as f:
             return f.read()
 
+    def seekable(self, path: str) -> io.BufferedIOBase:
+        """The file for reading by place."""
+        return open(path, "rb")
+
     def write(self, path: str, data: bytes) -> None:
         """Write a small file at once: readers see all of it or nothing."""
         os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -96,6 +101,42 @@ def _own_jvm():
     return JavaGateway(gateway_parameters=GatewayParameters(port=port, auth_token=token)).jvm
 
 
+class Placed(io.RawIOBase):
+    """A stream of a store, for reading by place."""
+
+    def __init__(self, store: Store, stream, length: int):
+        self.store, self.stream, self.length, self.at = store, stream, length, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self.at = max(0, offset + {io.SEEK_SET: 0, io.SEEK_CUR: self.at, io.SEEK_END: self.length}[whence])
+        return self.at
+
+    def tell(self) -> int:
+        return self.at
+
+    def readinto(self, buffer) -> int:
+        n = min(len(buffer), max(0, self.length - self.at))
+        if n:
+            with self.store._told():
+                self.stream.seek(self.at)
+                data = bytes(self.stream.readNBytes(n))
+            n = len(data)
+            buffer[:n] = data
+            self.at += n
+        return n
+
+    def close(self) -> None:
+        if not self.closed:
+            self.stream.close()
+        super().close()
+
+
 class Store:
     """A store by its Hadoop file system.  ``settings`` is the session's Hadoop configuration as XML."""
 
@@ -158,6 +199,11 @@ class Store:
     def read(self, path: str) -> bytes:
         return b"".join(self.blocks(path))
 
+    def seekable(self, path: str) -> io.BufferedIOBase:
+        with self._told():
+            fs, place = self._at(path)
+            return io.BufferedReader(Placed(self, fs.open(place), fs.getFileStatus(place).getLen()), 64 << 10)
+
     def write(self, path: str, data: bytes) -> None:
         with self._told():
             fs, place = self._at(path)

@@ -27,7 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from ..schemas import FILE
 from .files import Entry, Mounted, Store, exists, files_of, is_mounted, local_path, shared_folder
 
-__all__ = ["LIST_ONLY", "exists", "is_mounted", "list_files", "local_path", "read_files", "read_listed", "read_tree"]
+__all__ = ["LIST_ONLY", "dealt", "exists", "is_mounted", "list_files", "local_path", "read_files", "read_listed", "read_tree"]
 
 #: Files and bytes of one task, at most (a larger file has a task of its own).
 FILES_A_TASK, BYTES_A_TASK = 4096, 128 << 20
@@ -118,20 +118,24 @@ def list_files(spark: SparkSession, path: str, at_once: int = FOLDERS_A_TASK) ->
     return spark.read.schema(LISTED).parquet(*tables).where("not folder").drop("folder")
 
 
+def dealt(listing: DataFrame, max_file_size: int) -> DataFrame:
+    """The paths of a listing (path, length), dealt out to tasks by the bytes that are to be read."""
+    sizes = F.when(F.col("length") <= max_file_size, F.col("length")).otherwise(0)
+    n, size = listing.agg(F.count("*"), F.coalesce(F.sum(sizes), F.lit(0))).first()
+    tasks = max(1, -(-n // FILES_A_TASK), -(-size // BYTES_A_TASK), min(n, listing.sparkSession.sparkContext.defaultParallelism))
+    return listing.select("path").repartition(tasks, "path")
+
+
 def read_listed(listing: DataFrame, path: str, max_file_size: int) -> DataFrame:
     """(path, modificationTime, length, content, error) of the files of a listing (path, length) of ``path``; contents over the limit are not read."""
     files, _ = files_of(listing.sparkSession, path)
-    sizes = F.when(F.col("length") <= max_file_size, F.col("length")).otherwise(0)
-    n, size = listing.agg(F.count("*"), F.coalesce(F.sum(sizes), F.lit(0))).first()
-    tasks = max(1, -(-n // FILES_A_TASK), -(-size // BYTES_A_TASK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():  # a batch a file: contents may be large
                 yield batch_of(FILE.names, [file_row(files, name, max_file_size)])
 
-    tasks = max(tasks, min(n, listing.sparkSession.sparkContext.defaultParallelism))
-    return listing.select("path").repartition(tasks, "path").mapInArrow(run, FILE)
+    return dealt(listing, max_file_size).mapInArrow(run, FILE)
 
 
 def read_files(spark: SparkSession, path: str, max_file_size: int) -> DataFrame:

@@ -19,9 +19,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import TriageOptions
 from ..operators import scoring
-from ..plans.triage import scan_relation
+from ..plans.triage import scan_facts
 from ..schemas import RESULT
-from ..sources.tree import list_files, read_listed
+from ..sources.facts import read_facts
+from ..sources.tree import list_files
 from .changes import ChangeLog
 
 LOG = logging.getLogger("sieveline")
@@ -43,9 +44,9 @@ class Watcher:
 
     def _scan(self, changes: DataFrame, batch: int) -> None:
         """Scan the files of a batch, each once."""
-        files = read_listed(changes.groupBy("path").agg(F.max_by("length", "generation").alias("length")), self.target, self.options.max_file_size)
+        files = changes.groupBy("path").agg(F.max_by("length", "generation").alias("length"))
         store = f"{self.folder}/results/batch={batch}"
-        scan_relation(files.drop("modificationTime"), self.options).write.mode("overwrite").json(store)
+        scan_facts(read_facts(files, self.target, self.options), self.options).write.mode("overwrite").json(store)
         results = self.spark.read.schema(RESULT).json(store)
         self.exit_code = max(self.exit_code, scoring.exit_code(results).first()[0])
         if self.on_results:

@@ -1,20 +1,29 @@
 """Listing and reading files of a mounted folder and of another store, the log of changes, watch mode."""
 
 import builtins
+import io
 import os
+import random
+import subprocess
+import sys
 import time
+import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual, StringContains, StringStartsWith
 
 from sieveline import TriageOptions, scan
+from sieveline.operators import findings
+from sieveline.plans import triage
 from sieveline.schemas import FILE
-from sieveline.sources import tree
-from sieveline.sources.files import files_of
+from sieveline.sources import facts, tree, virtual
+from sieveline.sources.files import Mounted, files_of
 from sieveline.streaming.changes import CHANGES, ChangeLog, committed, last_manifest
 from sieveline.streaming.watch import Watcher
 
+ROOT = Path(__file__).resolve().parents[1]
 LIMIT = 60
 
 
@@ -263,3 +272,74 @@ def test_watch_of_a_store_opens_what_changed(spark, folder, store, tmp_path):
     rows = spark.read.json(str(tmp_path / "watch" / "results"))
     assert [[i["code"] for i in r["issues"]] for r in rows.where("batch = 1").collect()] == [["pe_header"]]
     assert rows.where("path like '%big' and reasons[0] = 'skipped_large'").count() == 1
+
+
+TOKENS = (b"/JavaScript", b"/js", b"/OpenAction", b"/Launch", b"/EmbeddedFile", b"/AA", b"/Filespec", b"http://", b"https://", b"IEND", b"Exif", b"powershell", b"This program cannot be run in DOS mode")
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 4096])
+def test_blocks_find_what_the_whole_has(spark, tmp_path, block):
+    """Facts block by block are those of the whole content, wherever blocks end; so are results."""
+    options = TriageOptions(pdf_rules="strict", image_rules="strict", use_markers=True)
+    r = random.Random(block)
+    contents = {"empty.pdf": b"", "http.pdf": b"x http://AA/JS https://a HTTP://b", "tail.png": bytes.fromhex("89504E470D0A1A0A") + b"IEND" + b"q" * 9000, "last.jpg": bytes.fromhex("FFD8FF") + b"Exif" + b"z" * 50 + bytes.fromhex("FFD9"), "a.txt": b"powershell http://a.b " + b"y" * 300}
+    for k in range(12):
+        body = bytearray(r.randbytes(r.choice((90, 300, 9000))))
+        for _ in range(r.randint(0, 6)):
+            t = r.choice(TOKENS)
+            at = r.randrange(len(body) - len(t)) if r.random() < 0.5 else min(len(body) - len(t), max(0, r.randrange(1, 5) * block - r.randrange(len(t))))
+            body[at : at + len(t)] = t
+        contents[f"f{k}.{r.choice(('pdf', 'png', 'jpg', 'bin'))}"] = bytes(body)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/vbaProject.bin", b"x" * 500)
+        z.writestr("a.pdf.exe", b"y")
+    contents |= {"m.zip": out.getvalue(), "m.docx": out.getvalue(), "not.zip": b"PK\x03\x04 no"}
+    for n, c in contents.items():
+        (tmp_path / n).write_bytes(c)
+    patterns = findings.search_patterns(options)
+    rows = [facts.facts_row(Mounted(), str(tmp_path / n), 10**6, patterns, block) for n in contents]
+    table = spark.createDataFrame([(n, len(c), bytearray(c)) for n, c in contents.items()], "path string, length long, content binary")
+    whole = {x["path"]: x for x in triage.facts_of(table, options).collect()}
+    for n, row in zip(contents, rows, strict=True):
+        got, want = dict(zip(facts.ARROW.names, row, strict=True)), whole[n]
+        for c in ("length", "error", "sha256", "head", "tail", "body"):
+            assert got[c] == want[c], (n, c)
+        assert sorted(got["hits"]) == sorted(want["hits"]), n
+        assert [tuple(m.values()) for m in got["members"]] == [tuple(m) for m in want["members"]], n
+    results = lambda df: {x["path"].rpartition("/")[2]: [tuple(i) for i in x["issues"]] for x in df.collect()}
+    assert results(scan(spark, str(tmp_path), options)) == results(triage.scan_relation(table, options))
+
+
+def test_three_gigabytes_in_bounded_memory(tmp_path):
+    """A sparse file with tokens on borders of blocks, in a process of its own whose memory is limited."""
+    path, size, block = tmp_path / "huge.pdf", 3 << 30, facts.BLOCK
+    with open(path, "wb") as f:
+        f.write(b"%PDF-1.4")
+        for k, token in enumerate((b"/JavaScript", b"/OpenAction", b"/Launch", b"/EmbeddedFile", b"/AA"), 1):
+            f.seek(k * 100 * block - k)
+            f.write(token)
+        f.seek(size - 4)
+        f.write(b"/JS!")
+    code = f"""
+import resource, sys
+sys.path.insert(0, {str(ROOT)!r})
+from sieveline.config import TriageOptions
+from sieveline.operators import findings
+from sieveline.sources import facts
+from sieveline.sources.files import Mounted
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+row = dict(zip(facts.ARROW.names, facts.facts_row(Mounted(), {str(path)!r}, 1 << 40, findings.search_patterns(TriageOptions())), strict=True))
+assert row["error"] is None and row["length"] == {size} and row["body"] is None and row["tail"].endswith(b"/JS!")
+assert row["hits"] == sorted(["/JavaScript", "/OpenAction", "/Launch", "/EmbeddedFile", "/AA", "/JS"]), row["hits"]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 100_000  # KB
+
+
+def test_one_search_a_content(spark, sf_dir):
+    """The plan of a scan searches a content once: one regular expression over it for each kind of file, and the branches exclude each other."""
+    plan = triage.scan_relation(virtual.documents(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(content") == 0 and plan.count("regexp_extract_all(decode(content") <= 3 and plan.count("Relation") == 1

@@ -154,7 +154,7 @@ def test_tree(spark, tmp_path):
     (tmp_path / "none").mkdir()
     assert scan(spark, str(tmp_path / "none")).count() == 0 and scan_targets(spark, []).count() == 0
     plan = scan(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("BatchScan") == 1  # a tree is read once
+    assert plan.count("MapInArrow") == 1  # files are read once
     assert explode_issues(scan(spark, str(tmp_path / "_u.exe"))).select("code", "weight").collect() == [("pe_header", 50)]
 
 
