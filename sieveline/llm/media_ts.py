@@ -4,8 +4,10 @@
 program map table, and packetised elementary packets of up to ``PES_BYTES``
 payload bytes, each with a presentation time stamp; the first packet of every
 ``GROUP``-th elementary packet is a random-access point and carries the program
-clock.  ``demux`` parses any such stream: it reads the program tables, checks
-continuity counters, reassembles the elementary packets and returns time stamps
+clock.  ``demux`` parses streams of 188-byte packets that are not scrambled: it
+reassembles the sections of the program tables, over packets where they are long,
+checks continuity counters (a packet may be repeated once, and a marked
+discontinuity is none), reassembles the elementary packets and returns time stamps
 and random-access points.  Both work on whole packet arrays in numpy.
 
 Defined results: a null or empty text is stored as 64 zero bytes; equal texts
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -36,6 +39,7 @@ from .textops import flat
 PACKET, SYNC, CLOCK = 188, 0x47, 90_000
 PAT_PID, PMT_PID, STREAM_PID, NULL_PID = 0, 0x1000, 0x0100, 0x1FFF
 STREAM_TYPE, STREAM_ID, PROGRAM = 0x06, 0xBD, 1
+PAT_TABLE, PMT_TABLE = 0x00, 0x02
 
 ALIGN = 64
 PES_BYTES = 32_768
@@ -142,13 +146,74 @@ class Demuxed:
         return f"packets={self.packets};streams={len(self.streams)};pes={len(self.times)};pts={span};access={len(self.access)};errors={self.sync_errors + self.table_errors + self.continuity_errors}"
 
 
-def _section(packet: bytes, start: int) -> bytes | None:
-    """The table section in a packet, if it is whole and its checksum holds."""
-    if start >= PACKET:
-        return None
-    at = start + 1 + packet[start]
-    section = packet[at : at + 3 + (int.from_bytes(packet[at + 1 : at + 3], "big") & 0x0FFF)]
-    return section[:-4] if len(section) > 12 and section_crc(section) == 0 else None
+class Packets:
+    """The packets of a stream that are in sync, as arrays."""
+
+    def __init__(self, p: np.ndarray):
+        self.p = p
+        self.pid = (p[:, 1].astype(np.int64) & 0x1F) << 8 | p[:, 2]
+        self.unit = (p[:, 1] & 0x40) > 0
+        self.adapt, self.has = (p[:, 3] & 0x20) > 0, (p[:, 3] & 0x10) > 0
+        self.start = np.minimum(4 + np.where(self.adapt, p[:, 4].astype(np.int64) + 1, 0), PACKET)
+        flags = np.where(self.adapt & (p[:, 4] > 0), p[:, 5], 0)
+        self.discontinuity, self.random = (flags & 0x80) > 0, (flags & 0x40) > 0
+
+    def of(self, pid: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the packets with a payload of one kind, without allowed repeats, and which of them do not follow the one before."""
+        own = np.flatnonzero((self.pid == pid) & self.has)
+        counter = (self.p[own, 3] & 0x0F).astype(np.int64)
+        a, b = own[:-1], own[1:]
+        payload = np.arange(PACKET) >= self.start[b, None]
+        same = (np.diff(counter) == 0) & (self.start[a] == self.start[b]) & ((self.p[a] == self.p[b]) | ~payload).all(1)
+        again = np.zeros(len(own), bool)
+        for k in np.flatnonzero(same).tolist():
+            again[k + 1] = not again[k]  # once only: a third one is an error
+        own, counter = own[~again], counter[~again]
+        broken = np.append(False, (np.diff(counter) % 16 != 1) & ~self.discontinuity[own[1:]])[: len(own)]
+        return own, broken
+
+    def sections(self, pid: int) -> Iterator[bytes | None]:
+        """The table sections of one kind without their checksums; None for one that is cut short or damaged."""
+        held: bytes | None = None
+        own, broken = self.of(pid)
+        for i, lost in zip(own.tolist(), broken.tolist(), strict=True):
+            data = self.p[i, self.start[i] :].tobytes()
+            if lost and held:
+                yield None
+                held = None
+            if self.unit[i]:
+                pointer = data[0] if data else 0
+                if held:
+                    held += data[1 : 1 + pointer]
+                    whole, held = _split(held)
+                    yield from whole
+                    if held:  # another one begins before this one has ended
+                        yield None
+                if not data or 1 + pointer > len(data):
+                    yield None
+                    held = None
+                    continue
+                held = data[1 + pointer :]
+            elif held:
+                held += data
+            if held:
+                whole, held = _split(held)
+                yield from whole
+        if held:
+            yield None
+
+
+def _split(data: bytes) -> tuple[list[bytes | None], bytes]:
+    """The whole sections at the start of ``data``, and what is left; stuffing ends them."""
+    out: list[bytes | None] = []
+    while data and data[0] != 0xFF:
+        size = 3 + (int.from_bytes(data[1:3], "big") & 0x0FFF)
+        if len(data) < max(3, size):
+            return out, data
+        section = data[:size]
+        out.append(section[:-4] if size > 12 and section_crc(section) == 0 else None)
+        data = data[size:]
+    return out, b""
 
 
 def demux(stream: bytes) -> Demuxed:
@@ -157,36 +222,30 @@ def demux(stream: bytes) -> Demuxed:
     p = np.frombuffer(stream, np.uint8, n * PACKET).reshape(n, PACKET)
     good = p[:, 0] == SYNC
     out.packets, out.sync_errors = n, int(n - good.sum()) + bool(len(stream) % PACKET)
-    p = p[good]
-    pid = (p[:, 1].astype(np.int64) & 0x1F) << 8 | p[:, 2]
-    unit = (p[:, 1] & 0x40) > 0
-    adapt, has = (p[:, 3] & 0x20) > 0, (p[:, 3] & 0x10) > 0
-    start = np.minimum(4 + np.where(adapt, p[:, 4].astype(np.int64) + 1, 0), PACKET)
-    random = adapt & (p[:, 4] > 0) & ((p[:, 5] & 0x40) > 0)
-    for i in np.flatnonzero((pid == PAT_PID) & unit & has):
-        body = _section(p[i].tobytes(), int(start[i]))
+    packets = Packets(p[good])
+    for body in packets.sections(PAT_PID):
         out.table_errors += body is None
-        for at in range(8, len(body or b"") - 3, 4):
+        for at in range(8, len(body) - 3 if body and body[0] == PAT_TABLE else 0, 4):
             if number := int.from_bytes(body[at : at + 2], "big"):
                 out.programs[number] = int.from_bytes(body[at + 2 : at + 4], "big") & 0x1FFF
-    for i in np.flatnonzero(np.isin(pid, [*out.programs.values()]) & unit & has):
-        body = _section(p[i].tobytes(), int(start[i]))
-        out.table_errors += body is None
-        at = 12 + (int.from_bytes(body[10:12], "big") & 0x0FFF) if body else 0
-        while body and at + 5 <= len(body):
-            out.streams[int.from_bytes(body[at + 1 : at + 3], "big") & 0x1FFF] = body[at]
-            at += 5 + (int.from_bytes(body[at + 3 : at + 5], "big") & 0x0FFF)
+    for pid in dict.fromkeys(out.programs.values()):
+        for body in packets.sections(pid):
+            out.table_errors += body is None
+            if not body or body[0] != PMT_TABLE:
+                continue
+            at = 12 + (int.from_bytes(body[10:12], "big") & 0x0FFF)
+            while at + 5 <= len(body):
+                out.streams[int.from_bytes(body[at + 1 : at + 3], "big") & 0x1FFF] = body[at]
+                at += 5 + (int.from_bytes(body[at + 3 : at + 5], "big") & 0x0FFF)
     out.table_errors += not out.streams
     parts = []
     for stream_pid in out.streams:
-        own = np.flatnonzero((pid == stream_pid) & has)
-        counter = (p[own, 3] & 0x0F).astype(np.int64)
-        out.continuity_errors += int((np.diff(counter) % 16 != 1).sum())
-        q, begin = p[own], start[own]
-        whole = (np.arange(PACKET) >= begin[:, None])
-        data = q[whole].tobytes()
+        own, broken = packets.of(stream_pid)
+        out.continuity_errors += int(broken.sum())
+        q, begin = packets.p[own], packets.start[own]
+        data = q[np.arange(PACKET) >= begin[:, None]].tobytes()
         ends = np.append(0, np.cumsum(PACKET - begin))
-        heads = np.flatnonzero(unit[own])
+        heads = np.flatnonzero(packets.unit[own])
         out.table_errors += not len(heads)
         for a, b in zip(heads, np.append(heads, len(own))[1:], strict=True):
             pes = data[ends[a] : ends[b]]
@@ -199,7 +258,7 @@ def demux(stream: bytes) -> Demuxed:
                 t = pes[9:14]
                 time = (t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1
                 out.times.append(time)
-                if random[own[a]]:
+                if packets.random[own[a]]:
                     out.access.append(time)
             parts.append(pes[9 + head : 6 + length if length else len(pes)])
     out.payload = b"".join(parts)

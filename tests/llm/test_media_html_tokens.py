@@ -50,6 +50,72 @@ def test_damaged_stream():
     assert media_ts.section_crc(b"123456789") == 0x0376E6E7
 
 
+def packet(pid, counter, payload, unit=False, flags=None):
+    """A packet built by hand: payload behind an adaptation field that fills what is left."""
+    room = 184 - len(payload)
+    head = bytes([0x47, 0x40 * unit | pid >> 8, pid & 255, (0x30 if room else 0x10) | counter & 15])
+    field = b"" if not room else bytes([room - 1]) + (bytes([flags or 0]) + b"\xff" * (room - 2) if room > 1 else b"")
+    return head + field + payload
+
+
+def section(table, number, body):
+    head = bytes([table, 0xB0 | (len(body) + 9) >> 8, (len(body) + 9) & 255, number >> 8, number & 255, 0xC1, 0, 0])
+    return head + body + media_ts.section_crc(head + body).to_bytes(4, "big")
+
+
+def by_hand(streams=60, described=20, repeat=(), twice=(), gap=None):
+    """A stream whose program map takes several packets; ``repeat`` and ``twice`` are packets that come two and three times, ``gap`` one after which the counter jumps, marked."""
+    pat = section(0, 1, bytes([0, 0, 0xE0, 16, 0, 7, 0xF0, 0]))
+    es = b"".join(bytes([6, 0xE1, k, 0xF0, described]) + b"d" * described for k in range(streams))
+    pmt = section(2, 7, bytes([0xE1, 0, 0xF0, 0]) + es)
+    out = [packet(0, 0, b"\0" + pat, True)]
+    data, k = b"\0" + pmt + section(0x42, 9, b"another table"), 0
+    while data:
+        out.append(packet(0x1000, k, data[:184], k == 0))
+        data, k = data[184:], k + 1
+    payload = random.Random(3).randbytes(1000)
+    pes = b"\0\0\1\xbd" + (len(payload) + 8).to_bytes(2, "big") + bytes([0x84, 0x80, 5]) + media_ts.stamp(9) + payload
+    counter = 0
+    for n, at in enumerate(range(0, len(pes), 150)):
+        if gap == n:
+            counter += 5
+        own = packet(0x100, counter, pes[at : at + 150], n == 0, 0x80 if gap == n else 0x40 if n == 0 else 0)
+        out += [own] * (1 + (n in repeat) + 2 * (n in twice))
+        counter += 1
+    return b"".join(out), payload, k
+
+
+def test_tables_over_packets():
+    media, payload, n = by_hand()
+    got = media_ts.demux(media)
+    assert n > 5 and got.programs == {7: 0x1000} and sorted(got.streams) == list(range(0x100, 0x100 + 60)) and got.streams[0x100] == 6
+    assert got.payload == payload and got.access == got.times == [9] and got.continuity_errors == 0
+    assert got.table_errors == 59  # streams that the map names and that have no packets
+    cut = media_ts.demux(media[: 188 * 3] + media[188 * 4 :])
+    assert not cut.streams and cut.table_errors
+
+
+def test_repeats_and_discontinuities():
+    for options, errors in (({}, 0), ({"repeat": (0, 2, 6)}, 0), ({"twice": (3,)}, 1), ({"gap": 4}, 0), ({"repeat": (1,), "gap": 2}, 0)):
+        media, payload, _ = by_hand(streams=1, **options)
+        got = media_ts.demux(media)
+        assert got.continuity_errors == errors and (errors or got.payload == payload) and got.times == [9], options
+    media, payload, _ = by_hand(streams=1)
+    plain = media_ts.demux(media[:-188] + media[-188 * 2 : -188] + media[-188:])
+    assert plain.payload == payload and plain.continuity_errors == 0
+    twins = bytearray(media_ts.mux(b"\0" * 64_000))  # equal payloads with counters that go on are no repeats
+    assert media_ts.demux(bytes(twins)).payload == b"\0" * 64_000
+
+
+def test_clashing_names_in_media_and_pieces(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 5)], "doc_id long, text string, payload_bytes string, n_pieces int")
+    got = media_ts.digest(df).first()
+    assert (got.payload_bytes, got.n_pieces, got.text) == (64, 5, "a b")
+    own = sentence_pieces.digest(df, PIECES)
+    assert len(own.columns) == len(set(own.columns)) == 3 + len(sentence_pieces.DIGEST) and own.schema["n_pieces"].dataType == sentence_pieces.DIGEST["n_pieces"].dataType
+    assert own.first().payload_bytes == "x" and own.first().round_trip
+
+
 def test_no_damage_is_fatal():
     r = random.Random(5)
     whole = [media_ts.mux(media_ts.payload_of(r.randbytes(n))) for n in (1, 500, 40_000)]
