@@ -15,7 +15,9 @@ thousand of them (of the short ones, for a short text).
 Defined results: a null text, an empty text or one without a letter is ``und``
 with score 0; ties go to the language that sorts first; repeated rows get equal
 results and count once in the sample; a very long text is scored whole, with
-about 40 bytes of arrays a character; an input column named ``lang_pred`` or
+about 40 bytes of arrays a character; n-grams do not reach over texts; bytes that
+are no UTF-8 count as U+FFFD, which is no letter; over MAX_LANGUAGES different
+values of lang are an error; an input column named ``lang_pred`` or
 ``score`` is replaced, by ``identified`` none is; an empty table gives an empty
 result; without labelled rows every text is ``und``.
 """
@@ -34,13 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import append, cut, filtered, fold
-from .textops import flat, offsets_of, released, slices
+from .textops import flat, offsets_of, released, slices, valid
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 14
 #: Labelled rows of each language that the counts are taken from: all if there are fewer, else about so many.
 MAX_SAMPLE = 1024
 SMOOTHING = 0.5
+#: Languages that a model may have: its matrix, 128 KB a language, is sent to all executors.
+MAX_LANGUAGES = 512
 UNDETERMINED = "und"
 #: A text whose best language is less likely is rejected by ``identified``.
 MIN_SCORE = 0.5
@@ -63,7 +67,8 @@ def letters() -> np.ndarray:
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the n-grams of all texts, text by text; n + 1 offsets into them; which texts have a letter."""
-    points = letters()[np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
+    data, offsets = valid(data, offsets)
+    points = letters()[np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
     head = np.flatnonzero((data & 0xC0) != 0x80)
     bounds = np.searchsorted(head, offsets)
     # runs of what is no letter count as one space
@@ -76,11 +81,15 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     out = np.empty((n, 3), np.uint32)
     one = points * np.uint32(0x9E3779B1)
     out[:, 0] = one
+    start = bounds[:-1][np.diff(bounds) > 0]  # no n-gram goes back into another text
+    second = start[start + 1 < np.append(start[1:], n)] + 1
     two = one.copy()
     two[1:] = (one[:-1] ^ (points[1:] + np.uint32(0x7F4A7C15))) * np.uint32(0x85EBCA6B)
+    two[start] = one[start]
     out[:, 1] = two
     three = two.copy()
     three[2:] = (two[1:-1] ^ (points[2:] * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F)
+    three[start], three[second] = two[start], two[second]
     out[:, 2] = three
     out ^= out >> np.uint32(15)
     out *= np.uint32(0x2C1B3C6D)
@@ -122,6 +131,8 @@ def _sample(docs: DataFrame, max_sample: int) -> DataFrame:
     rates = [(r["lang"], min(max_sample / r["n"], 1.0)) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()]
     if not rates:
         return labelled.select("text", "lang")
+    if len(rates) > MAX_LANGUAGES:
+        raise ValueError(f"{len(rates)} different values of lang, over {MAX_LANGUAGES}: is it a column of languages?")
     rate = F.create_map(*(F.lit(x) for pair in rates for x in pair))[F.col("lang")]
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) < rate * float(1 << 32))
     return cut(chosen.dropDuplicates().select("text", "lang"))

@@ -33,10 +33,24 @@ def release() -> None:
         trim(0)
 
 
-def released(run: Callable) -> Callable:
-    """``run``, a function of a task's batches, with ``release`` at its end."""
+#: What this worker keeps from one task of an operator to the next, by a name; tasks of others drop it.
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` has made in an earlier task of the operator on this worker, or makes now."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def released(run: Callable, keeps: str | None = None) -> Callable:
+    """``run``, a function of a task's batches, with ``release`` at its end; of what is kept only ``keeps`` stays."""
 
     def whole(batches):
+        if keeps not in _kept:
+            _kept.clear()
         try:
             yield from run(batches)
         finally:
@@ -56,6 +70,20 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def valid(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same texts with U+FFFD for what is no UTF-8 (a Parquet file may hold such bytes in a string column)."""
+    first = data[offsets[:-1][np.diff(offsets) > 0]]
+    whole = data.tobytes()
+    try:
+        whole.decode("utf-8")
+        if not ((first & 0xC0) == 0x80).any():  # else two texts make one character
+            return data, offsets
+    except UnicodeDecodeError:
+        pass
+    texts = [whole[a:b].decode("utf-8", "replace").encode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return np.frombuffer(b"".join(texts), np.uint8), offsets_of(np.array([len(t) for t in texts], np.int64))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut between rows into pieces of at most ``limit`` bytes of text, or one row."""
     for batch in batches:

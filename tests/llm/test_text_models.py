@@ -191,3 +191,123 @@ def test_op2_sample_is_bounded_by_ids(spark, monkeypatch):
         quality_rules.fit(spark.createDataFrame(docs[::turn], "doc_id long, text string").repartition(3), spark.createDataFrame(labels[::turn], "doc_id long, quality int"), max_sample=30)
     (x, y), (x2, y2) = seen
     assert len(x) <= 30 and np.array_equal(x, x2) and np.array_equal(y, y2)
+
+
+def test_op2_kept_by_hand(spark, tables):
+    """The query's verdict and score against a walk through each tree, row by row."""
+    d, docs, labels = tables
+    forest = quality_rules.fit(docs.select("doc_id", "text"), labels)
+    got = queries.op2_quality_rules(spark, d).toPandas().set_index("doc_id")
+    assert len(forest.feature) and len(got) == docs.count()
+    for row in docs.select("doc_id", "text").collect():
+        _, x = quality_rules.statistics(*textops.flat(pa.array([row.text], pa.string())))
+        total = forest.base
+        for t in range(len(forest.feature)):
+            at = 0
+            while forest.left[t][at] != at:
+                at = forest.right[t][at] if x[0][forest.feature[t][at]] > forest.threshold[t][at] else forest.left[t][at]
+            total += forest.value[t][at]
+        score = 1 / (1 + np.exp(-total))
+        own = got.loc[row.doc_id]
+        assert abs(own.score - score) < 1e-9 and own.kept == (not own.base_failed and score >= quality_rules.MIN_SCORE)
+
+
+def test_op3_scores_by_hand(spark, tables):
+    """The query's scores against a plain forward pass of a network that is fitted anew, passage by passage."""
+    d, docs, labels = tables
+    network = quality_classifier.fit(docs.select("doc_id", "text"), labels)
+    got = {r.doc_id: r for r in queries.op3_quality_classifier(spark, d).collect()}
+    w = network.weights
+    for row in docs.select("doc_id", "text").collect():
+        counts, _ = quality_classifier.passages(*textops.flat(pa.array([row.text], pa.string())))
+        top, bottom = np.zeros(len(w["score"])), 0.0
+        for own in counts.astype(float):
+            held = max(own[-3], 1)
+            x = np.append(np.append(own[:-3] / held, own[-3] / 64), own[-2:] / held)
+            h = np.tanh((x - network.mean) / network.spread @ w["encode"] + w["encode_b"])
+            e = np.exp(np.dot(np.tanh(h @ w["tanh"]) / (1 + np.exp(-(h @ w["gate"]))), w["attend"]))
+            top, bottom = top + e * h, bottom + e
+        score = 1 / (1 + np.exp(-(top / bottom @ w["score"] + w["score_b"][0])))
+        assert abs(got[row.doc_id].score - score) < 1e-5 and got[row.doc_id].predicted == int(got[row.doc_id].score >= 0.3)
+
+
+def plain_grams(text):
+    """Buckets of a text's n-grams, one character after the other."""
+    m, points = 1 << 32, []
+    for c in text:
+        low = c.lower() if c.isalpha() else " "
+        p = ord(low) if len(low) == 1 else ord(c)
+        if not (p == 32 and points and points[-1] == 32):
+            points.append(p)
+    out = []
+    for i, p in enumerate(points):
+        one = p * 0x9E3779B1 % m
+        pair = lambda k: (points[k - 1] * 0x9E3779B1 % m ^ (points[k] + 0x7F4A7C15) % m) * 0x85EBCA6B % m
+        two = pair(i) if i else one
+        three = (pair(i - 1) ^ p * 0xC2B2AE35 % m) * 0x27D4EB2F % m if i > 1 else two
+        for h in (one, two, three):
+            h ^= h >> 15
+            out.append((h * 0x2C1B3C6D % m) >> 18)
+    return out
+
+
+def test_op5_by_hand(spark, tables):
+    """The query against counts, priors and posteriors of a plain loop over the rows that may be learned from."""
+    d, docs, _ = tables
+    rows = docs.select("doc_id", "text", "lang", fold().alias("fold")).collect()
+    size, smooth, learned = language_id.BUCKETS, language_id.SMOOTHING, {}
+    for lang, text in {(r.lang, r.text, r.doc_id): (r.lang, r.text) for r in rows if r.lang and r.text is not None and r.fold}.values():
+        learned.setdefault(lang, Counter()).update(plain_grams(text))
+    langs = sorted(learned)
+    total = {k: sum(c.values()) + smooth * size for k, c in learned.items()}
+    got = {r.doc_id: r for r in queries.op5_language_id(spark, d).collect()}
+    assert len(langs) > 1 and len(got) == len(rows)
+    for r in rows:
+        own = got[r.doc_id]
+        assert own.held_out == (r.fold == 0)
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (own.lang_pred, own.score) == ("und", 0)
+            continue
+        times = Counter(plain_grams(r.text))
+        joint = np.array([sum(n * np.log((learned[k][b] + smooth) / total[k]) for b, n in times.items()) for k in langs])
+        score = 1 / np.exp(joint - joint.max()).sum()
+        assert own.lang_pred == langs[int(joint.argmax())] and abs(own.score - score) < 1e-6
+
+
+def test_grams_do_not_reach_over_texts():
+    texts = ["ab c", "", "x", None, "É", "ßa", " a", "12", "abc def"]
+    buckets, bounds, _ = language_id.grams(*textops.flat(pa.array(texts)))
+    for k, t in enumerate(texts):
+        assert buckets[bounds[k] : bounds[k + 1]].tolist() == plain_grams(t or ""), t
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    df = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(10)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="different values"):
+        language_id.fit(df)
+
+
+def test_bytes_that_are_no_utf8(spark):
+    """A Parquet string column may hold any bytes: no operator fails, and other rows keep their results."""
+    import public_tokenizers
+
+    from sieveline.llm import packing, sentence_pieces, simhash, substring_dedup, suffix_dedup
+
+    good = spark.createDataFrame([(1, "der Hund und die Katze gehen heim é", "de"), (2, "the dog and the cat go home", "en"), (4, "é", "de")], "doc_id long, text string, lang string")
+    bad = spark.createDataFrame([(3,)], "doc_id long").selectExpr("doc_id", "cast(X'41C320FF42E282' as string) as text", "'en' as lang")
+    both = good.union(bad).coalesce(1).orderBy("doc_id")
+    model = language_id.fit(good)
+    pieces, bpe = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
+    for of in (
+        lambda df: language_id.annotate(df, model, ["doc_id"]), lambda df: sentence_pieces.digest(df, pieces, keep=["doc_id"]), lambda df: packing.pack(df, bpe).select("doc_id", "length", "ids_crc32"), substring_dedup.shorten, suffix_dedup.shorten,
+        simhash.component_ids, lambda df: quality_classifier.annotate(df, quality_classifier.Network(np.zeros(quality_classifier.WIDTH), np.ones(quality_classifier.WIDTH), {k: np.ones(s) for k, s in {"encode": (quality_classifier.WIDTH, 5), "encode_b": (5,), "tanh": (5, 3), "gate": (5, 3), "attend": (3,), "score": (5,), "score_b": (1,)}.items()}), ["doc_id"]),
+    ):
+        want, got = ({r.doc_id: tuple(r) for r in of(df).collect()} for df in (good, both))
+        assert set(got) == {1, 2, 3, 4} and {k: got[k] for k in want} == want
+    texts = ["a", "é", None, "", "b"]
+    data, offsets = textops.flat(pa.array(texts))
+    assert textops.valid(data, offsets)[0] is data
+    halves = np.frombuffer("é".encode(), np.uint8)
+    fixed, at = textops.valid(halves, np.array([0, 1, 2]))
+    assert fixed.tobytes().decode() == "��" and at.tolist() == [0, 3, 6]
