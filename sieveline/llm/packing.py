@@ -14,7 +14,9 @@ Pieces for the tokenizer are cut by array operations that follow its published
 pattern; every distinct piece is encoded by the tokenizer itself.
 
 Defined results: a null or empty text is the end id alone; a text longer than a
-sequence is cut; repeated rows are packed one by one, also under the same id;
+sequence is cut; of documents of one length the one that came first is placed
+first, and of sequences of one cost the first takes it; bytes that are no UTF-8
+count as U+FFFD; repeated rows are packed one by one, also under the same id;
 an empty table gives an empty result; columns beside id and text are not looked
 at, whatever their names; the id must be an integer (``pack`` says so before it
 runs).  A text with the string of a special token is encoded whole by the
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import whole_number
-from .textops import CHUNK_BYTES, flat, released, slices
+from .textops import CHUNK_BYTES, flat, kept, released, slices, valid
 from .vocab import Encoder
 
 CAPACITY = 2048
@@ -219,9 +221,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     """One row per piece; ``with_ids`` adds the ids themselves.  Sequence ids are unique over all tasks."""
     whole_number(docs, id_col)
     names = [c.split()[0] for c in SCHEMA.split(", ")] + ["ids"] * with_ids
+    name = f"packing {tokenizer_path} {special_as_text}"  # a worker's tokenizer and pieces serve its next tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, base = tokenizer_encoder(tokenizer_path, special_as_text), Packer(capacity), TaskContext.get().partitionId() << 33
+        encoder, packer, base = kept(name, lambda: tokenizer_encoder(tokenizer_path, special_as_text)), Packer(capacity), TaskContext.get().partitionId() << 33
 
         def batch_of(placed: list[tuple[Piece, int, int]]) -> pa.RecordBatch:
             rows = [(doc, before, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, base + k, offset) for (doc, before, ids, total), k, offset in placed]
@@ -232,11 +235,11 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
         for batch in slices(batches, limit=CHUNK):
             placed = []
-            for doc, ids in zip(batch.column(0).to_pylist(), document_ids(encoder, *flat(batch.column(1)), end_id), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), document_ids(encoder, *valid(*flat(batch.column(1))), end_id), strict=True):
                 placed += packer.add(doc, ids)
             if placed:
                 yield batch_of(placed)
         if placed := [*packer.end()]:
             yield batch_of(placed)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), SCHEMA + ", ids array<int>" * with_ids)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run, name), SCHEMA + ", ids array<int>" * with_ids)
