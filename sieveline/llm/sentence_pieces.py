@@ -15,7 +15,8 @@ words between can be encoded one by one, each distinct word once per batch.
 Defined results: a null text has null ids; an empty text has none, and decodes
 to an empty text; decoding gives back any text without U+2581 exactly (that
 character comes back as a space, as the format has it); null ids decode to
-null; bytes that are no UTF-8 decode to U+FFFD; a very long text is encoded whole,
+null; bytes that are no UTF-8 decode to U+FFFD, and count as that where a text
+holds them; a very long text is encoded whole,
 word by word; repeated rows give repeated results; an input column that has the
 name of a result is replaced; an empty table gives an empty result.
 """
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .frames import append
-from .textops import flat
+from .textops import flat, valid
 from .vocab import Encoder
 
 #: Types of pieces, the space mark, and what an unknown costs beyond the lowest score.
@@ -186,7 +187,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | N
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         column = batch.column(batch.schema.get_field_index(text_col))
-        return [_lists(*codec(path).encode(*flat(column)), column.is_null())]
+        return [_lists(*codec(path).encode(*valid(*flat(column))), column.is_null())]
 
     return append(df, text_col, T.StructType([T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]), make, keep)
 
@@ -214,13 +215,16 @@ def digest(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | N
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         column = batch.column(batch.schema.get_field_index(text_col))
         own, rows = codec(path), []
-        ids, at = own.encode(*flat(column))
-        for text, a, b in zip(column.to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-            if text is None:
+        data, offsets = valid(*flat(column))
+        ids, at = own.encode(data, offsets)
+        texts = data.tobytes()
+        for k, null in enumerate(column.is_null().to_pylist()):
+            if null:
                 rows.append((None, None, None, None))
                 continue
-            back = own.decode(ids[a:b].tolist())
-            rows.append((b - a, zlib.crc32(ids[a:b].astype("<u4").tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == text))
+            its = ids[at[k] : at[k + 1]]
+            back = own.decode(its.tolist()).encode()
+            rows.append((len(its), zlib.crc32(its.astype("<u4").tobytes()), hashlib.sha256(back).hexdigest(), back == texts[offsets[k] : offsets[k + 1]]))
         return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]
 
     return append(df, text_col, DIGEST, make, keep)

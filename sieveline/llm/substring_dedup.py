@@ -194,7 +194,7 @@ def _shorten(window: int, with_text: bool):
                 out = np.full(int(lengths.sum()) + max(len(lengths) - 1, 0), 32, np.uint8)
                 out[np.arange(int(lengths.sum())) + np.repeat(np.arange(len(lengths)), lengths)] = body[np.repeat(~gone, words.lengths)]
                 kept = out.tobytes()
-                rows.append((doc, n, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
+                rows.append((doc, n, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             arrays = [pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays if with_text else arrays[:4], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text])
