@@ -3,7 +3,9 @@
 Alternating large-star and small-star steps (Kiveris et al., 2014) shrink the
 distance to the smallest node of each component; every step aggregates by node
 before it joins, so a node with very many links is combined on the map side and
-split by adaptive execution.  Each round is checkpointed.
+split by adaptive execution.  Before each round every part of at most about ``PART``
+links is joined up by itself; where that is one part, nothing is left to do.  Each
+round is checkpointed.
 """
 
 from __future__ import annotations
@@ -47,22 +49,34 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
 
 
+#: Links of a part; so many are joined up by one task.
+PART = 1 << 18
+
+
 def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first())
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    return links.where("u != v").mapInArrow(_contract, "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """From links (u, v) of longs to (u, v) with v the smallest node that u reaches; only nodes u > v have a row."""
-    links = cut(links.select("u", "v").where("u != v").mapInArrow(_contract, "u long, v long").distinct())
+    links = cut(_contracted(links.select("u", "v")).distinct())
     state = _state(links)
     while True:
+        parts = max(1, -(-state[0] // PART))
+        links = cut(_contracted(links.coalesce(parts)))
+        if parts == 1:  # no link is outside
+            return links
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        links = cut(small.where("u != v").distinct())
+        small = down.join(least, "u").select("m", F.explode(F.array("u", "v")).alias("u")).select("u", F.col("m").alias("v"))
+        links = cut(small.where("u != v").distinct().coalesce(parts))
         if (now := _state(links)) == state:
             return links
         state = now

@@ -337,8 +337,10 @@ def test_near_copies_of_a_table(spark):
     assert Counter(x.doc_id for x in got) == similar_groups(docs)
 
 
+@pytest.mark.parametrize("part", [5, 1 << 18])
 @pytest.mark.parametrize("shape", ["chain", "star", "random", "none"])
-def test_components(spark, shape):
+def test_components(spark, monkeypatch, shape, part):
+    monkeypatch.setattr(components, "PART", part)
     r = random.Random(4)
     links = {"chain": [(i, i + 1) for i in range(60)], "star": [(5, i) for i in range(40)], "random": [(r.randrange(80), r.randrange(80)) for _ in range(50)], "none": []}[shape]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "u long, v long").repartition(4)).collect()))
