@@ -7,7 +7,6 @@ import logging
 import os
 import sys
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +15,7 @@ from .config import MODES, TriageOptions
 from .operators import scoring
 from .plans.triage import report_results, scan_targets
 from .sinks import quarantine, reports
-from .sources.files import exists
+from .sources.files import exists, is_mounted
 from .streaming.watch import Watcher
 
 LOG = logging.getLogger("sieveline")
@@ -65,10 +64,9 @@ def emit(results: DataFrame, report_json: str | None, report_html: str | None) -
             return 0
         for line in reports.console_lines(results):
             print(line)
-        for path, write in ((report_json, reports.write_json), (report_html, reports.write_html)):
+        for path, save in ((report_json, reports.save_json), (report_html, reports.save_html)):
             if path:
-                Path(path).parent.mkdir(parents=True, exist_ok=True)
-                write(reports.dicts(results), path)
+                save(results, os.path.abspath(path) if is_mounted(path) else path)
         return scoring.exit_code(results).first()[0]
     finally:
         results.unpersist()
@@ -102,8 +100,7 @@ def run_report(args: argparse.Namespace) -> int:
     if args.html:
         if not args.output:
             raise SystemExit("--html needs --output")
-        Path(args.output).parent.mkdir(parents=True, exist_ok=True)
-        reports.write_html(reports.dicts(results), args.output)
+        reports.save_html(results, os.path.abspath(args.output) if is_mounted(args.output) else args.output)
     return 0
 
 
@@ -111,10 +108,11 @@ def run_quarantine(args: argparse.Namespace) -> int:
     if (args.path is None) == (args.report is None):
         raise SystemExit("name a path or a report")
     if args.report:
-        moved = quarantine.quarantine_results(report_results(session(1), args.report), args.dest, args.bands).collect()
-        for row in moved:
+        code = 0
+        for row in quarantine.quarantine_results(report_results(session(1), args.report), args.dest, args.bands).toLocalIterator():
             print(f"{row['path']}: {row['stored'] or row['error']}")
-        return 3 if any(row["error"] for row in moved) else 0
+            code = scoring.EXIT_ERROR if row["error"] else code
+        return code
     try:
         quarantine.quarantine(args.path, args.dest)
     except FileNotFoundError as e:

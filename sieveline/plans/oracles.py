@@ -218,6 +218,9 @@ def oracle_sql() -> dict[str, str]:
         "issue_counts": _with("SELECT path, greatest(n_issues, 1)::BIGINT AS n_evidence FROM results"),
         "exit_code": _with("SELECT coalesce(max(CASE severity WHEN 'High' THEN 2 WHEN 'Suspicious' THEN 1 WHEN 'Caution' THEN 1 ELSE 0 END), 0)::BIGINT AS exit_code FROM results"),
         "path_sort_rank": _with("SELECT path, (row_number() OVER (PARTITION BY string_split(path, '/')[1] ORDER BY string_split(path, '/')))::BIGINT AS place FROM vf", FILES),
+        "path_rank": _with("SELECT path, row_number() OVER (ORDER BY string_split(path, '/'))::BIGINT AS place FROM (SELECT path FROM vf UNION ALL SELECT 'conv/' || conv_id || '/' || turn || '.txt' FROM conversations)", FILES),
+        "report_saved": _with("SELECT path, sha256, size, score, severity, n_issues, row_number() OVER (ORDER BY string_split(path, '/'))::BIGINT AS place FROM results"),
+        "report_page": _with("SELECT path, severity, score FROM results"),
         "console_rows": _with("SELECT path, severity, score::VARCHAR AS score, coalesce(codes, '-') AS issues FROM results"),
         "console_widths": _with("SELECT max(length(path))::BIGINT AS path_width, max(length(severity))::BIGINT AS severity_width, max(length(score::VARCHAR))::BIGINT AS score_width, max(length(coalesce(codes, '-')))::BIGINT AS issues_width FROM results"),
         "watch_delta": """WITH now AS (SELECT 'user_' || user_id AS path, max(ts) AS t FROM events GROUP BY ALL), before AS (SELECT 'user_' || user_id AS path, max(ts) AS t FROM events WHERE event_id % 2 = 0 GROUP BY ALL)

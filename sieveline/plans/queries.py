@@ -14,10 +14,11 @@ from ..functions.archive import zip_members
 from ..operators import findings, scoring
 from ..sinks import reports
 from ..sources import virtual
-from ..sources.report import files_of
+from ..sources.report import files_in, read_report
 from ..sources.files import shared_folder
 from ..streaming.changes import CHANGES, ChangeLog, changed, merged
-from .triage import explode_issues, file_columns, scan, scan_relation
+from .order import ranked
+from .triage import explode_issues, file_columns, in_path_order, scan, scan_relation
 
 STRICT = TriageOptions(pdf_rules="strict", office_rules="strict", zip_rules="strict", image_rules="strict")
 SMALL_FILES = 4000
@@ -158,6 +159,30 @@ def path_sort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("path", _long(F.row_number().over(Window.partitionBy("folder").orderBy(C.path_order(F.col("path"))))).alias("place"))
 
 
+def path_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each file among all files, by path components."""
+    files = virtual.documents(spark, sf_dir).select("path").union(virtual.conversations(spark, sf_dir).select("path"))
+    return ranked(files, C.path_order(F.col("path")))
+
+
+def report_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report written by tasks as one document, and read back in splits: each file's place in it with what it says."""
+    place = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}.json"
+    reports.save_json(in_path_order(_results(spark, sf_dir)), place)
+    rows = read_report(spark, place).select("path", "sha256", "size", _long("score").alias("score"), "severity", _long(F.size("issues")).alias("n_issues"))
+    return ranked(rows, C.path_order(F.col("path")))
+
+
+def report_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a saved page that name a file, with their band and score."""
+    place = f"{shared_folder(spark)}/page-{uuid.uuid4().hex}.html"
+    reports.save_html(in_path_order(_results(spark, sf_dir)), place)
+    line = F.regexp_extract
+    parts = r'^<tbody><tr><th><span class="s\d">(\w+)</span><th>(\d+)<th>(.*)$'
+    rows = spark.read.text(place).where(F.col("value").startswith("<tbody>"))
+    return rows.select(line("value", parts, 3).alias("path"), line("value", parts, 1).alias("severity"), _long(line("value", parts, 2)).alias("score"))
+
+
 def console_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.console_columns(_results(spark, sf_dir))
 
@@ -231,7 +256,7 @@ def empty_exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports read back, one row per file and finding."""
-    files = virtual.reports(spark, sf_dir).select(F.explode(files_of(F.col("report"))).alias("f")).select("f.*")
+    files = virtual.reports(spark, sf_dir).select(F.explode(files_in(F.col("report"))).alias("f")).select("f.*")
     return files.select("path", "size", _long("score").alias("score"), F.col("issues")[0]["code"].alias("code"), F.coalesce(F.array_join("reasons", ";"), F.lit("none")).alias("reasons"))
 
 
@@ -308,6 +333,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         triage_full, fingerprint_docs, is_text_docs, head_and_tail, size_gate, double_extension, pe_header, pdf_tokens, pdf_rules_normal, pdf_rules_strict, url_extract, url_hosts_pages,
         zip_member_legacy, zip_member_rules, zip_member_rules_strict, office_rules_members, office_macro_docs, image_trailing, image_rules, marker_strings, issues_dedup, weighted_score, weighted_score_join,
-        severity_bands, severity_summary, issue_counts, exit_code, path_sort_rank, console_rows, console_widths, watch_delta, targets_union, target_paths, json_issue, scan_tree,
+        severity_bands, severity_summary, issue_counts, exit_code, path_sort_rank, path_rank, report_saved, report_page, console_rows, console_widths, watch_delta, targets_union, target_paths, json_issue, scan_tree,
         archive_members, archives_scanned, office_archives_scanned, error_rows, error_exit_code, empty_exit_code, report_files, large_exif, url_size_limit, markers_by_option, rules_off, watch_state, watch_log, watch_stream, genuine_replacement_characters,
     )}

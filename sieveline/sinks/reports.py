@@ -1,8 +1,8 @@
 """Reports of results: JSON, console table and HTML.
 
-A report is one document for people: its rows pass through the driver one
-partition at a time and are written as they come, none is kept.  ``write_rows``
-is the sink for results of any size.
+``save_json`` and ``save_html`` are written by tasks (see ``document``), on any
+store; ``write_json`` and ``write_html`` take rows that the driver has, one after
+the other.  ``write_rows`` writes JSON lines.
 """
 
 from __future__ import annotations
@@ -13,10 +13,13 @@ import shlex
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .document import write_document
+
 HEADERS = ("Path", "Severity", "Score", "Issues")
 #: Shade of each band and of each finding's severity in the page; others are like the last.
 SHADES = {"High": "s3", "Suspicious": "s2", "Caution": "s1", "Safe": "s0", "high": "s3", "medium": "s2", "low": "s1"}
@@ -52,6 +55,12 @@ def write_json(results: Iterable[dict], path: str) -> None:
         f.write("\n  ]\n}\n")
 
 
+def save_json(results: DataFrame, path: str) -> None:
+    """The same document, written by tasks in the order of the results."""
+    head = f'{{\n  "generated_at": {json.dumps(utc_now())},\n  "files": [\n'
+    write_document(results, path, head, partial(json.dumps, indent=2), ",\n", lambda _: "\n  ]\n}\n")
+
+
 def console_columns(results: DataFrame) -> DataFrame:
     """The table's cells as text."""
     codes = F.array_join(F.transform("issues", lambda i: i["code"]), ", ")
@@ -88,21 +97,43 @@ def _finding(issue: dict) -> str:
     return f"<tr><td>{_shaded(issue.get('severity') or 'low')}<td><b>{html.escape(issue.get('code', ''))}</b><td>{html.escape(issue.get('description', ''))}{evidence}\n"
 
 
+HTML_HEAD = f'<!DOCTYPE html>\n<html lang="en"><meta charset="utf-8"><title>Findings by file</title><style>{STYLE}</style>\n<main><table>\n'
+
+
+def band_of(r: dict) -> str:
+    return r.get("severity") or "Safe"
+
+
+def html_rows(r: dict) -> str:
+    """A file's group of rows: band, score and name, findings, what to run next."""
+    path, issues = r.get("path", ""), r.get("issues") or ()
+    out = [f"<tbody><tr><th>{_shaded(band_of(r))}<th>{html.escape(str(r.get('score', 0)))}<th>{html.escape(path)}\n"]
+    if r.get("error"):
+        out.append(f"<tr><td><td>not read<td>{html.escape(r['error'])}\n")
+    out.append("".join(map(_finding, issues)) or "<tr><td><td><td>nothing found\n")
+    if issues:
+        out.append(f"<tr><td><td>to set it aside<td><kbd>{html.escape(f'python -m sieveline quarantine {shlex.quote(path)} --dest quarantine')}</kbd>\n")
+    return "".join(out)
+
+
+def html_tail(totals: Counter[str]) -> str:
+    counts = ", ".join(f"{_shaded(band)} {n}" for band, n in sorted(totals.items()))
+    return f"</table>\n<section id=totals><h1>Findings by file</h1><p>Contents were only inspected. Files: {counts or 'none'}</section></main>\n"
+
+
 def html_parts(results: Iterable[dict]) -> Iterator[str]:
-    """A page with one table: a group of rows for each file (band, score and name, findings, what to run next), then how many files each band has."""
-    yield f'<!DOCTYPE html>\n<html lang="en"><meta charset="utf-8"><title>Findings by file</title><style>{STYLE}</style>\n<main><table>\n'
+    """A page with one table, then how many files each band has."""
+    yield HTML_HEAD
     totals: Counter[str] = Counter()
     for r in results:
-        band, path, issues = r.get("severity") or "Safe", r.get("path", ""), r.get("issues") or ()
-        totals[band] += 1
-        yield f"<tbody><tr><th>{_shaded(band)}<th>{html.escape(str(r.get('score', 0)))}<th>{html.escape(path)}\n"
-        if r.get("error"):
-            yield f"<tr><td><td>not read<td>{html.escape(r['error'])}\n"
-        yield "".join(map(_finding, issues)) or "<tr><td><td><td>nothing found\n"
-        if issues:
-            yield f"<tr><td><td>to set it aside<td><kbd>{html.escape(f'python -m sieveline quarantine {shlex.quote(path)} --dest quarantine')}</kbd>\n"
-    counts = ", ".join(f"{_shaded(band)} {n}" for band, n in sorted(totals.items()))
-    yield f"</table>\n<section id=totals><h1>Findings by file</h1><p>Contents were only inspected. Files: {counts or 'none'}</section></main>\n"
+        totals[band_of(r)] += 1
+        yield html_rows(r)
+    yield html_tail(totals)
+
+
+def save_html(results: DataFrame, path: str) -> None:
+    """The same page, written by tasks in the order of the results."""
+    write_document(results, path, HTML_HEAD, html_rows, "", html_tail, band_of)
 
 
 def write_html(results: Iterable[dict], path: str) -> None:

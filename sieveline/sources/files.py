@@ -69,13 +69,21 @@ class Mounted:
         """The file for reading by place."""
         return open(path, "rb")
 
+    def create(self, path: str) -> io.BufferedIOBase:
+        """A new file to write to."""
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        return open(path, "xb")
+
+    def rename(self, path: str, to: str) -> None:
+        """Give a file its name, in place of another one that has it."""
+        os.replace(path, to)
+
     def write(self, path: str, data: bytes) -> None:
         """Write a small file at once: readers see all of it or nothing."""
-        os.makedirs(os.path.dirname(path), exist_ok=True)
         part = f"{path}.{uuid.uuid4().hex}.part"
-        with open(part, "xb") as f:
+        with self.create(part) as f:
             f.write(data)
-        os.replace(part, path)
+        self.rename(part, path)
 
     def remove(self, path: str) -> None:
         """Remove a file, or a folder with all that is in it; none is no error."""
@@ -137,6 +145,27 @@ class Placed(io.RawIOBase):
         super().close()
 
 
+class Written(io.RawIOBase):
+    """A stream of a store that is written to."""
+
+    def __init__(self, store: Store, stream):
+        self.store, self.stream = store, stream
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        with self.store._told():
+            self.stream.write(bytearray(data))
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            with self.store._told():
+                self.stream.close()
+        super().close()
+
+
 class Store:
     """A store by its Hadoop file system.  ``settings`` is the session's Hadoop configuration as XML."""
 
@@ -204,18 +233,24 @@ class Store:
             fs, place = self._at(path)
             return io.BufferedReader(Placed(self, fs.open(place), fs.getFileStatus(place).getLen()), 64 << 10)
 
-    def write(self, path: str, data: bytes) -> None:
+    def create(self, path: str) -> io.BufferedIOBase:
         with self._told():
             fs, place = self._at(path)
-            _, part = self._at(f"{path}.{uuid.uuid4().hex}.part")
-            stream = fs.create(part, False)
-            try:
-                stream.write(bytearray(data))
-            finally:
-                stream.close()
-            fs.delete(place, False)
-            if not fs.rename(part, place):
-                raise OSError(f"{path} could not be written")
+            return io.BufferedWriter(Written(self, fs.create(place, False)), BLOCK)
+
+    def rename(self, path: str, to: str) -> None:
+        with self._told():
+            fs, place = self._at(path)
+            _, target = self._at(to)
+            fs.delete(target, False)
+            if not fs.rename(place, target):
+                raise OSError(f"{to} could not be written")
+
+    def write(self, path: str, data: bytes) -> None:
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        with self.create(part) as f:
+            f.write(data)
+        self.rename(part, path)
 
     def remove(self, path: str) -> None:
         with self._told():

@@ -1,13 +1,16 @@
 """Listing and reading files of a mounted folder and of another store, the log of changes, watch mode."""
 
 import builtins
+import hashlib
 import io
+import json
 import os
 import random
 import subprocess
 import sys
 import time
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
@@ -18,6 +21,7 @@ from sieveline import TriageOptions, scan
 from sieveline.operators import findings
 from sieveline.plans import triage
 from sieveline.schemas import FILE
+from sieveline.sinks import quarantine
 from sieveline.sources import facts, tree, virtual
 from sieveline.sources.files import Mounted, files_of
 from sieveline.streaming.changes import CHANGES, ChangeLog, committed, last_manifest
@@ -343,3 +347,68 @@ def test_one_search_a_content(spark, sf_dir):
     """The plan of a scan searches a content once: one regular expression over it for each kind of file, and the branches exclude each other."""
     plan = triage.scan_relation(virtual.documents(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Contains(content") == 0 and plan.count("regexp_extract_all(decode(content") <= 3 and plan.count("Relation") == 1
+
+
+def result_rows(spark, rows):
+    return spark.createDataFrame(rows, "path string, sha256 string, severity string")
+
+
+def sha(data):
+    return hashlib.sha256(data).hexdigest()
+
+
+@pytest.mark.parametrize("kind", ["mounted", "store"])
+def test_quarantine_into_any_store(spark, folder, store, tmp_path, kind):
+    """Files of one name from several folders, one name taken before, a changed file and a missing one."""
+    root, dest = (str(folder), str(tmp_path / "q")) if kind == "mounted" else (store, f"{store}/q")
+    files, place = files_of(spark, dest)
+    files.write(f"{place}/big", b"another big")
+    deep = [f"{root}/d{i}/x/y/deep.exe" for i in range(3)]
+    rows = [(p, sha(b"MZ"), "High") for p in deep] + [(f"{root}/big", sha(b"x" * (LIMIT + 1)), "High"), (f"{root}/_under", sha(b"other"), "High"), (f"{root}/gone", sha(b""), "High"), (f"{root}/.hidden", sha(b"h"), "Safe")]
+    got = {r["path"]: r for r in quarantine.quarantine_results(result_rows(spark, rows + rows[:1]), dest).collect()}
+    assert len(got) == 6 and "changed" in got[f"{root}/_under"]["error"] and got[f"{root}/gone"]["error"] and files.exists(f"{root}/.hidden") and files.exists(f"{root}/_under")
+    places = [got[p]["stored"] for p in (*deep, f"{root}/big")]
+    assert len(set(places)) == 4 and sum(p.endswith("/deep.exe") for p in places) == 1 and not places[3].endswith("/big") and all(p.endswith(".exe") for p in places[:3])
+    assert [files.read(p) for p in places] == [b"MZ"] * 3 + [b"x" * (LIMIT + 1)] and files.read(f"{place}/big") == b"another big"
+    assert [json.loads(files.read(quarantine.note_of(p)))["original_path"] for p in places] == [*deep, f"{root}/big"]
+    assert not any(files.exists(p) for p in (*deep, f"{root}/big")) and not any("incoming" in e.path for e in files.entries(place))
+    assert quarantine.unfinished(spark, dest) == []
+
+
+def test_attempts_of_one_move(tmp_path):
+    """A second attempt, at any point of the first one, ends as the first."""
+    source, place, files = str(tmp_path / "s" / "a.exe"), str(tmp_path / "q" / "a.exe"), Mounted()
+
+    def attempt():
+        quarantine.move(files, source, files, place, sha(b"MZ"))
+
+    files.write(source, b"MZ")
+    attempt()
+    attempt()
+    for left in ("note", "place", "incoming"):  # where the first attempt ended
+        files.remove(str(tmp_path / "q"))
+        files.write(source, b"MZ")
+        files.write({"note": quarantine.note_of(place), "place": place, "incoming": f"{place}.incoming-1"}[left], b"MZ" if left == "place" else b"{}")
+        attempt()
+        assert files.read(place) == b"MZ" and not files.exists(source)
+    with ThreadPoolExecutor(8) as pool:
+        for _ in range(20):
+            files.remove(str(tmp_path / "q"))
+            files.write(source, b"MZ")
+            list(pool.map(lambda _: attempt(), range(8)))
+            assert files.read(place) == b"MZ" and not files.exists(source) and sorted(e.path for e in files.entries(str(tmp_path / "q"))) == [place, quarantine.note_of(place)]
+    with pytest.raises(FileNotFoundError):
+        quarantine.move(files, str(tmp_path / "none"), files, str(tmp_path / "q" / "none"), sha(b""))
+
+
+def test_quarantine_resumes(spark, folder, tmp_path, monkeypatch):
+    dest, path = str(tmp_path / "q"), str(folder / "d0" / "x" / "y" / "deep.exe")
+    rows = result_rows(spark, [(path, sha(b"MZ"), "High")])
+    carry_out = quarantine.carry_out
+    monkeypatch.setattr(quarantine, "carry_out", lambda *_: (_ for _ in ()).throw(RuntimeError("the end")))
+    with pytest.raises(RuntimeError):
+        quarantine.quarantine_results(rows, dest)
+    monkeypatch.setattr(quarantine, "carry_out", carry_out)
+    assert os.path.exists(path) and len(quarantine.unfinished(spark, dest)) == 1
+    (done,) = quarantine.resume(spark, dest)
+    assert [r["stored"] for r in done.collect()] == [f"{dest}/deep.exe"] and not os.path.exists(path) and quarantine.resume(spark, dest) == []
