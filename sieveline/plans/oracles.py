@@ -248,5 +248,7 @@ def oracle_sql() -> dict[str, str]:
         "watch_state": "SELECT 'user_' || user_id AS path, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS known_at FROM events WHERE event_id % 3 < 2 GROUP BY user_id",
         "watch_log": f"{LISTINGS} SELECT path, strftime(max(t), '%Y-%m-%d %H:%M:%S.%f') AS known_at, max(generation) AS generation FROM changes GROUP BY path",
         "watch_stream": f"{LISTINGS} SELECT path, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS changed_at, length, generation FROM changes",
+        "watch_ticks": _with("SELECT CASE WHEN k = 0 THEN 0 ELSE 1 END::BIGINT AS batch, path, sha256, score, severity FROM (SELECT *, regexp_extract(path, 'doc_([0-9]+)', 1)::BIGINT AS id FROM results), (SELECT unnest([0, 1]) AS k) WHERE CASE WHEN k = 0 THEN id % 2 = 0 ELSE id % 2 = 1 OR id % 10 = 0 END"),
+        "quarantined": _with("SELECT path, CASE WHEN severity IN ('High', 'Suspicious') THEN regexp_extract(path, '[^/]*$') ELSE '' END AS stored, sha256 FROM results"),
         "genuine_replacement_characters": "SELECT 'pages/' || page_id || '.html' AS path, 'url' AS code, 'http://a.b/x' || chr(65533) || 'y' || chr(64976) AS evidence FROM pages",
     }

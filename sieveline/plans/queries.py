@@ -7,16 +7,19 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import TriageOptions
 from ..functions import columns as C
 from ..functions.archive import zip_members
 from ..operators import findings, scoring
-from ..sinks import reports
+from ..schemas import RESULT
+from ..sinks import quarantine, reports
 from ..sources import virtual
 from ..sources.report import files_in, read_report
 from ..sources.files import shared_folder
 from ..streaming.changes import CHANGES, ChangeLog, changed, merged
+from ..streaming.watch import Watcher
 from .order import ranked
 from .triage import explode_issues, file_columns, in_path_order, scan, scan_relation
 
@@ -322,6 +325,34 @@ def watch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changes(spark.read.schema(CHANGES).parquet(out))
 
 
+def _below(folder: str) -> Column:
+    """A path without the folder that it is in."""
+    return F.substring_index("path", f"/{folder.rpartition('/')[2]}/", -1)
+
+
+def watch_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What watch mode reports of real files: half of them, then the others and those that are written again."""
+    files, work = virtual.documents(spark, sf_dir).repartition(8), f"{shared_folder(spark)}/watch-{uuid.uuid4().hex}"
+    top, number = f"{work}/tree-{uuid.uuid4().hex}", F.regexp_extract("path", r"doc_(\d+)", 1).cast("long")
+    watcher = Watcher(spark, top, f"{work}/store")
+    for part in (number % 2 == 0, (number % 2 == 1) | (number % 10 == 0)):
+        virtual.written(files.where(part), top)
+        watcher.tick()
+    rows = spark.read.schema(T.StructType([*RESULT, T.StructField("batch", T.LongType())])).json(f"{work}/store/results")
+    return rows.select("batch", _below(top).alias("path"), "sha256", _long("score").alias("score"), "severity")
+
+
+def quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real files of the two highest bands, moved, and what is left where they were."""
+    work = f"{shared_folder(spark)}/moved-{uuid.uuid4().hex}"
+    top = f"{work}/tree-{uuid.uuid4().hex}"
+    virtual.written(virtual.documents(spark, sf_dir).repartition(8), top)
+    moved = quarantine.quarantine_results(scan(spark, top), f"{work}/kept", ("High", "Suspicious"))
+    gone = moved.where("error is null").select(_below(top).alias("path"), C.file_name(F.col("stored")).alias("stored"), "sha256")
+    left = scan(spark, top).select(_below(top).alias("path"), F.lit("").alias("stored"), "sha256")
+    return gone.union(left)
+
+
 def genuine_replacement_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links with a U+FFFD of their own and with invalid bytes, which go."""
     own = virtual.pages(spark, sf_dir).select("path", "length", F.concat(F.encode(F.lit("http://a.b/x\ufffdy"), "UTF-8"), F.unhex(F.lit("C3")), F.encode(F.lit("\ufdd0 "), "UTF-8")).alias("link"))
@@ -334,5 +365,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         triage_full, fingerprint_docs, is_text_docs, head_and_tail, size_gate, double_extension, pe_header, pdf_tokens, pdf_rules_normal, pdf_rules_strict, url_extract, url_hosts_pages,
         zip_member_legacy, zip_member_rules, zip_member_rules_strict, office_rules_members, office_macro_docs, image_trailing, image_rules, marker_strings, issues_dedup, weighted_score, weighted_score_join,
         severity_bands, severity_summary, issue_counts, exit_code, path_sort_rank, path_rank, report_saved, report_page, console_rows, console_widths, watch_delta, targets_union, target_paths, json_issue, scan_tree,
-        archive_members, archives_scanned, office_archives_scanned, error_rows, error_exit_code, empty_exit_code, report_files, large_exif, url_size_limit, markers_by_option, rules_off, watch_state, watch_log, watch_stream, genuine_replacement_characters,
+        archive_members, archives_scanned, office_archives_scanned, error_rows, error_exit_code, empty_exit_code, report_files, large_exif, url_size_limit, markers_by_option, rules_off, watch_state, watch_log, watch_stream, watch_ticks, quarantined, genuine_replacement_characters,
     )}

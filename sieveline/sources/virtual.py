@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import files_of
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -110,6 +113,19 @@ def sized(spark: SparkSession, sf_dir: str, name: str, head: str, bound: int) ->
     return rows.repartition(8)  # the table is one small file, its files are large
 
 
+def written(files: DataFrame, folder: str) -> None:
+    """Write files (path, content) under a folder, in tasks."""
+    store, place = files_of(files.sparkSession, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store.write(f"{place}/{path}", content or b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+
+    files.select("path", "content").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+
+
 def _files(rows: DataFrame) -> DataFrame:
     content = F.encode("body", "UTF-8")
     return rows.select("path", F.octet_length("body").cast("long").alias("length"), content.alias("content"))
