@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,9 +157,10 @@ def exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_sort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The place of each file in its folder, by path components."""
-    files = virtual.documents(spark, sf_dir).select("path", F.substring_index("path", "/", 1).alias("folder"))
-    return files.select("path", _long(F.row_number().over(Window.partitionBy("folder").orderBy(C.path_order(F.col("path"))))).alias("place"))
+    """The place of each file in its folder, by path components: its place among all, from that of the folder's first file on."""
+    files = ranked(virtual.documents(spark, sf_dir).select("path", F.substring_index("path", "/", 1).alias("folder")), C.path_order(F.col("path")), name="at")
+    first = files.groupBy("folder").agg(F.min("at").alias("first"))
+    return files.join(first, "folder").select("path", _long(F.col("at") - F.col("first") + 1).alias("place"))
 
 
 def path_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
