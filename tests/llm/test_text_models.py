@@ -311,3 +311,20 @@ def test_bytes_that_are_no_utf8(spark):
     halves = np.frombuffer("é".encode(), np.uint8)
     fixed, at = textops.valid(halves, np.array([0, 1, 2]))
     assert fixed.tobytes().decode() == "��" and at.tolist() == [0, 3, 6]
+
+
+def test_what_a_worker_keeps():
+    """One operator's things stay for its next task and go with a task of another one."""
+    made = []
+    make = lambda: made.append(1) or object()
+    run = lambda keeps: list(textops.released(lambda batches: iter([1]), keeps)(iter([])))
+    run(None)
+    first = textops.kept("a", make)
+    run("a")
+    assert textops.kept("a", make) is first and len(made) == 1
+    run("b")
+    assert textops.kept("a", make) is not first and len(made) == 2
+    textops.kept("b", make)
+    assert textops.kept("a", make) and len(made) == 4
+    run(None)
+    assert not textops._kept
