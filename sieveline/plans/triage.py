@@ -32,7 +32,7 @@ def file_columns(members: Column | None = None, options: TriageOptions = TriageO
 
 def fact_columns() -> findings.File:
     """The detectors' view of facts."""
-    name = C.file_name(F.col("path"))
+    name = F.when(~F.col("aside"), C.file_name(F.col("path")))  # a file that is set aside has no findings of its own
     return findings.File(name, C.suffix(name), C.magic_type(F.col("head")), *map(F.col, ("length", "head", "tail", "hits", "body", "members")))
 
 
@@ -72,7 +72,7 @@ def scan_facts(df: DataFrame, options: TriageOptions = TriageOptions()) -> DataF
     df = df.withColumn("aside", _aside(options))
     either = lambda there, own: F.when(F.col("aside"), there).otherwise(own)
     # contents are dropped as soon as findings are there
-    out = df.select("path", F.col("length").alias("size"), either(F.lit(""), F.col("sha256")).alias("sha256"), either(F.lit("unknown"), magic).alias("magic_type"), either(_aside_issues(), findings.all_findings(file, options)).alias("issues"), "error", "aside")
+    out = df.select("path", F.col("length").alias("size"), either(F.lit(""), F.col("sha256")).alias("sha256"), either(F.lit("unknown"), magic).alias("magic_type"), F.concat(either(_aside_issues(), findings.none()), findings.all_findings(file, options)).alias("issues"), "error", "aside")
     out = out.withColumn("score", either(F.lit(0), scoring.score(F.col("issues"))))
     return _result(out.withColumns({"severity": scoring.severity(F.col("score")), "reasons": either(_aside_reasons(), scoring.reasons(F.col("issues")))}))
 
