@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import io
+import itertools
+import operator
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,38 +60,49 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("path", F.length("content").cast("long").alias("length"), "content")
 
 
-def members(spark: SparkSession, sf_dir: str, ending: str = ".zip") -> DataFrame:
-    """Archives by brand of part, with a member for each part; only names, as of a listed archive."""
+def _member_names(spark: SparkSession, sf_dir: str, ending: str) -> DataFrame:
+    """(path, p_partkey, name): archives by brand of part, with a member for each part."""
     k = F.col("p_partkey") % 9
     base = F.replace("p_name", F.lit(" "), F.lit("_"))
     name = (
         F.when(k == 0, F.concat(base, F.lit(".pdf.exe"))).when(k == 1, F.concat(base, F.lit(".jar"))).when(k == 2, F.concat(base, F.lit(".VBS"))).when(k == 3, F.concat(base, F.lit(".pdf.txt"))).when(k == 4, F.concat(base, F.lit("/vbaProject.bin")))
         .when(k == 5, F.concat(base, F.lit("/settings.xml"))).when(k == 6, F.concat(base, F.lit(".ZIP"))).when(k == 7, F.concat(base, F.repeat(F.lit("x"), 190), F.lit(".txt"))).otherwise(F.concat(base, F.lit(".txt")))
     )
-    rows = _table(spark, sf_dir, "part").select(F.concat(F.lit("archives/"), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit(ending)).alias("path"), F.struct("p_partkey", name.alias("name")).alias("m"))
+    return _table(spark, sf_dir, "part").select(F.concat(F.lit("archives/"), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit(ending)).alias("path"), "p_partkey", name.alias("name"))
+
+
+def members(spark: SparkSession, sf_dir: str, ending: str = ".zip") -> DataFrame:
+    """Archives by brand of part, with a member for each part; only names, as of a listed archive."""
+    rows = _member_names(spark, sf_dir, ending).select("path", F.struct("p_partkey", "name").alias("m"))
     listed = rows.groupBy("path").agg(F.sort_array(F.collect_list("m")).alias("ms"))
     return listed.select("path", F.lit(0).cast("long").alias("length"), F.unhex(F.lit("504B0304")).alias("content"), F.transform("ms", lambda m: F.struct(m["name"].alias("name"), m["name"].alias("stored_name"))).alias("members"))
 
 
-def _zip_bytes(names: pa.Array) -> pa.Array:
-    def archive(own: list[str]) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            for name in own:
-                z.writestr(zipfile.ZipInfo(name), b"x")
-        return out.getvalue()
+def _archive(names: Iterable[str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name in names:
+            z.writestr(zipfile.ZipInfo(name), b"x")
+    return out.getvalue()
 
-    return pa.array([archive(own) for own in names.to_pylist()], pa.binary())
 
-
-_zip_bytes.__annotations__ = {"names": pa.Array, "return": pa.Array}
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An archive for each run of rows (path, name) of one path; one archive is held at a time."""
+    rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    for path, own in itertools.groupby(rows, operator.itemgetter(0)):
+        content = pa.array([_archive(name for _, name in own)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pc.binary_length(content).cast("int64"), content], names=["path", "length", "content"])
+        del content
 
 
 def archives(spark: SparkSession, sf_dir: str, ending: str = ".zip") -> DataFrame:
-    """The archives of ``members`` as real ZIP files."""
-    content = F.arrow_udf(_zip_bytes, "binary")(F.transform("members", lambda m: m["name"]))
-    packed = members(spark, sf_dir, ending).select("path", content.alias("content"))
-    return packed.select("path", F.length("content").cast("long").alias("length"), "content")
+    """The archives of ``members`` as real ZIP files.
+
+    They are made by a step over rows, not by a function in a column: what stands
+    above names the content many times, and a column's function would run for each.
+    """
+    rows = _member_names(spark, sf_dir, ending).repartition(spark.sparkContext.defaultParallelism, "path").sortWithinPartitions("path", "p_partkey", "name")
+    return rows.select("path", "name").mapInArrow(_zipped, "path string, length long, content binary")
 
 
 def unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,3 +163,18 @@ def test_null_contents_keep_their_row(spark):
     got = {r["path"]: r for r in scan_relation(df, TriageOptions(max_file_size=5)).collect()}
     assert sorted(got) == ["a.txt", "b.txt", "c.txt"]
     assert (got["a.txt"]["size"], got["a.txt"]["sha256"], codes(got["a.txt"]), got["a.txt"]["score"], got["a.txt"]["severity"]) == (None, None, [], 0, "Safe")
+
+
+def test_an_archive_is_made_once(spark, sf_dir):
+    """What names a content many times runs the step that makes it once; each archive is one row of a length that is its own."""
+    import re
+
+    from sieveline import scan_relation
+    from sieveline.sources import virtual
+
+    plan = scan_relation(virtual.archives(spark, sf_dir, ".docx"))._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"(\w+)InArrow|(\w+)EvalPython", plan) == [("", "Arrow"), ("Map", "")] and plan.count("pythonUDF0") and "pythonUDF1" not in plan
+    rows = virtual.archives(spark, sf_dir).collect()
+    named = {r["path"]: [m["name"] for m in r["members"]] for r in virtual.members(spark, sf_dir).collect()}
+    assert {r["path"]: [a for a, _ in list_members(bytes(r["content"]))] for r in rows} == named and len(rows) == len(named)
+    assert all(r["length"] == len(r["content"]) for r in rows)
