@@ -178,3 +178,29 @@ def test_an_archive_is_made_once(spark, sf_dir):
     named = {r["path"]: [m["name"] for m in r["members"]] for r in virtual.members(spark, sf_dir).collect()}
     assert {r["path"]: [a for a, _ in list_members(bytes(r["content"]))] for r in rows} == named and len(rows) == len(named)
     assert all(r["length"] == len(r["content"]) for r in rows)
+
+
+def test_directories_are_held_one_at_a_time():
+    """Listing a batch of archives takes the objects of one of them, not of all."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from sieveline.functions import archive as module
+
+    content = archive(*(f"folder/member{k}.txt" for k in range(1000)))
+
+    def peak(n: int) -> int:
+        contents = pa.array([content] * n, pa.binary())
+        tracemalloc.start()
+        try:
+            assert len(module._members(contents)) == n
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    peak(1)
+    assert peak(24) < 2 * peak(1)
+    got = module._members(pa.array([content, None, b"x", NUL_NAME], pa.binary())).to_pylist()
+    assert [len(g) for g in got] == [1000, 0, 0, 1] and got[3] == [{"name": "ab", "stored_name": "ab\0cd.txt"}]
+    assert module._members(pa.array([], pa.binary())).type == pa.list_(module.MEMBER)
