@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from ..sources.files import Mounted, Store, files_of, is_mounted, local_path
+from ..sources.files import Mounted, Store, drop, files_of, is_mounted, local_path
 from .reports import utc_now
 
 READ_ONLY = 0o444
@@ -34,6 +34,8 @@ INTENT = T.StructType([T.StructField(c, T.StringType()) for c in ("path", "store
 MOVED = T.StructType([*INTENT.fields, T.StructField("error", T.StringType())])
 #: Where intents and what became of them are, below the folder.
 INTENTS = ".intents"
+#: Files that one task moves, at most.
+MOVES_A_TASK = 1024
 
 
 def fingerprint(files: Mounted | Store, path: str) -> str:
@@ -108,6 +110,10 @@ def intents(results: DataFrame, folder: str, bands: Sequence[str], mark: str) ->
     spark = results.sparkSession
     files, place = files_of(spark, folder)
     chosen = results.where(F.col("severity").isin(*bands) & (F.col("sha256") != "")).groupBy("path").agg(F.min("sha256").alias("sha256")).withColumn("name", C.file_name(F.col("path")))
+    # it is read twice below, and results may be a scan of all files
+    found = f"{place.rstrip('/')}/{INTENTS}/{mark}/chosen"
+    chosen.write.parquet(found)
+    chosen = spark.read.schema(chosen.schema).parquet(found)
     first = chosen.groupBy("name").agg(F.min("path").alias("first"))
 
     def names() -> Iterator[str]:
@@ -148,7 +154,10 @@ def carry_out(spark: SparkSession, folder: str, mark: str) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=MOVED.names)
 
-    plan.mapInArrow(run, MOVED).write.mode("overwrite").parquet(f"{work}/done")
+    n = plan.count()
+    # a plan is small beside what it moves: its few splits would leave all moves to as few tasks
+    tasks = max(1, -(-n // MOVES_A_TASK), min(n, spark.sparkContext.defaultParallelism))
+    plan.repartition(tasks, "path").mapInArrow(run, MOVED).write.mode("overwrite").parquet(f"{work}/done")
     return spark.read.schema(MOVED).parquet(f"{work}/done")
 
 
@@ -159,7 +168,9 @@ def quarantine_results(results: DataFrame, folder: str, bands: Sequence[str] = B
     """
     spark, mark = results.sparkSession, uuid.uuid4().hex
     _, place = files_of(spark, folder)
-    intents(results, folder, bands, mark).write.parquet(f"{place.rstrip('/')}/{INTENTS}/{mark}/plan")
+    work = f"{place.rstrip('/')}/{INTENTS}/{mark}"
+    intents(results, folder, bands, mark).write.parquet(f"{work}/plan")
+    drop(spark, f"{work}/chosen")
     return carry_out(spark, folder, mark)
 
 

@@ -128,8 +128,10 @@ def sized(spark: SparkSession, sf_dir: str, name: str, head: str, bound: int) ->
 
 
 def written(files: DataFrame, folder: str) -> None:
-    """Write files (path, content) under a folder, in tasks."""
-    store, place = files_of(files.sparkSession, folder)
+    """Write files (path, content) under a folder, in tasks: some for each core, however many the files come in."""
+    spark = files.sparkSession
+    store, place = files_of(spark, folder)
+    tasks = max(8, 4 * spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +139,7 @@ def written(files: DataFrame, folder: str) -> None:
                 store.write(f"{place}/{path}", content or b"")
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
 
-    files.select("path", "content").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+    files.select("path", "content").repartition(tasks).mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
 
 
 def _files(rows: DataFrame) -> DataFrame:

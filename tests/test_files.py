@@ -412,3 +412,25 @@ def test_quarantine_resumes(spark, folder, tmp_path, monkeypatch):
     assert os.path.exists(path) and len(quarantine.unfinished(spark, dest)) == 1
     (done,) = quarantine.resume(spark, dest)
     assert [r["stored"] for r in done.collect()] == [f"{dest}/deep.exe"] and not os.path.exists(path) and quarantine.resume(spark, dest) == []
+
+
+def test_quarantine_deals_out_moves_and_reads_results_once(spark, tmp_path, monkeypatch):
+    """A plan of one split is carried out by many tasks; results, which may be a scan, are taken once."""
+    (tmp_path / "t").mkdir()
+    for k in range(40):
+        (tmp_path / "t" / f"{k}.exe").write_bytes(b"%d" % k)
+    taken = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            taken.add(batch.num_rows)
+            yield batch
+
+    rows = result_rows(spark, [(str(tmp_path / "t" / f"{k}.exe"), sha(b"%d" % k), "High") for k in range(40)]).coalesce(1)
+    monkeypatch.setattr(quarantine, "MOVES_A_TASK", 4, raising=False)
+    moved = quarantine.quarantine_results(rows.mapInArrow(run, rows.schema), str(tmp_path / "q")).collect()
+    assert taken.value == 40
+    assert sorted(os.path.basename(r["stored"]) for r in moved if not r["error"]) == sorted(f"{k}.exe" for k in range(40)) and not os.listdir(tmp_path / "t")
+    (work,) = (tmp_path / "q" / quarantine.INTENTS).iterdir()
+    assert len(list((work / "plan").glob("part-*.parquet"))) == 1 and len(list((work / "done").glob("part-*.parquet"))) > 4
+    assert sorted(p.name for p in work.iterdir()) == ["done", "plan"]
